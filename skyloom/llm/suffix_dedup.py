@@ -32,6 +32,33 @@ KIND = R.Kind(words=False, window=PASSAGE_BYTES, gram=ANCHOR_BYTES)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
+def _bits(x: np.ndarray) -> int:
+    return int(x.max()).bit_length() if len(x) else 1
+
+
+def _sorted_by(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """The stable order by (high, low); one sort of packed integers where they fit in 64 bits."""
+    n = max(len(high) - 1, 1).bit_length()
+    low_bits = _bits(low)
+    if _bits(high) + low_bits + n > 63:
+        return np.lexsort((low, high))
+    packed = np.sort((((high << low_bits) | low) << n) | np.arange(len(high)))
+    return packed & ((1 << n) - 1)
+
+
+def _pairs(first: np.ndarray, second: np.ndarray, most: int) -> np.ndarray:
+    """Values that order as (first, second) do; dense where the product wouldn't fit."""
+    bits = most.bit_length()
+    if 3 * bits <= 62:
+        return (first << bits) | second
+    order = np.lexsort((second, first))
+    fresh = np.zeros(len(order), np.int64)
+    fresh[1:] = (first[order[1:]] != first[order[:-1]]) | (second[order[1:]] != second[order[:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(fresh)
+    return out
+
+
 def suffix_order(x: np.ndarray, depth: int, stands_for: int = 1) -> np.ndarray:
     """Places of ``x`` (values of 1 and more) sorted by their suffixes, as far as ``depth`` original symbols.
 
@@ -40,35 +67,43 @@ def suffix_order(x: np.ndarray, depth: int, stands_for: int = 1) -> np.ndarray:
     n = len(x)
     if n < 8:
         return np.array(sorted(range(n), key=lambda i: x[i:].tolist()), np.int64)
-    t = np.concatenate((x.astype(np.int64), np.zeros(3, np.int64)))
+    t = np.concatenate((x.astype(np.int64), np.zeros(4, np.int64)))
+    most = max(int(t.max()), n + 3)
     one, two = np.arange(1, n + (n % 3 == 1), 3), np.arange(2, n, 3)
     sample = np.concatenate((one, two))
     # sort the sampled triples and name them
-    first = t[sample] * (int(t.max()) + 1) + t[sample + 1]
-    order = np.lexsort((t[np.minimum(sample + 2, n + 2)], first))
-    s = sample[order]
-    fresh = np.ones(len(s), np.int64)
-    fresh[1:] = (t[s[1:]] != t[s[:-1]]) | (t[s[1:] + 1] != t[s[:-1] + 1]) | (t[np.minimum(s[1:] + 2, n + 2)] != t[np.minimum(s[:-1] + 2, n + 2)])
+    head = _pairs(t[sample], t[sample + 1], int(t.max()))
+    if _bits(head) > 40:  # name the pairs, so that a pair and a symbol fit in one integer
+        order = np.argsort(head)
+        fresh = np.zeros(len(order), np.int64)
+        fresh[1:] = head[order[1:]] != head[order[:-1]]
+        head[order] = np.cumsum(fresh)
+    tail = t[sample + 2]
+    order = _sorted_by(head, tail)
+    fresh = np.ones(len(order), np.int64)
+    sorted_head, sorted_tail = head[order], tail[order]
+    fresh[1:] = (sorted_head[1:] != sorted_head[:-1]) | (sorted_tail[1:] != sorted_tail[:-1])
     names = np.cumsum(fresh)
+    s = sample[order]
     if names[-1] < len(s) and 3 * stands_for < depth:
         # recurse on the names, those of places 1 modulo 3 first
         text = np.empty(len(s), np.int64)
         text[order] = names
         s = sample[suffix_order(text, depth, 3 * stands_for)]
         names = np.arange(1, len(s) + 1)
-    rank = np.zeros(n + 3, np.int64)
+    rank = np.zeros(n + 4, np.int64)
     rank[s] = names
     s = s[s < n]
     # the remaining suffixes: a symbol, then the rank of a sampled suffix
     rest = np.arange(0, n, 3)
-    rest = rest[np.lexsort((rank[rest + 1], t[rest]))]
+    rest = rest[_sorted_by(t[rest], rank[rest + 1])]
     # merge: a sampled suffix and another are compared by one or two symbols and a rank
-    wide = np.int64(len(rank) + 1)
-    s1, s2 = s[s % 3 == 1], s[s % 3 == 2]
-    before1 = np.searchsorted(t[s1] * wide + rank[s1 + 1], t[rest] * wide + rank[rest + 1])
-    pairs = np.concatenate((t[s2] * (int(t.max()) + 1) + t[s2 + 1], t[rest] * (int(t.max()) + 1) + t[rest + 1]))
-    pairs = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
-    before2 = np.searchsorted(pairs[: len(s2)] * wide + rank[s2 + 2], pairs[len(s2) :] * wide + rank[rest + 2])
+    shift = most.bit_length()
+    third = s % 3
+    s1, s2 = s[third == 1], s[third == 2]
+    before1 = np.searchsorted((t[s1] << shift) | rank[s1 + 1], (t[rest] << shift) | rank[rest + 1])
+    pairs = _pairs(np.concatenate((t[s2], t[rest])), np.concatenate((t[s2 + 1], t[rest + 1])), most)
+    before2 = np.searchsorted((pairs[: len(s2)] << shift) | rank[s2 + 2], (pairs[len(s2) :] << shift) | rank[rest + 2])
     out = np.full(n, -1, np.int64)
     # names that ended at the depth have ties; within ties any order will do, but places stay apart
     out[np.arange(len(rest)) + np.maximum.accumulate(before1 + before2)] = rest
