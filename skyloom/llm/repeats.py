@@ -10,7 +10,7 @@
    edges of repeated text. One text of each such context is fetched and a solver (suffix sorting
    for bytes, factoring for words) decides window by window. Equal windows share their
    anchor, so the contexts of an anchor are solved together and no others are needed.
-4. An anchor with more than HOT_CONTEXTS different contexts isn't solved in one task. Its windows
+4. An anchor whose contexts may have more than HOT_SYMBOLS symbols isn't solved in one task. Its windows
    are hashed and counted as rows of their own, with partial aggregation: exact at any size.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
 
-#: Different contexts of one anchor that a task may take.
-HOT_CONTEXTS = 20_000
+#: Symbols of one anchor's contexts that a task may take; beyond, its windows become rows.
+HOT_SYMBOLS = 2_000_000
 #: Bytes of contexts that a solver gets at once, whole anchors apart.
 SOLVE_BYTES = 1_500_000
 CONTEXT_SCHEMA = "h long, c long, od long, doc_id long, t long, s long"
@@ -227,9 +227,10 @@ def repeated_windows(docs: DataFrame, kind: Kind, solver: Callable, label: str)
     pieces = d.join(w, F.col("d.t").eqNullSafe(F.col("w.t")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.t", "d.text", "w.want")
     pieces = pieces.mapInArrow(_slices(kind), "h long, n long, g long, od long, doc_id long, t long, s long, piece binary")
     pieces = C.shared_table(pieces, f"{label}-pieces")
-    few = pieces.filter(F.col("g") <= HOT_CONTEXTS).repartition("h").sortWithinPartitions("h")
+    most = HOT_SYMBOLS // (2 * kind.window - kind.gram)
+    few = pieces.filter(F.col("g") <= most).repartition("h").sortWithinPartitions("h")
     solved = few.mapInArrow(_solve(kind, solver), SPAN_SCHEMA)
-    hot = pieces.filter(F.col("g") > HOT_CONTEXTS).mapInArrow(_windows(kind), "a long, b long, n long, doc_id long, t long, lo long")
+    hot = pieces.filter(F.col("g") > most).mapInArrow(_windows(kind), "a long, b long, n long, doc_id long, t long, lo long")
     again = hot.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).filter("m > 1 or n > 1").select("a", "b")
     hot = hot.filter("n = 1").join(again, ["a", "b"], "left_semi").select("doc_id", "t", "lo", F.col("lo").alias("hi"))
     return sure.unionByName(solved).unionByName(hot)

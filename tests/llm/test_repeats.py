@@ -40,10 +40,10 @@ def corpus(seed):
     return list(enumerate(docs)) + [(None, docs[7]), (None, docs[7]), (0, docs[0]), (0, docs[9])]
 
 
-@pytest.mark.parametrize("hot", [None, 2])
+@pytest.mark.parametrize("hot", [None, 1500])
 def test_bytes_and_words_against_brute_force(spark, monkeypatch, hot):
     if hot:
-        monkeypatch.setattr(R, "HOT_CONTEXTS", hot)
+        monkeypatch.setattr(R, "HOT_SYMBOLS", hot)
     rows = corpus(5)
     docs = spark.createDataFrame([(i, t, "x", 1, 2) for i, t in rows], "doc_id long, text string, t string, h int, spans int").repartition(5)
     texts = [(t or "").encode() for _, t in rows]
