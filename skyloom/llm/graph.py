@@ -1,0 +1,33 @@
+"""Connected components of a distributed edge list."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from skyloom.llm import common as C
+
+
+def components(edges: DataFrame, label: str) -> DataFrame:
+    """node, least: the least node that is reachable. ``edges`` has two long columns, a and b, in any direction.
+
+    Alternating large-star and small-star steps: each node's least neighbour is found by grouped
+    aggregation and joined back, so no neighbour list is ever built. Every round ends in a shared table;
+    it stops when a round changes nothing, after a number of rounds that grows with the logarithm of
+    the edges.
+    """
+    down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    down = C.shared_table(down, f"{label}-edges")
+    before = None
+    while True:
+        both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        joined = large.join(least, "u")
+        small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
+        down = C.shared_table(small.filter("u <> v").distinct(), f"{label}-stars")
+        now = tuple(down.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+        if now == before:
+            return down.select(F.col("u").alias("node"), F.col("v").alias("least"))
+        before = now
