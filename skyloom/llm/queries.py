@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, pii, quality_rules
+from skyloom.llm import bpe, chat, decontaminate, pii, quality_rules, simhash, site_quality, suffix_tree_lm
 from skyloom.llm.substring_dedup import substring_dedup
 from skyloom.llm.suffix_dedup import suffix_dedup
 
@@ -38,6 +38,27 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(_table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    log = chat.events(chat.with_probe(_table(spark, sf_dir, "conversations")))
+    return chat.digests(chat.format_chats(log))
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return site_quality.classify(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_suffix_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_tree_lm.score(_table(spark, sf_dir, "documents"))
+
+
+def op9_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
@@ -47,4 +68,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": chat.ORACLE_SQL}

@@ -27,9 +27,9 @@ from pyspark.sql import functions as F
 from skyloom.llm import common as C
 
 #: Symbols of one anchor's contexts that a task may take; beyond, its windows become rows.
-HOT_SYMBOLS = 2_000_000
+HOT_SYMBOLS = 1_500_000
 #: Bytes of contexts that a solver gets at once, whole anchors apart.
-SOLVE_BYTES = 1_500_000
+SOLVE_BYTES = 800_000
 CONTEXT_SCHEMA = "h long, c long, od long, doc_id long, t long, s long"
 SPAN_SCHEMA = "doc_id long, t long, lo long, hi long"
 
