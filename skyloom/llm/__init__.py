@@ -1,12 +1 @@
-"""Operators for preparing training text at corpus scale.
-
-Nothing else in the library imports this subpackage. The functions that run in
-Spark's Python workers are pickled by value, so executors need no copy of the
-repository on their import path.
-"""
-
-import sys
-
-from pyspark import cloudpickle
-
-cloudpickle.register_pickle_by_value(sys.modules[__name__])
+"""Operators for preparing training text at corpus scale. Nothing else in the library imports this subpackage."""

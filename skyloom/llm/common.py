@@ -1,17 +1,16 @@
-"""Shared pieces: text buffers as numpy arrays, rolling hashes, shared tables."""
+"""Shared pieces: text buffers as numpy arrays, rolling hashes, keys of rows."""
 
 from __future__ import annotations
 
-import atexit
-import gc
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from skyloom.plans.lineage import shared_table as shared_table
+
 #: The six bytes that separate words: space and \t \n \v \f \r.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Bytes of text that one vectorised step works on (a longer document makes a longer step).
@@ -21,32 +20,6 @@ BASE_B = 0xD6E8FEB86659FD93
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def shared_table(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it again: the lineage ends there.
-
-    The folder is ``spark.checkpoint.dir``; where that is unset (tests on one machine) a folder in
-    the warehouse is used. A table is deleted when the driver's Python ends.
-    """
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_drop, spark, path)
-    # the shuffles behind the table serve nothing any more: let the cleaner find them now
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def _drop(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-    except Exception:  # the session may be gone already; the folder is scratch space
-        pass
-
-
 def keyed(docs: DataFrame) -> DataFrame:
     """doc_id, text (null: empty) and t, a hash of the text; (doc_id, t) names a row's content.
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
-from skyloom.llm.graph import components
+from skyloom.operators.components import components
 
 SHINGLE_WORDS = 4
 HASH_SEED = 42
