@@ -21,7 +21,7 @@ def edge_cost(theta: str = "dist", mag_a: str = "l_mag", mag_b: str = "r_mag") -
 
 
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
-    """node, least: the least node that is reachable. ``edges`` has two long columns, a and b, in any direction.
+    """node, least: the least node that is reachable, for all nodes but the least ones themselves. ``edges`` has two long columns, a and b, in any direction.
 
     Alternating large-star and small-star steps: each node's least neighbour is found by grouped
     aggregation and joined back, so no neighbour list is ever built. Every round ends in a shared table;
@@ -99,7 +99,7 @@ def assign(edges: DataFrame, partial: bool = False) -> DataFrame:
     """
     graph = edges.select((F.col("l") * 2).alias("a"), (F.col("r") * 2 + 1).alias("b"))
     labels = components(graph, "assign")
-    known = edges.withColumn("node", F.col("r") * 2 + 1).join(labels, "node").select(F.col("least").alias("component"), "l", "r", F.col("cost").cast("double").alias("cost"))
+    known = edges.withColumn("node", F.col("r") * 2 + 1).join(labels, "node", "left").select(F.coalesce("least", "node").alias("component"), "l", "r", F.col("cost").cast("double").alias("cost"))
 
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _solve(pdf, partial)

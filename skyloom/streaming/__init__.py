@@ -1,0 +1 @@
+"""Nothing streams here: the programs whose results this engine matches read whole tables, and none keeps state between runs."""
