@@ -17,6 +17,7 @@ from skyloom.operators import match as J
 from skyloom.operators import ocr
 from skyloom.operators import stats as A
 from skyloom.sources import fixed_width as S
+from skyloom.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -101,6 +102,33 @@ def fixed_width_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("number", "sign", "mag", _r("ra", 6, "ra"), _r("dec_abs", 6, "dec_abs"))
 
 
+_ZLINE = "concat('CD', lpad(cast(-(22 + o_orderkey % 60) AS varchar), 3, ' '), lpad(cast(o_orderkey % 100000 AS varchar), 5, ' '), CASE o_orderkey % 17 WHEN 0 THEN 'D' WHEN 1 THEN 'a' ELSE ' ' END, CASE o_orderkey % 19 WHEN 0 THEN '20.0' WHEN 1 THEN '30.0' ELSE concat(' ', cast(o_orderkey % 10 AS varchar), '.', cast(o_orderkey % 7 AS varchar)) END, lpad(cast(o_orderkey % 24 AS varchar), 2, ' '), lpad(cast(o_orderkey % 60 AS varchar), 2, ' '), lpad(cast(o_orderkey % 60 AS varchar), 2, ' '), '.', cast(o_orderkey % 10 AS varchar), '-', lpad(cast(22 + o_orderkey % 60 AS varchar), 2, ' '), lpad(cast(o_orderkey % 59 AS varchar), 2, ' '), '.', cast(o_orderkey % 9 AS varchar))"
+
+
+@query(f"SELECT zone, number, supplement, mag, round(ra, 6) AS ra, round(dec, 6) AS dec FROM (SELECT CAST(substr(value, 3, 3) AS INTEGER) AS zone, CAST(trim(substr(value, 6, 5)) AS INTEGER) AS number, trim(substr(value, 11, 1)) AS supplement, trim(substr(value, 12, 4)) AS mag, (CAST(trim(substr(value, 16, 2)) AS DOUBLE) + CAST(trim(substr(value, 18, 2)) AS DOUBLE) / 60 + CAST(trim(substr(value, 20, 4)) AS DOUBLE) / 3600) * 15 AS ra, -(CAST(trim(substr(value, 25, 2)) AS DOUBLE) + CAST(trim(substr(value, 27, 4)) AS DOUBLE) / 60) AS dec FROM (SELECT {_ZLINE} AS value FROM orders)) WHERE supplement <> 'D' AND CAST(mag AS DOUBLE) NOT IN (20, 40, 50)")
+def scan_zone_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = t(spark, sf_dir, "orders").select(F.expr(_ZLINE.replace("varchar", "string")).alias("value"))
+    return tables.stars(lines, "cd").select("zone", "number", "supplement", "mag", _r("ra", 6, "ra"), _r("dec", 6, "dec"))
+
+
+_TLINE = "concat(lpad(cast(c_custkey % 9999 AS varchar), 4, ' '), ' ', lpad(cast(c_custkey % 99999 AS varchar), 5, ' '))"
+for _place, _what in (
+    (111, "CASE WHEN c_custkey % 6 = 0 THEN '' ELSE concat(lpad(cast(c_custkey % 12 AS varchar), 2, ' '), '.125') END"),
+    (124, "concat(lpad(cast(c_custkey % 11 AS varchar), 2, ' '), '.250')"),
+    (153, "concat(lpad(cast(c_custkey % 360 AS varchar), 3, ' '), '.12345678')"),
+    (166, "concat(lpad(cast((c_custkey % 179) - 89 AS varchar), 3, ' '), '.12345678')"),
+):
+    _TLINE = f"concat(rpad({_TLINE}, {_place - 1}, ' '), {_what})"
+_TV = mags.visual("coalesce(bt, 0.0D)", "coalesce(vt, 0.0D)")
+
+
+@query(f"SELECT tyc1, tyc2, ra, dec, round({_TV}, 4) AS v FROM (SELECT CAST(trim(substr(value, 1, 4)) AS INTEGER) AS tyc1, CAST(trim(substr(value, 6, 5)) AS INTEGER) AS tyc2, TRY_CAST(trim(substr(value, 111, 6)) AS DOUBLE) AS bt, TRY_CAST(trim(substr(value, 124, 6)) AS DOUBLE) AS vt, CAST(trim(substr(value, 153, 12)) AS DOUBLE) AS ra, CAST(trim(substr(value, 166, 12)) AS DOUBLE) AS dec FROM (SELECT {_TLINE} AS value FROM customer)) WHERE dec < 0")
+def scan_tycho(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = t(spark, sf_dir, "customer").select(F.expr(_TLINE.replace("varchar", "string")).alias("value"))
+    rows = tables.stars(lines, "tycho2").withColumns({"bt": F.col("bt").try_cast("double"), "vt": F.col("vt").try_cast("double")})
+    return rows.filter("dec < 0").select("tyc1", "tyc2", "ra", "dec", _r(_TV, 4, "v"))
+
+
 _SAN = "CASE s_suppkey % 5 WHEN 0 THEN '1 ' WHEN 1 THEN '&7' WHEN 2 THEN '' WHEN 3 THEN ' 4' ELSE lpad(cast(s_suppkey % 100 AS varchar), 2, '0') END"
 
 

@@ -66,27 +66,17 @@ def parse(lines: DataFrame, layout: list[Field]) -> DataFrame:
     return lines.select("*", *[compile_field(f) for f in layout])
 
 
-#: Layouts of the reference tables, (name, start, length, kind, divisor).
-LAYOUTS: dict[str, list[Field]] = {
-    "ppm": [Field("ppm", 2, 6, "int"), Field("dm_sign", 10, 1), Field("dm_zone", 11, 2, "int"), Field("dm_number", 13, 5, "int"), Field("mag", 20, 4, "decimal", 10.0), Field("sao", 102, 6, "int"), Field("hd", 109, 6, "int"), Field("flag1", 127, 1), Field("flag2", 128, 1), Field("flag5", 131, 1)],
-    "cd": [Field("zone", 3, 3, "int"), Field("number", 6, 5, "int"), Field("supplement", 11, 1), Field("mag", 12, 4, "text")],
-    "bd": [Field("sign", 3, 1), Field("zone", 4, 2, "int"), Field("number", 6, 5, "int"), Field("supplement", 11, 1), Field("mag", 12, 4, "text")],
-    "gc": [Field("number", 1, 5, "int"), Field("observation", 6, 2, "int"), Field("mag", 8, 3, "decimal", 10.0), Field("type", 11, 1)],
-    "gc2": [Field("number", 8, 4, "int"), Field("observation", 12, 2, "int"), Field("mag", 14, 2, "int")],
-    "weiss": [Field("weiss", 1, 5, "int"), Field("observation", 6, 1, "int"), Field("mag", 8, 2, "int"), Field("mag2", 10, 2, "int"), Field("oa", 49, 5, "int")],
-    "lalande": [Field("number", 1, 5, "int"), Field("mag", 15, 2, "int"), Field("half", 17, 1)],
-    "brisbane": [Field("number", 1, 4, "int"), Field("type", 20, 1), Field("mag", 21, 2, "int"), Field("mag2", 23, 2, "int")],
-    "usno": [Field("number", 1, 5, "int"), Field("double", 6, 1), Field("ref_cat", 19, 4), Field("ref_number", 30, 5, "int"), Field("mag", 36, 3, "decimal", 10.0)],
-    "bsc5": [Field("hr", 1, 4, "int"), Field("name", 5, 10), Field("hd", 26, 6, "int"), Field("sao", 32, 6, "int"), Field("ads", 45, 5), Field("var", 52, 9), Field("v", 103, 5)],
+#: Layouts of the mapping tables between catalogues.
+MAPPINGS: dict[str, list[Field]] = {
     "map4005": [Field("zone", 2, 3, "int"), Field("number", 6, 5, "int"), Field("code", 12, 1), Field("target_zone", 15, 3, "int"), Field("target_number", 19, 5, "int"), Field("target_code", 25, 1)],
     "map4011": [Field("cpd_zone", 11, 3, "int"), Field("cpd_number", 15, 5, "int"), Field("cd_zone", 23, 3, "int"), Field("cd_number", 27, 5, "int")],
     "map4019": [Field("cd_zone", 1, 3, "int"), Field("cd_number", 4, 5, "int"), Field("cpd_zone", 12, 3, "int"), Field("cpd_number", 15, 5, "int")],
 }
 
 
-def scan(spark: SparkSession, path: str, table: str) -> DataFrame:
-    """A fixed-width file by the layout of its table, with line numbers."""
-    return parse(numbered_lines(spark, path), LAYOUTS[table])
+def scan(spark: SparkSession, path: str, mapping: str) -> DataFrame:
+    """A mapping table by its layout, with line numbers."""
+    return parse(numbered_lines(spark, path), MAPPINGS[mapping])
 
 
 def mag_flag(mag: Column) -> Column:

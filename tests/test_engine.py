@@ -13,7 +13,7 @@ from skyloom.operators import components as G
 from skyloom.operators import match as J
 from skyloom.operators import stats as A
 from skyloom.sources import fixed_width as S
-from skyloom.sources import sinks
+from skyloom.sources import sinks, tables
 
 
 def test_fields(spark):
@@ -24,9 +24,18 @@ def test_fields(spark):
 
 
 def test_scan_keeps_file_order(spark, tmp_path):
-    (tmp_path / "f.txt").write_text("".join(f"{i:5d} 1 55N\n" for i in range(5000)))
-    got = S.scan(spark, str(tmp_path / "f.txt"), "gc").orderBy("line").select("line", "number").collect()
+    (tmp_path / "f.txt").write_text("".join(f"{i:5d} 1 55N    1234&678" + " " * 15 + "2233 44\n" for i in range(5000)))
+    got = tables.read(spark, str(tmp_path / "f.txt"), "gc").orderBy("line").select("line", "number", "mag", "ra", "dec", "type").collect()
     assert [(r.line, r.number) for r in got] == [(i + 1, i) for i in range(5000)]
+    assert got[3].mag == 5.5 and got[3].type == "N"
+    assert got[3].ra == pytest.approx((12 + 34 / 60 + 6.78 / 3600) * 15) and got[3].dec == pytest.approx(-(22 + 33 / 60 + 4.4 / 3600))
+
+
+def test_every_table_parses(spark):
+    lines = spark.createDataFrame([(1, ""), (2, "1" * 220), (3, " " * 220), (4, "&" * 220)], "line long, value string")
+    for name in tables.TABLES:
+        rows = tables.stars(lines, name).collect()
+        assert len(rows) <= 4, name
 
 
 def test_precession_vector_and_round_trip(spark):
