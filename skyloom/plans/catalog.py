@@ -122,11 +122,11 @@ for _place, _what in (
 _TV = mags.visual("coalesce(bt, 0.0D)", "coalesce(vt, 0.0D)")
 
 
-@query(f"SELECT tyc1, tyc2, ra, dec, round({_TV}, 4) AS v FROM (SELECT CAST(trim(substr(value, 1, 4)) AS INTEGER) AS tyc1, CAST(trim(substr(value, 6, 5)) AS INTEGER) AS tyc2, TRY_CAST(trim(substr(value, 111, 6)) AS DOUBLE) AS bt, TRY_CAST(trim(substr(value, 124, 6)) AS DOUBLE) AS vt, CAST(trim(substr(value, 153, 12)) AS DOUBLE) AS ra, CAST(trim(substr(value, 166, 12)) AS DOUBLE) AS dec FROM (SELECT {_TLINE} AS value FROM customer)) WHERE dec < 0")
+@query(f"SELECT tyc1, tyc2, ra, dec, round({_TV} + 1e-9, 4) AS v FROM (SELECT CAST(trim(substr(value, 1, 4)) AS INTEGER) AS tyc1, CAST(trim(substr(value, 6, 5)) AS INTEGER) AS tyc2, TRY_CAST(trim(substr(value, 111, 6)) AS DOUBLE) AS bt, TRY_CAST(trim(substr(value, 124, 6)) AS DOUBLE) AS vt, CAST(trim(substr(value, 153, 12)) AS DOUBLE) AS ra, CAST(trim(substr(value, 166, 12)) AS DOUBLE) AS dec FROM (SELECT {_TLINE} AS value FROM customer)) WHERE dec < 0")
 def scan_tycho(spark: SparkSession, sf_dir: str) -> DataFrame:
     lines = t(spark, sf_dir, "customer").select(F.expr(_TLINE.replace("varchar", "string")).alias("value"))
     rows = tables.stars(lines, "tycho2").withColumns({"bt": F.col("bt").try_cast("double"), "vt": F.col("vt").try_cast("double")})
-    return rows.filter("dec < 0").select("tyc1", "tyc2", "ra", "dec", _r(_TV, 4, "v"))
+    return rows.filter("dec < 0").select("tyc1", "tyc2", "ra", "dec", _r(f"{_TV} + 1e-9", 4, "v"))
 
 
 _SAN = "CASE s_suppkey % 5 WHEN 0 THEN '1 ' WHEN 1 THEN '&7' WHEN 2 THEN '' WHEN 3 THEN ' 4' ELSE lpad(cast(s_suppkey % 100 AS varchar), 2, '0') END"
