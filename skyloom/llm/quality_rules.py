@@ -14,7 +14,7 @@ own; repeated rows get equal results; an empty table gives no rows; other column
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
@@ -28,7 +28,9 @@ MIN_GROUP = 200
 #: A fence lies so many quartile distances behind the upper quartile.
 REACH = 6.0
 #: Statistics with a fence, and the least value a fence may have.
-FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.30, "repeat_share": 0.20, "caps_share": 0.50, "word_length": 12.0}
+FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.50, "repeat_share": 0.45, "caps_share": 0.50, "word_length": 12.0}
+#: Different repeated windows of a document beyond which their places are found by sorting.
+MANY = 32
 _NO_SPACE = r"[^\x20\x09-\x0D]"
 
 
@@ -42,9 +44,21 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.transform(F.sequence(F.lit(0), F.size("words") - 3), lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2)))
     )
     # a hash of each window of three words; those that stand next to an equal one once sorted occur again
-    rows = rows.withColumn("windows", windows).withColumn("ordered", F.sort_array("windows"))
-    again = F.array_distinct(F.filter("ordered", lambda h, i: (i > 0) & (h == F.get("ordered", i - 1))))
-    rows = rows.withColumn("again", F.when(F.size(F.array_distinct("windows")) == F.size("windows"), F.array().cast("array<bigint>")).otherwise(again))
+    none = F.array().cast("array<bigint>")
+    rows = rows.withColumn("windows", windows).withColumn("unlike", F.size(F.array_distinct("windows")) == F.size("windows"))
+    # a hash of each window of three words; those that stand next to an equal one once sorted occur again
+    rows = rows.withColumn("ordered", F.when(F.col("unlike"), none).otherwise(F.sort_array("windows")))
+    rows = rows.withColumn("again", F.array_distinct(F.filter("ordered", lambda h, i: (i > 0) & (h == F.get("ordered", i - 1)))))
+    # their places: by look-up where few windows occur again, else by sorting hashes with their places
+    many = F.size("again") > MANY
+    placed = F.sort_array(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    rows = rows.withColumn("placed", F.when(many, placed))
+    beside = lambda x, k: (x["h"] == F.coalesce(F.get("placed", k - 1)["h"], F.bitwise_not(x["h"]))) | (x["h"] == F.coalesce(F.get("placed", k + 1)["h"], F.bitwise_not(x["h"])))
+    by_sort = F.transform(F.filter("placed", beside), lambda x: x["i"])
+    by_look_up = F.filter(F.sequence(F.lit(0), F.size("windows") - 1), lambda i: F.array_contains("again", F.get("windows", i)))
+    places = F.when(F.size("again") == 0, F.array().cast("array<int>")).when(many, by_sort).otherwise(by_look_up)
+    rows = rows.withColumn("places", places)
+    covered = F.array_distinct(F.flatten(F.transform("places", lambda i: F.array(i, i + 1, i + 2))))
     return rows.select(
         "doc_id",
         "lang",
@@ -55,31 +69,11 @@ def statistics(docs: DataFrame) -> DataFrame:
         F.regexp_count("text", F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.size("lines").cast("long").alias("n_lines"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
-        F.when(F.size("again") == 0, F.lit(0)).otherwise(_covered()).cast("long").alias("n_repeat_words"),
+        F.size(covered).cast("long").alias("n_repeat_words"),
         F.regexp_count("text", F.lit(r"\p{Lu}")).cast("long").alias("n_caps"),
     )
 
 
-def _covered() -> Column:
-    """Words in a window that occurs again. Many such windows: places by a sort, else by look-up."""
-    n = F.size("windows")
-    few = F.transform("windows", lambda h: F.array_contains("again", h))
-    # sorted with their places, windows that occur again are neighbours; back in order of place, linear in memory
-    placed = F.array_sort(F.transform("windows", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
-    marked = F.transform(placed, lambda x, k: F.struct(x["i"].alias("i"), (F.coalesce(F.get(placed, k - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(placed, k + 1)["h"] == x["h"], F.lit(False))).alias("m")))
-    many = F.transform(F.array_sort(marked), lambda x: x["m"])
-    marks = F.when(F.size("again") <= 64, few).otherwise(many)
-    # a word is covered by the windows that start at it and at the two words before: count first words after a gap
-    state = F.struct(F.lit(-1).alias("end"), F.lit(0).alias("sum"))
-    both = F.zip_with(marks, F.sequence(F.lit(0), n - 1), lambda m, i: F.struct(m.alias("m"), i.alias("i")))
-    folded = F.aggregate(
-        both,
-        state,
-        lambda s, x: F.when(x["m"], F.struct((x["i"] + 2).alias("end"), (s["sum"] + x["i"] + 2 - F.greatest(s["end"], x["i"] - 1)).alias("sum"))).otherwise(s),
-    )
-    return folded["sum"]
-
-
 def judged(stats: DataFrame) -> DataFrame:
     """``stats`` with base_failed and kept."""
     words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
