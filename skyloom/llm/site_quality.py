@@ -29,12 +29,14 @@ from pyspark.sql import functions as F
 from skyloom.llm import common as C
 from skyloom.llm.decontaminate import words as plain_words
 
-#: Labelled rows that the document classifier is fitted on: those of least hash, so any share of the corpus.
+#: Labelled rows that the document classifier is fitted on: those of least hash, so any share of the corpus; near copies among them are left out.
 TRAIN_ROWS = 20_000
 FEATURE_BITS = 22
-#: A feature speaks if it is in so many labelled documents and its log odds are so many standard errors from 0.
-MIN_DOCUMENTS = 5
-MIN_SIGMA = 5.0
+#: A feature speaks if it is in so many labelled texts, its likelihood-ratio statistic (G, chi-squared with one degree
+#: of freedom) is this large and so are its log odds: words that near copies of one text share seldom get there.
+MIN_DOCUMENTS = 8
+MIN_GAIN = 32.0
+MIN_ODDS = 2.5
 #: Bounds of one feature's and of a document's log odds.
 MOST = 6.0
 CLIP = 12.0
@@ -85,17 +87,31 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key // 4), pa.array(key % 4), pa.array(n)], names=["f", "label", "n"])
 
 
+def _one_of_each(texts: DataFrame) -> DataFrame:
+    """Training texts without copies and near copies, whose words would count again and again.
+
+    Near copies mostly share the least of the hashes of their three-word windows; three such sketches leave few.
+    """
+    words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
+    out = texts.withColumn("w", words).withColumn("w", windows)
+    out = out.withColumns({"s1": F.array_min("w"), "s2": F.array_max("w"), "s3": F.array_min(F.transform("w", lambda h: F.xxhash64(h)))}).drop("w")
+    for sketch in ("s1", "s2", "s3"):
+        out = out.dropDuplicates([sketch])
+    return out.drop("s1", "s2", "s3")
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
     """Speaking features (sorted), their log odds of low quality and of toxicity, and the two rates."""
     ids = labels.filter("doc_id is not null and (quality is not null or toxic is not null)")
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0).cast("int") + 2 * (F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bit_or(bad).cast("long").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # a documented bound, so it can be broadcast
-    train = C.keyed(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")
-    train = C.shared_table(train.mapInArrow(_train, "f long, label long, n long").groupBy("f").agg(
+    texts = _one_of_each(C.keyed(docs).join(F.broadcast(ids), "doc_id"))
+    train = C.shared_table(texts.select("text", "label").mapInArrow(_train, "f long, label long, n long").groupBy("f").agg(
         F.sum("n").alias("n"), *[F.sum(F.when(F.col("label").bitwiseAND(1 << k) > 0, F.col("n")).otherwise(0)).alias(f"b{k}") for k in (0, 1)]
     ), "site-features")
-    size = C.keyed(docs).join(F.broadcast(ids), "doc_id").agg(
+    size = texts.agg(
         F.count(F.lit(1)).alias("n"), *[F.count_if(F.col("label").bitwiseAND(1 << k) > 0).alias(f"b{k}") for k in (0, 1)]
     ).first()
     if not size.n:
@@ -105,7 +121,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, tup
         total = size[f"b{k}"]
         a, b = F.col(f"b{k}") + 0.5, F.col("n") - F.col(f"b{k}") + 0.5
         log = F.log(a / (total + 1)) - F.log(b / (size.n - total + 1))
-        clear = (F.abs(log) >= MIN_SIGMA * F.sqrt(1 / a + 1 / b)) & F.lit(0 < total < size.n)
+        p, n, bad = total / size.n, F.col("n"), F.col(f"b{k}")
+        part = lambda x, share: F.when(x > 0, x * F.log(x / (n * max(share, 1e-9)))).otherwise(0.0)
+        clear = (2 * (part(bad, p) + part(n - bad, 1 - p)) >= MIN_GAIN) & (F.abs(log) >= MIN_ODDS) & F.lit(0 < total < size.n)
         odds.append(F.when(clear, F.greatest(F.lit(-MOST), F.least(F.lit(MOST), log))).otherwise(0.0).alias(f"o{k}"))
         speaks = speaks | clear
     got = train.filter((F.col("n") >= MIN_DOCUMENTS) & speaks).select("f", *odds).orderBy("f").toArrow()
@@ -155,7 +173,7 @@ def _strength(sites: DataFrame, k: int, rate: Column) -> float:
 
 
 def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """doc_id, host, path, low_quality and toxic (posterior probabilities), evidence_quality, evidence_toxic, kept."""
+    """doc_id, host, path, p_low_quality and p_toxic (posterior probabilities), evidence_quality, evidence_toxic, kept."""
     model = fit(docs, labels)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.col(host).cast("string").alias("host"), F.col(path).cast("string").alias("path"))
@@ -175,6 +193,6 @@ def classify(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     odds = [F.col(f"e{k}") + F.log(F.greatest(F.col(f"r{k}"), F.lit(1e-6)) / F.greatest(1 - F.col(f"r{k}"), F.lit(1e-6))) for k in (0, 1)]
     final = [1 / (1 + F.exp(-x)) if model[2][k] else F.lit(0.0) for k, x in enumerate(odds)]
     return out.select(
-        "doc_id", "host", "path", final[0].alias("low_quality"), final[1].alias("toxic"), F.col("e0").alias("evidence_quality"), F.col("e1").alias("evidence_toxic"),
+        "doc_id", "host", "path", final[0].alias("p_low_quality"), final[1].alias("p_toxic"), F.col("e0").alias("evidence_quality"), F.col("e1").alias("evidence_toxic"),
         ((final[0] < 0.5) & (final[1] < 0.5)).alias("kept"),
     )

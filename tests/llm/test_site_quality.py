@@ -31,7 +31,7 @@ def test_held_out_and_sites(spark):
         got.setdefault(x.doc_id, []).append(x)
     assert sum(map(len, got.values())) == len(rows)
     held = [i for i in range(1500) if i % 3 == 0]
-    wrong = [i for i in held if (got[i][0].low_quality >= 0.5, got[i][0].toxic >= 0.5) != truth[i]]
+    wrong = [i for i in held if (got[i][0].p_low_quality >= 0.5, got[i][0].p_toxic >= 0.5) != truth[i]]
     assert len(wrong) <= 0.02 * len(held), len(wrong)
     assert got[2000][0].kept and got[2001][0].kept and got[None][0].kept
     assert [x.kept for x in S.classify(docs.limit(50), lab.limit(0)).collect()] == [True] * 50
