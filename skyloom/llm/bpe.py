@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import struct
 import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
@@ -24,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from tokenizers import Tokenizer
 
 from skyloom.llm import common as C
 
 #: White-space-delimited chunks of text that a worker keeps encoded (two generations of this many).
-KEPT_CHUNKS = 150_000
+KEPT_CHUNKS = 250_000
 DIGESTS = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
@@ -62,14 +64,15 @@ class Bpe(dict):
         # White_Space of Unicode, which the library's \s is, without the control characters \x1c to \x1f
         self.pieces = regex.compile(split["pattern"]["Regex"].replace("\\s", "\\p{White_Space}"))
         self.specials = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")")
-        self.fragments: dict[tuple[str, bool], tuple[int, ...]] = {}
+        self.fragments: dict[str, list[int]] = {}  # by piece
+        self.model = Tokenizer.from_file(path).model
         self.old: dict[bytes, tuple[bytes, bytes]] = {}
 
     def __missing__(self, chunk: bytes) -> tuple[bytes, bytes]:
         found = self.old.get(chunk)
         if found is None:
             ids = self.encode_chunk(chunk.decode())
-            found = np.array(ids, "<u4").tobytes(), self.decode(ids).encode()
+            found = struct.pack(f"<{len(ids)}I", *ids), self.decode(ids).encode()
         if len(self) >= KEPT_CHUNKS:
             self.old = dict(self)
             self.clear()
@@ -90,23 +93,35 @@ class Bpe(dict):
         text = text.lower()
         out: list[int] = []
         for piece in (text,) if text.isalpha() else self.pieces.findall(text):
-            raw = piece.encode()
-            at = 0
-            for i in range(1, len(raw)):
-                if not self.inside_of[raw[i - 1]][raw[i]]:
-                    out += self.fragment(raw[at:i], False)
-                    at = i
-            out += self.fragment(raw[at:], True)
+            ids = self.fragments.get(piece)
+            if ids is None:
+                if len(self.fragments) >= KEPT_CHUNKS:
+                    self.fragments.clear()
+                ids = self.fragments[piece] = self.piece(piece)
+            out += ids
         return out
 
-    def fragment(self, raw: bytes, last: bool) -> tuple[int, ...]:
-        """The ids of a fragment: the merge of least rank first, until none applies."""
-        symbols = [self.letters[b] for b in raw]
+    def piece(self, piece: str) -> list[int]:
+        """Cut between bytes that no token has side by side, encode the fragments, join their ids."""
+        raw, inside = piece.encode(), self.inside_of
+        cuts = [i for i, (a, b) in enumerate(zip(raw, raw[1:]), 1) if not inside[a][b]]
+        out: list[int] = []
+        at = 0
+        for cut in cuts:
+            out += self.fragment(raw[at:cut], False)
+            at = cut
+        return out + self.fragment(raw[at:], True)
+
+    def fragment(self, raw: bytes, last: bool) -> list[int]:
+        """The ids of a fragment: merges of least rank first, by the library's model at the end of a word."""
+        letters = raw.decode() if raw.isalpha() else "".join([self.letters[b] for b in raw])
         if last:
-            symbols[-1] += self.end
-        whole = self.vocab.get("".join(symbols))
-        if whole is not None and len(symbols) == 1:
-            return (whole,)
+            whole = self.vocab.get(letters + self.end) if len(raw) == 1 else None
+            return [whole] if whole is not None else [t.id for t in self.model.tokenize(letters)]
+        return self.merge(list(letters))
+
+    def merge(self, symbols: list[str]) -> list[int]:
+        """The same merges for a fragment inside a word, which has no end mark."""
         ranks, none = self.ranks, 1 << 60
         found = [ranks.get(pair, none) for pair in zip(symbols, symbols[1:])]
         while found:
@@ -126,7 +141,7 @@ class Bpe(dict):
                     if i < len(found):
                         found[i] = ranks.get((joined, symbols[i + 1]), none)
                 i += 1
-        return tuple(self.vocab[s] for s in symbols if s in self.vocab)
+        return [self.vocab[s] for s in symbols]
 
     def decode(self, ids: list[int]) -> str:
         return " ".join(map(self.names.__getitem__, ids))
