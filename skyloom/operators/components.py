@@ -104,7 +104,12 @@ def assign(edges: DataFrame, partial: bool = False) -> DataFrame:
     def solve(pdf: pd.DataFrame) -> pd.DataFrame:
         return _solve(pdf, partial)
 
-    return known.groupBy("component").applyInPandas(solve, "component long, l long, r long, cost double")
+    # most components of a sparse sky are one edge, which needs no solver
+    known = shared_table(known, "assign-edges")
+    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
+    single = known.join(size.filter("_n = 1"), "component").filter(F.col("cost") < NO_MATCH).drop("_n")
+    rest = known.join(size.filter("_n > 1").drop("_n"), "component")
+    return single.unionByName(rest.groupBy("component").applyInPandas(solve, "component long, l long, r long, cost double"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

@@ -478,7 +478,7 @@ def alone_anti_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.join(matched, "id", "left_anti").select("id")
 
 
-_CAS = "CASE WHEN dist < 10 AND id % 5 <> 0 THEN 'ppm' WHEN id % 9 = 0 THEN 'unidentified' WHEN dist < 60 THEN 'dm' WHEN dec BETWEEN -23 AND -1 AND dist < 90 THEN 'sd' WHEN dec <= -18 THEN 'cpd' END"
+_CAS = "CASE WHEN dist < 10.1 AND id % 5 <> 0 THEN 'ppm' WHEN id % 9 = 0 THEN 'unidentified' WHEN dist < 60.1 THEN 'dm' WHEN dec BETWEEN -23 AND -1 AND dist < 90.1 THEN 'sd' WHEN dec <= -18 THEN 'cpd' END"
 
 
 @query(SKY_SQL + f", m AS (SELECT s.id, s.dec, {sky.arcsec('n.d2')} AS dist, n.match_id FROM stars s LEFT JOIN ({_NEAREST}) n ON n.id = s.id) SELECT id, {_CAS} AS source, CASE {_CAS} WHEN 'ppm' THEN concat('P', cast(match_id AS varchar)) WHEN 'unidentified' THEN concat('U', cast(id AS varchar)) WHEN 'dm' THEN concat('D', cast(match_id AS varchar)) WHEN 'sd' THEN concat('S', cast(match_id AS varchar)) WHEN 'cpd' THEN concat('C', cast(id AS varchar)) END AS name FROM m")
@@ -487,10 +487,10 @@ def priority_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
     m = s.join(_nearest(spark, sf_dir).select(F.col("l_id").alias("id"), F.col("r_id").alias("match_id"), "dist"), "id", "left")
     e = F.expr
     levels = [
-        ("ppm", e("coalesce(dist < 10, false)"), e("CASE WHEN id % 5 <> 0 THEN concat('P', match_id) END")),
+        ("ppm", e("coalesce(dist < 10.1, false)"), e("CASE WHEN id % 5 <> 0 THEN concat('P', match_id) END")),
         ("unidentified", e("id % 9 = 0"), e("concat('U', id)")),
-        ("dm", e("coalesce(dist < 60, false)"), e("concat('D', match_id)")),
-        ("sd", e("dec BETWEEN -23 AND -1 AND coalesce(dist < 90, false)"), e("concat('S', match_id)")),
+        ("dm", e("coalesce(dist < 60.1, false)"), e("concat('D', match_id)")),
+        ("sd", e("dec BETWEEN -23 AND -1 AND coalesce(dist < 90.1, false)"), e("concat('S', match_id)")),
         ("cpd", e("dec <= -18"), e("concat('C', id)")),
     ]
     return J.cascade(m, levels).select("id", "source", "name")
@@ -515,7 +515,7 @@ def version_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     return both.select("a.id", F.expr(_DIFF).alias("difference")).filter("difference IS NOT NULL")
 
 
-_STATUS = "CASE WHEN dist IS NULL THEN 'alone' WHEN dist >= 100 THEN 'drop' WHEN dist >= 60 THEN 'far' WHEN mag IS NULL THEN 'mag skipped' WHEN abs(mag - match_mag) > 0.2 THEN 'mag bad' ELSE 'good' END"
+_STATUS = "CASE WHEN dist IS NULL THEN 'alone' WHEN dist >= 100.1 THEN 'drop' WHEN dist >= 60.1 THEN 'far' WHEN mag IS NULL THEN 'mag skipped' WHEN abs(mag - match_mag) > 0.2 THEN 'mag bad' ELSE 'good' END"
 _CLASSED = f"c AS (SELECT id, {_STATUS} AS status, dist FROM (SELECT n.id, n.mag, {sky.arcsec('n.d2')} AS dist, tw.mag AS match_mag FROM ({_NEAREST}) n JOIN twins tw ON tw.id = n.match_id))"
 
 
