@@ -3,11 +3,12 @@
 Tokens are words (A-Z in lower case) and one end for each text. The base score is a smoothed unigram of
 tokens. The model spells tokens: a word is its bytes and a closing space, the end is one symbol of its own,
 and each symbol's distribution depends on a context of up to DEPTH symbols before it in the token (its
-opening included). A context stays in the tree if it makes up at least MIN_SHARE of the training symbols
-and its distribution diverges from that of its suffix by more than MIN_DIVERGENCE nats over its
+opening included). A context stays in the tree if training has it at least MIN_COUNT times, whatever the size
+of the corpus, and its distribution diverges from that of its suffix by more than MIN_DIVERGENCE nats over its
 occurrences. The longest suffix in the tree is a symbol's state; distributions are smoothed with those of
-the shorter states (Witten-Bell). At most 1 / MIN_SHARE contexts of a length can reach the share, which
-bounds the tree and so what is broadcast, whatever the corpus.
+the shorter states (Witten-Bell). The tree grows with the corpus, so it is never collected or broadcast: it is
+a table, the probabilities of each depth come from those of the depth before by a join, and the symbols of
+the words look theirs up by a join on context and symbol.
 
 As in the base score, all words that training never saw are one token: the model gives it the share of
 training tokens that are words seen once (Good-Turing), and spells the others with the rest.
@@ -31,14 +32,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
+from skyloom.plans.lineage import release, settle
 
 DEPTH = 6
-MIN_SHARE = 5e-6
+#: Occurrences of a context in training: an absolute count (one that occurs once can stay: its divergence decides,
+#: which is summed over occurrences and so absolute, too). No share of the corpus is asked for.
+MIN_COUNT = 1
+MIN_SHARE = 0.0
 MIN_DIVERGENCE = 8.0
 #: Symbols: 256 bytes; the space closes a word and opens each context; the line feed ends a text.
 SYMBOLS = 256
 STEP = 4_000_000
 _OPEN, _END = 32, 10
+_SHORTER = "ctx & (shiftleft(1L, 8 * (d - 1)) - 1)"  # a context without its earliest byte
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -118,57 +124,81 @@ def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), d, np.int32)), pa.array(C.signed(found >> np.uint64(8))), pa.array((found & np.uint64(255)).astype(np.int32)), pa.array(n)], names=["d", "ctx", "sym", "n"])
 
 
-def tree(words: DataFrame) -> list[tuple[np.ndarray, ...]]:
-    """For each depth: sorted contexts, their totals and numbers of symbols; sorted (context, symbol) keys and counts."""
+def _spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows that add up to a word: one for its first symbols, up to DEPTH, and one for each later symbol.
+
+    k has the depth, the longest context and the symbol in one number; h is the word's hash.
+    """
+    for whole in batches:
+        for a in range(0, whole.num_rows, 40_000):
+            batch = whole.slice(a, 40_000)
+            begin = _begin(batch.column("w"))
+            sym, place, word = _spelled(batch.column("w"))
+            *_, (_, _, key) = _keys(sym, place, word, begin)
+            room = place - begin[word]
+            at = np.flatnonzero((room > DEPTH) | (room == np.minimum(np.bincount(word, minlength=batch.num_rows), DEPTH)[word]))
+            depth = np.minimum(room[at], DEPTH).astype(np.uint64)
+            key = key[at] & ((np.uint64(1) << (np.uint64(8) * depth)) - np.uint64(1))
+            packed = C.signed((depth << np.uint64(56)) | (key << np.uint64(8)) | sym[place[at]])
+            h = batch.column("h").to_numpy()[word[at]]
+            for lo in range(0, len(h), 500_000):
+                yield pa.RecordBatch.from_arrays([pa.array(packed[lo : lo + 500_000]), pa.array(h[lo : lo + 500_000])], names=["k", "h"])
+
+
+def tree(words: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """All (d, ctx, sym, n) of training, and the contexts that stay: d, ctx, total, u (how many symbols follow)."""
     counts = words.filter("c > 0").select("w", "c").mapInArrow(_contexts, "d int, ctx long, sym int, n long")
     counts = C.shared_table(counts.groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n")), "tree-counts")
-    totals = counts.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("u"))
-    all_symbols = totals.filter("d = 0").agg(F.sum("total")).first()[0] or 0
-    common = C.shared_table(totals.filter((F.col("d") == 0) | (F.col("total") >= MIN_SHARE * all_symbols)), "tree-totals")
-    rows = counts.join(common, ["d", "ctx"])
-    shorter = F.expr("ctx & (shiftleft(1L, 8 * (d - 1)) - 1)")  # without the earliest byte
-    child = rows.filter("d > 0").select("d", "ctx", "sym", "n", "total", shorter.alias("pctx"), (F.col("d") - 1).alias("pd"))
+    totals = C.shared_table(counts.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("u")), "tree-totals")
+    rows = counts.join(totals, ["d", "ctx"])
+    child = rows.filter((F.col("d") > 0) & (F.col("total") >= MIN_COUNT)).select("d", "ctx", "sym", "n", "total", "u", F.expr(_SHORTER).alias("pctx"), (F.col("d") - 1).alias("pd"))
     parent = rows.select(F.col("d").alias("pd"), F.col("ctx").alias("pctx"), "sym", F.col("n").alias("pn"), F.col("total").alias("ptotal"))
     gain = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal")))
-    kept = child.join(parent, ["pd", "pctx", "sym"]).groupBy("d", "ctx").agg(F.sum(gain).alias("gain")).filter(F.col("gain") >= MIN_DIVERGENCE).select("d", "ctx")
-    kept = kept.unionByName(common.filter("d = 0").select("d", "ctx"))
-    got = rows.join(kept, ["d", "ctx"]).select("d", "ctx", "sym", "n", "total", "u").toArrow()
-    d, ctx, sym, n, total, u = (got.column(x).to_numpy() for x in ("d", "ctx", "sym", "n", "total", "u"))
-    out = []
-    for depth in range(DEPTH + 1):
-        at = np.flatnonzero(d == depth)
-        at = at[np.argsort((ctx[at] << 8) | sym[at])]
-        key = (ctx[at] << 8) | sym[at]
-        states, first = np.unique(ctx[at], return_index=True)
-        out.append((states, total[at][first].astype(float), u[at][first].astype(float), key, n[at].astype(float)))
-    return out
-
+    kept = child.join(parent, ["pd", "pctx", "sym"]).groupBy("d", "ctx").agg(F.sum(gain).alias("gain"), F.first("total").alias("total"), F.first("u").alias("u"))
+    kept = kept.filter(F.col("gain") >= MIN_DIVERGENCE).drop("gain")
+    kept = C.shared_table(kept.unionByName(totals.filter("d = 0")), "tree-kept")
+    release(totals)
+    return counts, kept
 
-def _find(keys: np.ndarray, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    at = np.minimum(np.searchsorted(keys, wanted), max(len(keys) - 1, 0))
-    return at, (keys[at] == wanted) if len(keys) else np.zeros(len(wanted), bool)
 
-
-def spell(column: pa.Array, states: list[tuple[np.ndarray, ...]]) -> np.ndarray:
-    """log10 probability of each word; '' is the end of a text."""
-    sym, place, word = _spelled(column)
-    p = np.full(len(place), 1.0 / SYMBOLS)
-    for d, fits, key in _keys(sym, place, word, _begin(column)):
-        contexts, total, u, pairs, n = states[d]
-        ctx = C.signed(key)
-        at, there = _find(contexts, ctx)
-        there &= fits
-        if not there.any():
-            continue
-        k, at = np.flatnonzero(there), at[there]
-        pair, seen = _find(pairs, (ctx[k] << 8) | sym[place[k]].astype(np.int64))
-        p[k] = (np.where(seen, n[pair], 0.0) + u[at] * p[k]) / (total[at] + u[at])
-    return np.bincount(word, np.log10(p), len(column))
+def probabilities(counts: DataFrame, kept: DataFrame, used: list[DataFrame]) -> DataFrame:
+    """k (as in _spelling) and lp: log10 of the symbol's probability, and of all before it where the context opens a word."""
+    out = last = None
+    opens = F.expr("d > 0 and shiftright(ctx, 8 * (d - 1)) = 32")
+    for d in range(DEPTH + 1):
+        rows = counts.filter(F.col("d") == d).join(kept.filter(F.col("d") == d).drop("d"), "ctx", "left")
+        if last is None:
+            rows = rows.withColumn("pp", F.lit(1.0 / SYMBOLS))
+        else:
+            rows = rows.withColumn("pctx", F.expr(_SHORTER)).join(last.select(F.col("ctx").alias("pctx"), "sym", F.col("p").alias("pp")), ["pctx", "sym"])
+        p = F.coalesce((F.col("n") + F.col("u") * F.col("pp")) / (F.col("total") + F.col("u")), F.col("pp"))
+        rows = rows.select("d", "ctx", "sym", p.alias("p"), opens.alias("opens"))
+        if d > 1:
+            before = last.filter("opens").select(F.expr("shiftleft(ctx, 8) | sym").alias("ctx"), F.col("lp").alias("before"), F.lit(True).alias("opens"))
+            rows = rows.join(before, ["ctx", "opens"], "left")
+        else:
+            rows = rows.withColumn("before", F.lit(0.0))
+        last = C.shared_table(rows.select("d", "ctx", "sym", "p", "opens", (F.log10("p") + F.coalesce("before", F.lit(0.0))).alias("lp")), "tree-depth")
+        used.append(last)
+        # a shorter context is a symbol's longest only if the word opens with it
+        part = last if d == DEPTH else last.filter("opens")
+        part = part.select(F.expr("shiftleft(cast(d as long), 56) | shiftleft(ctx, 8) | sym").alias("k"), "lp")
+        out = part if out is None else out.unionByName(part)
+    return out
 
 
-def token_scores(column: pa.Array, counts: np.ndarray, states: list[tuple[np.ndarray, ...]], new: float) -> np.ndarray:
-    """log10 probability of each token: spelled if training saw it, else that of an unseen word."""
-    return np.where(counts > 0, np.log10(1 - new) + spell(column, states), np.log10(new))
+def token_scores(words: DataFrame, new: float) -> DataFrame:
+    """w, c and lp, the log10 probability of each word ('': the end): spelled if training has it, else that of an unseen word."""
+    each = words.withColumn("h", F.xxhash64("w"))
+    used = list(tree(words))
+    table = probabilities(*used, used)
+    symbols = each.filter("c > 0").select("w", "h").mapInArrow(_spelling, "k long, h long")
+    spelled = symbols.join(table, "k").groupBy("h").agg(F.sum("lp").alias("lp"))
+    lp = F.when(F.col("c") > 0, F.lit(float(np.log10(1 - new))) + F.col("lp")).otherwise(F.lit(float(np.log10(new))))
+    out = C.shared_table(each.join(spelled, "h", "left").select("w", "c", lp.alias("lp")), "lm-scored")
+    for x in used:
+        release(x)
+    return out
 
 
 def _summed(batches: Iterator[pa.RecordBatch], shift: float, end: tuple[int, float], total: int) -> Iterator[pa.RecordBatch]:
@@ -209,16 +239,10 @@ def score(docs: DataFrame) -> DataFrame:
     words = C.shared_table(parts.filter("w is not null").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
     n, v, once, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.coalesce(F.sum(F.when(F.col("w") == "", F.col("c"))), F.lit(0))).first()
     new = (once + 1) / (n + 2)
-    states = docs.sparkSession.sparkContext.broadcast(tree(words))
-
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for a in range(0, whole.num_rows, 40_000):
-                batch = whole.slice(a, 40_000)
-                yield pa.RecordBatch.from_arrays([batch.column("w"), batch.column("c"), pa.array(token_scores(batch.column("w"), batch.column("c").to_numpy(), states.value, new))], names=["w", "c", "lp"])
-
-    known = words.mapInArrow(scored, "w string, c long, lp double")
-    end = float(token_scores(pa.array([""]), np.array([ends]), states.value, new)[0])
+    known = token_scores(words, new)
+    end = known.filter("w = ''").select("lp").first()
+    end = float(end[0] if end else np.log10(new))
+    settle(docs.sparkSession)
     back = parts.filter("idx >= 0").select("w", "step", "idx").join(known, "w").select("step", "idx", "c", "lp", F.lit(None).cast("binary").alias("header"))
     heads = parts.filter("idx = -1").select("step", "idx", "c", F.lit(0.0).alias("lp"), "header")
     shift = float(np.log10(n + 0.5 * (v + 1)))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import gc
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -26,6 +27,20 @@ def shared_table(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def release(df: DataFrame) -> None:
+    """Delete a shared table before the driver's Python ends; no plan may read it any more."""
+    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        _drop(df.sparkSession, path)
+
+
+def settle(spark: SparkSession) -> None:
+    """Let the cleaner find the shuffles of finished queries before a large one starts."""
+    for _ in range(2):
+        gc.collect()
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(1)
+
+
 def _drop(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm

@@ -66,3 +66,14 @@ def test_scores(spark):
     fresh = [i for i, t in rows if i is not None and i < 300 and held(i) and i not in (7, 8)]
     assert sum(x[6] for x in got if x[0] in fresh) > sum(x[5] for x in got if x[0] in fresh)
     assert L.score(docs.limit(0)).collect() == []
+
+
+def test_rare_contexts_stay_however_large_the_corpus(spark):
+    words = [("qzx", 40), ("qzy", 1)] + [(f"{a}{b}", 1_000_000) for a in "abcdefgh" for b in "uvwxyz"]
+    frame = spark.createDataFrame(words, "w string, c long")
+    kept = {(x.d, x.ctx) for x in L.tree(frame)[1].collect()}
+    context = lambda b: (len(b), int.from_bytes(b, "big"))
+    assert context(b"qz") in kept or context(b"q") in kept  # 41 of some 144 million symbols
+    want, got = plain_model(Counter(dict(words))), {x.w: x.lp for x in L.token_scores(frame, 3 / (48_000_041 + 2)).collect()}
+    for w, _ in words:
+        assert got[w] - math.log10(1 - 3 / 48_000_043) == pytest.approx(want(w) - math.log10(1 - 2 / 48_000_043), rel=1e-9)
