@@ -1,16 +1,18 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed looks at SPAN consecutive words through a fixed mask and ignores the positions that the mask leaves out,
-so a changed word there doesn't hide a match. The hashes of all benchmark seeds are joined with those of all
-corpus seeds; around each hit both texts are laid side by side and the overlap that tolerates substitutions
-is measured. A document is contaminated by an item if MIN_WORDS aligned words or more (the whole item, if it
-is shorter) agree in at least MIN_AGREE of their positions.
+A seed looks at SPAN consecutive words through a fixed mask. An overlap of nine words or more that agrees in
+MIN_AGREE of its positions has SPAN agreeing words in a row: m changed words leave at most m + 1 runs, and
+L - m > 2 (m + 1) for m <= L / 4. So the seeds hit every overlap that is accepted; items of SHORT words or less are
+also looked up by two words in a row. The hashes of all benchmark seeds are joined with those of all corpus
+seeds, and on each diagonal that is hit both texts are laid side by side. A document is contaminated by an item
+if MIN_WORDS aligned words or more (the whole item, if it is shorter), of which the first and last agree, agree in
+at least MIN_AGREE of their positions.
 
 Words are runs of letters and digits, A-Z in lower case; punctuation doesn't count. The benchmark is read in
 blocks of at most BLOCK_BYTES of text; a block's index is broadcast, and the corpus is read once for each
 block, so nothing that is broadcast grows with either table.
 
-Cases: null or empty texts and items of fewer than SPAN words match nothing; a null item_id or doc_id stays
+Cases: null or empty texts and items of fewer than SPAN words, which are common text, match nothing; a null item_id or doc_id stays
 null in the result; repeated documents and items each get their rows; empty tables give no rows; other
 columns are ignored.
 """
@@ -26,13 +28,15 @@ from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
 
-#: Fixed masks over twelve words: eight positions count in each.
-MASKS = ("111111110000", "110110110110", "101101110011")
-SPAN = 12
+#: Fixed masks: three words in a row; in items of at most SHORT words also two.
+MASKS = ("111",)
+SHORT_MASKS = ("110", "011")
+SPAN = 3
+SHORT = 8
 MIN_WORDS = 13
 MIN_AGREE = 0.75
-#: How many of the last SPAN aligned words may differ before an overlap ends.
-MAX_DIFFER = 4
+#: Positions that are compared at once.
+CHUNK = 4_000_000
 BLOCK_BYTES = 8_000_000
 FILTER_BITS = 24
 SCHEMA = "doc_id long, item_id long, n_words long, n_agree long, first_word long"
@@ -72,9 +76,10 @@ class Index:
         self.w, self.rows = words(*C.buffers(pa.array(texts, pa.string())))
         inside = _inside(self.rows)
         self.hashes, self.places, self.filters = [], [], []
-        for mask in MASKS:
+        short = np.repeat(np.diff(self.rows) <= SHORT, np.diff(self.rows))
+        for mask in (*MASKS, *SHORT_MASKS):
             h = seeds(self.w, mask)
-            at = np.flatnonzero(inside[: len(h)])
+            at = np.flatnonzero((inside if mask in MASKS else inside & short)[: len(h)])
             at = at[np.argsort(h[at], kind="stable")]
             self.hashes.append(h[at])
             self.places.append(at)
@@ -86,7 +91,7 @@ class Index:
         """(row, item, words, agreeing words, first word) of the longest overlap of each pair."""
         inside = _inside(rows)
         found = []
-        for mask, hashes, places, bits in zip(MASKS, self.hashes, self.places, self.filters):
+        for mask, hashes, places, bits in zip((*MASKS, *SHORT_MASKS), self.hashes, self.places, self.filters):
             if not len(hashes):
                 continue
             h = seeds(w, mask)
@@ -100,36 +105,48 @@ class Index:
             return
         at, item_at = np.concatenate(found, axis=1)
         row, item = np.searchsorted(rows, at, "right") - 1, np.searchsorted(self.rows, item_at, "right") - 1
-        # one alignment for each row, item and offset, from its first hit on; a later hit starts again behind its overlap
-        order = np.lexsort((at, at - item_at, item, row))
+        # each diagonal of a row and an item once
+        key = np.unique(np.stack((row, item, at - item_at)), axis=1) if len(row) else np.zeros((3, 0), np.int64)
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        done: tuple = ()
-        for k in order.tolist():
-            key = (int(row[k]), int(item[k]), int(at[k] - item_at[k]))
-            if done and done[0] == key and at[k] < done[1]:
-                continue
-            lo, hi, agree = self._extend(w, int(rows[key[0]]), int(rows[key[0] + 1]), int(at[k]), int(item_at[k]), int(self.rows[key[1]]), int(self.rows[key[1] + 1]))
-            done = (key, hi)
-            whole = int(self.rows[key[1] + 1] - self.rows[key[1]])
-            if hi - lo >= min(MIN_WORDS, whole) and agree >= MIN_AGREE * (hi - lo):
-                best[key[:2]] = max(best.get(key[:2], (0, 0, 0)), (agree, hi - lo, -(lo - int(rows[key[0]]))))
+        for r, i, shift, lo, hi in self._likely(w, rows, key):
+            found = longest(w[lo:hi] == self.w[lo - shift : hi - shift], min(MIN_WORDS, int(self.rows[i + 1] - self.rows[i])))
+            if found:
+                agree, n, first = found
+                best[r, i] = max(best.get((r, i), (0, 0, 0)), (agree, n, -(lo + first - int(rows[r]))))
         for (r, i), (agree, n, first) in best.items():
             yield r, i, n, agree, -first
 
-    def _extend(self, w: np.ndarray, row_lo: int, row_hi: int, at: int, item_at: int, item_lo: int, item_hi: int) -> tuple[int, int, int]:
-        """The overlap around a hit: outwards while at most MAX_DIFFER of SPAN words differ, ends on agreeing words."""
-        left = min(at - row_lo, item_at - item_lo)
-        right = min(row_hi - at, item_hi - item_at)
-        same = w[at - left : at + right] == self.w[item_at - left : item_at + right]
-        differ = np.concatenate(([0], np.cumsum(~same)))
-        lo, hi = left, left + SPAN
-        while lo > 0 and differ[min(lo - 1 + SPAN, len(same))] - differ[lo - 1] <= MAX_DIFFER:
-            lo -= 1
-        while hi < len(same) and differ[hi + 1] - differ[max(hi + 1 - SPAN, 0)] <= MAX_DIFFER:
-            hi += 1
-        agreeing = np.flatnonzero(same[lo:hi])
-        lo, hi = lo + int(agreeing[0]), lo + int(agreeing[-1]) + 1
-        return at - left + lo, at - left + hi, int(len(agreeing))
+    def _likely(self, w: np.ndarray, rows: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
+        """Diagonals with as many agreeing words as the shortest overlap has: (row, item, shift, first word, end)."""
+        row, item, shift = key
+        lo, hi = np.maximum(rows[row], self.rows[item] + shift), np.minimum(rows[row + 1], self.rows[item + 1] + shift)
+        least = np.ceil(MIN_AGREE * np.minimum(MIN_WORDS, self.rows[item + 1] - self.rows[item]))
+        size = hi - lo
+        for a, b in C.steps(np.concatenate(([0], np.cumsum(size))), CHUNK):
+            n = size[a:b]
+            which = np.repeat(np.arange(b - a), n)
+            place = np.repeat(lo[a:b], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+            same = np.bincount(which, w[place] == self.w[place - shift[a:b][which]], b - a)
+            for k in (np.flatnonzero(same >= least[a:b]) + a).tolist():
+                yield int(row[k]), int(item[k]), int(shift[k]), int(lo[k]), int(hi[k])
+
+
+def longest(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
+    """(agreeing, words, first) of the best stretch of ``least`` words or more, its ends agreeing, in which MIN_AGREE agree."""
+    at = np.flatnonzero(same)
+    if not len(at):
+        return None
+    # more by (1 - MIN_AGREE) for a word that agrees, less by MIN_AGREE for one that doesn't; in quarters, so exact
+    unit = round(4 * MIN_AGREE)
+    total = np.concatenate(([0], np.cumsum(np.where(same, 4 - unit, -unit))))
+    ahead = np.maximum.accumulate(total[at + 1][::-1])
+    last = len(at) - 1 - np.searchsorted(ahead, total[at], "left")  # the farthest end that makes up for the beginning
+    words, agree = at[last] + 1 - at, last - np.arange(len(at)) + 1
+    fits = np.flatnonzero(words >= least)
+    if not len(fits):
+        return None
+    k = fits[np.lexsort((at[fits], -words[fits], -agree[fits]))[0]]
+    return int(agree[k]), int(words[k]), int(at[k])
 
 
 def _inside(rows: np.ndarray) -> np.ndarray:

@@ -58,3 +58,34 @@ def test_planted(spark):
     assert kept.columns == docs.columns
     assert {x.doc_id for x in kept.collect()} == {i for i, _ in rows if i is not None and i != 502} - {i for i, _ in want}
     assert D.contaminated(docs, bench.limit(0)).collect() == [] and D.contaminated(docs.limit(0), bench).collect() == []
+
+
+def found(items, docs):
+    import pyarrow as pa
+
+    from skyloom.llm import common as C
+
+    index = D.Index(list(range(len(items))), [" ".join(x) for x in items])
+    return {x[:2] for x in index.hits(*D.words(*C.buffers(pa.array([" ".join(x) for x in docs]))))}
+
+
+def test_every_accepted_overlap_is_hit():
+    from itertools import combinations
+
+    for n in (*range(3, 21), 28, 40, 50):
+        item = [f"w{j}" for j in range(n)]
+        most = n // 4
+        changes = list(combinations(range(1, n - 1), most)) if n <= 17 else [tuple(range(s, n - 1, 4))[:most] for s in (1, 2, 3)] + [tuple(range(n // 2, n // 2 + most))]
+        docs = [["before"] * 3 + ["other" if j in c else x for j, x in enumerate(item)] + ["behind"] * 3 for c in changes]
+        assert found([item], docs) == {(d, 0) for d in range(len(docs))}, n
+        too_many = [["other" if 1 <= j <= most + 1 else x for j, x in enumerate(item)]] if 3 < n < 14 else []
+        assert found([item], too_many) == set()
+
+
+def test_longest_against_brute_force():
+    r = random.Random(6)
+    for _ in range(2000):
+        same = np.array([r.random() < 0.7 for _ in range(r.randint(1, 40))])
+        want = [(int(same[a:b].sum()), b - a, -a) for a in range(len(same)) for b in range(a + 5, len(same) + 1) if same[a] and same[b - 1] and same[a:b].sum() >= 0.75 * (b - a)]
+        got = D.longest(same, 5)
+        assert (got and (got[0], got[1], -got[2])) == max(want, default=None)
