@@ -4,8 +4,8 @@ Fixed rules reject what is never wanted (the base). The other thresholds follow
 mergeable quantile sketches of the document statistics are built by grouped aggregation, and a document is
 rejected where a statistic lies beyond an outer fence of its group, a far multiple of the spread between
 the quartiles behind the upper one. Groups with few documents take the fence of their language, and those
-of rare languages the one of all documents. A fence is never tighter than FLOORS, so that groups without
-spread don't reject what is ordinary elsewhere. The thresholds are a small table that is joined with the
+of rare languages the one of all documents. The spread counts as SPREADS at least, so that groups whose
+quartiles are equal still have a fence beyond them; no fence is a constant. The thresholds are a small table that is joined with the
 documents' statistics (not their texts).
 
 Cases: a null or blank text has no words and fails the base rules; null lang or source form groups of their
@@ -27,8 +27,8 @@ SKETCH = 1000
 MIN_GROUP = 200
 #: A fence lies so many quartile distances behind the upper quartile.
 REACH = 6.0
-#: Statistics with a fence, and the least value a fence may have.
-FLOORS = {"symbol_share": 0.10, "dup_line_share": 0.50, "repeat_share": 0.45, "caps_share": 0.50, "word_length": 12.0}
+#: Statistics with a fence, and the least distance between the quartiles that counts.
+SPREADS = {"symbol_share": 0.005, "dup_line_share": 0.06, "repeat_share": 0.05, "caps_share": 0.01, "word_length": 0.1}
 #: Different repeated windows of a document beyond which their places are found by sorting.
 MANY = 32
 _NO_SPACE = r"[^\x20\x09-\x0D]"
@@ -91,13 +91,13 @@ def judged(stats: DataFrame) -> DataFrame:
     fences = levels.agg(
         F.grouping_id("lang", "source").alias("level"),
         F.count(F.lit(1)).alias("n"),
-        *[F.percentile_approx(k, F.array(F.lit(0.25), F.lit(0.75)), SKETCH).alias(k) for k in FLOORS],
+        *[F.percentile_approx(k, F.array(F.lit(0.25), F.lit(0.75)), SKETCH).alias(k) for k in SPREADS],
     )
-    fence = lambda k: F.greatest(F.lit(FLOORS[k]), F.col(k)[1] + REACH * (F.col(k)[1] - F.col(k)[0])).alias(f"f_{k}")
-    fences = fences.filter((F.col("n") >= MIN_GROUP) | (F.col("level") == 3)).select("lang", "source", "level", *map(fence, FLOORS))
+    fence = lambda k: (F.col(k)[1] + REACH * F.greatest(F.lit(SPREADS[k]), F.col(k)[1] - F.col(k)[0])).alias(f"f_{k}")
+    fences = fences.filter((F.col("n") >= MIN_GROUP) | (F.col("level") == 3)).select("lang", "source", "level", *map(fence, SPREADS))
     out = rows
     for level, keys in ((0, ["lang", "source"]), (1, ["lang"]), (3, [])):
-        part = fences.filter(F.col("level") == level).select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct(*[f"f_{k}" for k in FLOORS]).alias(f"l{level}"))
+        part = fences.filter(F.col("level") == level).select(*[F.col(k).alias(f"k_{k}") for k in keys], F.struct(*[f"f_{k}" for k in SPREADS]).alias(f"l{level}"))
         if keys:
             on = None
             for k in keys:
@@ -108,7 +108,7 @@ def judged(stats: DataFrame) -> DataFrame:
             out = out.join(F.broadcast(part.limit(1)), how="left")
     best = F.coalesce("l0", "l1", "l3")
     beyond = F.lit(False)
-    for k in FLOORS:
+    for k in SPREADS:
         beyond = beyond | F.coalesce(F.col(k) > best[f"f_{k}"], F.lit(False))
     return out.select(*rows.columns, (~F.col("base_failed") & ~beyond).alias("kept"))
 

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from skyloom.llm.quality_rules import keep_good, quality_rules
+from skyloom.llm.quality_rules import judged, keep_good, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -42,3 +42,18 @@ def test_counts_and_verdicts(spark):
     assert kept.columns == docs.columns
     assert sorted(x.doc_id for x in kept.collect() if x.doc_id is not None) == sorted(i for i, *_ in rows if i is not None and got[i][0].kept)
     assert quality_rules(docs.limit(0)).collect() == []
+
+
+def test_groups_decide(spark):
+    """The same statistics get another verdict in another source."""
+    r = random.Random(9)
+    columns = "doc_id long, lang string, source string, t long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_caps long"
+    plain = lambda i: (i, "en", "prose", i, 100, 450 + r.randint(0, 100), 0, 20, 0, 0, 10)
+    code = lambda i: (i, "en", "code", i, 100, 450 + r.randint(0, 500), r.randint(0, 120), 20, r.randint(0, 8), r.randint(0, 30), r.randint(0, 90))
+    rows = [plain(i) for i in range(300)] + [code(i) for i in range(300, 600)]
+    odd = [(850, 0, 0, 0, 10), (500, 45, 0, 0, 10), (500, 0, 9, 0, 10), (500, 0, 0, 40, 10), (500, 0, 0, 0, 60)]
+    for k, (chars, symbols, dup, repeat, caps) in enumerate(odd):
+        rows += [(1000 + 2 * k + j, "en", s, 0, 100, chars, symbols, 20, dup, repeat, caps) for j, s in enumerate(("prose", "code"))]
+    got = {x.doc_id: x.kept for x in judged(spark.createDataFrame(rows, columns)).collect()}
+    assert all(got[i] for i in range(600))
+    assert [(got[1000 + 2 * k], got[1001 + 2 * k]) for k in range(len(odd))] == [(False, True)] * len(odd)
