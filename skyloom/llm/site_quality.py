@@ -31,6 +31,8 @@ from skyloom.llm.decontaminate import words as plain_words
 
 #: Labelled rows that the document classifier is fitted on: those of least hash, so any share of the corpus; near copies among them are left out.
 TRAIN_ROWS = 20_000
+#: Jaccard similarity of three-word windows from which a training text is a near copy.
+NEAR = 0.8
 FEATURE_BITS = 22
 #: A feature speaks if it is in so many labelled texts, its likelihood-ratio statistic (G, chi-squared with one degree
 #: of freedom) is this large and so are its log odds: words that near copies of one text share seldom get there.
@@ -87,18 +89,39 @@ def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(key // 4), pa.array(key % 4), pa.array(n)], names=["f", "label", "n"])
 
 
+def _windows(text: str) -> set[int]:
+    words = text.split()
+    return {hash(tuple(words[i : i + 3])) for i in range(max(len(words) - 2, 1))}
+
+
+def _alike(texts: DataFrame) -> DataFrame:
+    """Sorts each group of equal sketches by doc_id and leaves out what is NEAR the same as one that it keeps."""
+
+    def run(table: pa.Table) -> pa.Table:
+        order = sorted(range(table.num_rows), key=lambda i: (table["doc_id"][i].as_py(), table["text"][i].as_py()))
+        keep: list[int] = []
+        kept: list[set[int]] = []
+        for i in order:
+            w = _windows(table["text"][i].as_py())
+            if not any(len(w & x) >= NEAR * len(w | x) for x in kept):
+                keep.append(i)
+                kept.append(w)
+        return table.take(pa.array(keep, pa.int64())).select(["doc_id", "text", "label"])
+
+    return texts.groupBy("s1", "s2", "s3").applyInArrow(run, "doc_id long, text string, label long")
+
+
 def _one_of_each(texts: DataFrame) -> DataFrame:
     """Training texts without copies and near copies, whose words would count again and again.
 
-    Near copies mostly share the least of the hashes of their three-word windows; three such sketches leave few.
+    A text goes only if all three sketches (least, greatest and least rehash of its three-word windows) are those of a
+    text of lesser doc_id that stays and the Jaccard similarity of their windows is NEAR at least.
     """
     words = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
     windows = F.transform(F.sequence(F.lit(0), F.greatest(F.size("w") - 3, F.lit(0))), lambda i: F.xxhash64(F.get("w", i), F.get("w", i + 1), F.get("w", i + 2)))
     out = texts.withColumn("w", words).withColumn("w", windows)
-    out = out.withColumns({"s1": F.array_min("w"), "s2": F.array_max("w"), "s3": F.array_min(F.transform("w", lambda h: F.xxhash64(h)))}).drop("w")
-    for sketch in ("s1", "s2", "s3"):
-        out = out.dropDuplicates([sketch])
-    return out.drop("s1", "s2", "s3")
+    out = out.withColumns({"s1": F.array_min("w"), "s2": F.array_max("w"), "s3": F.array_min(F.transform("w", lambda h: F.xxhash64(h)))})
+    return _alike(out.select("doc_id", "text", "label", "s1", "s2", "s3"))
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, tuple[float, float]]:
@@ -107,7 +130,8 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, tup
     bad = (F.coalesce(F.col("quality"), F.lit(1)) == 0).cast("int") + 2 * (F.coalesce(F.col("toxic"), F.lit(0)) == 1).cast("int")
     ids = ids.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bit_or(bad).cast("long").alias("label"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(TRAIN_ROWS)  # a documented bound, so it can be broadcast
-    texts = _one_of_each(C.keyed(docs).join(F.broadcast(ids), "doc_id"))
+    # written once, so that features and totals count the same sample
+    texts = C.shared_table(_one_of_each(C.keyed(docs).join(F.broadcast(ids), "doc_id").select("doc_id", "text", "label")), "site-sample")
     train = C.shared_table(texts.select("text", "label").mapInArrow(_train, "f long, label long, n long").groupBy("f").agg(
         F.sum("n").alias("n"), *[F.sum(F.when(F.col("label").bitwiseAND(1 << k) > 0, F.col("n")).otherwise(0)).alias(f"b{k}") for k in (0, 1)]
     ), "site-features")

@@ -36,3 +36,17 @@ def test_held_out_and_sites(spark):
     assert got[2000][0].kept and got[2001][0].kept and got[None][0].kept
     assert [x.kept for x in S.classify(docs.limit(50), lab.limit(0)).collect()] == [True] * 50
     assert S.classify(docs.limit(0), lab).collect() == []
+
+
+def test_only_near_copies_leave_the_sample(spark):
+    r = random.Random(4)
+    prose = lambda n: [f"w{r.randrange(5000)}" for _ in range(n)]
+    shared = prose(200)
+    rows = [(i, " ".join(prose(40) + shared[:60] + prose(40))) for i in range(60)]  # a passage in common, otherwise distinct
+    copy = prose(100)
+    rows += [(100 + i, " ".join(copy)) for i in range(5)] + [(200, ""), (201, "")]
+    want = [*range(60), 100, 200]
+    for seed in (1, 2):
+        r.shuffle(rows)
+        docs = spark.createDataFrame([(*x, 0) for x in rows], "doc_id long, text string, label long").repartition(seed * 3)
+        assert sorted(x.doc_id for x in S._one_of_each(docs).collect()) == want
