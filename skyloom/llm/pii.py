@@ -42,6 +42,10 @@ IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]+\.[0-9]+\.[0-9]+")
 CARD = re.compile(r"[0-9](?:[ -]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 DIGIT = re.compile(r"[0-9]+")
+#: Cues: a colon or equals sign, and words of the gazetteer, before a value.
+CUE = re.compile(r"[=:][ \"']*")
+NAMED = re.compile(r"(?<![A-Za-z_])[A-Za-z_]+(?=[ \"':=])")
+TOKEN_RUN = re.compile(r"[A-Za-z0-9_+/-]+")
 TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
 
 #: Formats of keys that services publish.
@@ -86,20 +90,30 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, list[int]]]:
-    """(kind, start, end, vote pattern, features) of tokens of 6 to 200 characters that hold a digit."""
+    """(kind, start, end, vote pattern, features) of tokens of 6 characters or more that hold a digit or stand behind a cue."""
     out = []
-    done = 0
     spans = sorted((lo, hi) for _, lo, hi in taken)
-    for m in DIGIT.finditer(text):
-        if m.start() < done:
+    cued = {m.end() for m in CUE.finditer(text)}
+    for m in NAMED.finditer(text):
+        if m.group().lower() in SECRET_WORDS:
+            at = m.end()
+            while at < len(text) and text[at] in " \"':=":
+                at += 1
+            cued.add(at)
+    done = 0
+    starts = sorted({m.start() for m in DIGIT.finditer(text)} | cued)
+    for at in starts:
+        if at < done:
             continue
-        lo, hi = m.span()
+        lo = at
         while lo > done and text[lo - 1] in TOKEN:
             lo -= 1
-        while hi < len(text) and text[hi] in TOKEN:
-            hi += 1
-        done = hi
-        if not 6 <= hi - lo <= 200 or any(a < hi and lo < b for a, b in spans):
+        m = TOKEN_RUN.match(text, at)
+        hi = m.end() if m else at
+        done = max(done, hi)
+        if hi - lo < 6:
+            continue
+        if any(a < hi and lo < b for a, b in spans):
             continue
         out.append(_vote(text, lo, hi))
     return out

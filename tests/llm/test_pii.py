@@ -79,3 +79,30 @@ def test_query_and_mask(spark):
     assert "[email]" in texts[2] and "@" not in texts[2] and "[secret]" in texts[0]
     assert texts[3] == rows[3][1]
     assert pii.report(pii.detect(docs.limit(0))).collect() == []
+
+
+def test_candidates_behind_cues_and_long_ones():
+    token = "".join(random.Random(5).choice("ABCDEFGHabcdefgh0123456789_-") for _ in range(900))
+    for text, value in (("the password: correcthorsebattery is", "correcthorsebattery"), ('key="abcdefGHIJKLmnop"', "abcdefGHIJKLmnop"), ("send Bearer QwErTyUiOpAsDf now", "QwErTyUiOpAsDf"), (f"jwt {token} end", token)):
+        assert value in [text[lo:hi] for _, lo, hi, *_ in pii.candidates(text, [])]
+    assert pii.candidates("plain words behind nothing", []) == []
+    for long in ("=" * 100_000, "a" * 300_000, "token " * 50_000, "=a" * 100_000, "password" + " " * 200_000):
+        pii.candidates(long, [])
+
+
+def test_letters_and_long_tokens_are_masked(spark):
+    r = random.Random(8)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    rows, secrets = [], {}
+    for i in range(400):
+        words = ["".join(r.choice("abcdehnost") for _ in range(r.randint(2, 9))) for _ in range(60)]
+        if i % 4 == 0:
+            value = ["%040x" % r.getrandbits(160), "".join(r.choice(letters) for _ in range(24)), "correcthorsebattery", "".join(r.choice(letters + "0123456789") for _ in range(600))][i // 4 % 4]
+            secrets[i] = value
+            words.insert(30, r.choice(["password: ", "token = ", "secret="]) + value)
+        if i % 4 == 1:
+            words.insert(10, r.choice(["note: nothing", "chapter 10-20-30", "page 123456", "see: another"]))
+        rows.append((i, " ".join(words)))
+    got = {x.doc_id: x.text for x in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [i for i, v in secrets.items() if v in got[i]] == []
+    assert [i for i, t in rows if i not in secrets and got[i] != t] == []
