@@ -11,7 +11,13 @@
    for bytes, factoring for words) decides window by window. Equal windows share their
    anchor, so the contexts of an anchor are solved together and no others are needed.
 4. An anchor whose contexts may have more than HOT_SYMBOLS symbols isn't solved in one task. Its windows
-   are hashed and counted as rows of their own, with partial aggregation: exact at any size.
+   are hashed and counted as rows of their own, with partial aggregation, at any size.
+
+Step 2 takes contexts for equal whose anchor and context hashes agree, step 4 windows whose two hashes agree: 128
+bits each. Step 3 compares the symbols themselves (bytes, or words by their 64-bit hashes).
+
+Each step's tables are dropped once the next step has its own, so disk holds one shuffle of the texts and
+the rows of one step at a time.
 """
 
 from __future__ import annotations
@@ -25,11 +31,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
+from skyloom.plans.lineage import release, settle
 
 #: Symbols of one anchor's contexts that a task may take; beyond, its windows become rows.
 HOT_SYMBOLS = 1_500_000
 #: Bytes of contexts that a solver gets at once, whole anchors apart.
 SOLVE_BYTES = 800_000
+#: Low bits of a packed (hash, place): the same for steps of any length, so equal windows choose equal anchors everywhere.
+PLACE_BITS = np.uint64(32)
 CONTEXT_SCHEMA = "h long, c long, od long, doc_id long, t long, s long"
 SPAN_SCHEMA = "doc_id long, t long, lo long, hi long"
 
@@ -61,15 +70,14 @@ def contexts(sym: np.ndarray, offsets: np.ndarray, kind: Kind) -> dict[str, np.n
     a = C.Roll(sym, C.BASE_A)
     at = np.arange(len(sym) - k + 1)
     grams = a(at, at + k)
-    bits = np.uint64(max(24, int(len(grams)).bit_length()))
-    keys = ((grams >> bits) << bits) | at.astype(np.uint64)
+    keys = ((grams >> PLACE_BITS) << PLACE_BITS) | at.astype(np.uint64)
     width = w_all - k + 1
     least = _sliding_min(keys, width)
     counts = lengths[rows] - w_all + 1
     ends = np.cumsum(counts)
     row_of = np.repeat(rows, counts)
     starts = np.arange(ends[-1]) - np.repeat(ends - counts, counts) + np.repeat(offsets[rows], counts)
-    anchor = (least[starts] & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
+    anchor = (least[starts] & ((np.uint64(1) << PLACE_BITS) - np.uint64(1))).astype(np.int64)
     new = np.ones(len(starts), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (row_of[1:] != row_of[:-1])
     first = np.flatnonzero(new)
@@ -213,27 +221,37 @@ def _windows(kind: Kind) -> Callable:
 
 def repeated_windows(docs: DataFrame, kind: Kind, solver: Callable, label: str) -> DataFrame:
     """doc_id, t, lo, hi: the windows that start at lo to hi occur again. ``docs`` comes from keyed()."""
+    spark = docs.sparkSession
     rows = C.shared_table(docs.mapInArrow(_emit(kind), CONTEXT_SCHEMA), f"{label}-contexts")
     key = ["h", "c", "od"]
     counted = rows.groupBy(*key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("doc_id", "t", "s")).alias("r"))
-    # contexts of an anchor and the least frequent of them, again with partial aggregation
+    # the text of a context found twice is needed only beside one found once: its place is kept, its rows are done
     counted = C.shared_table(counted, f"{label}-counted")
-    split = counted.groupBy("h").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("h", "g")
     sure = rows.join(counted.filter("n > 1").select(*key), key, "left_semi")
     sure = sure.select("doc_id", "t", F.col("s").alias("lo"), (F.col("s") + F.col("od").bitwiseAND(F.lit(0xFFFFFFFF))).alias("hi"))
+    sure = C.shared_table(sure, f"{label}-sure")
+    release(rows)
+    # contexts of an anchor and the least frequent of them, again with partial aggregation
+    split = counted.groupBy("h").agg(F.count(F.lit(1)).alias("g"), F.min("n").alias("least")).filter("g > 1 and least = 1").select("h", "g")
     wanted = counted.join(split, "h").select("r.doc_id", "r.t", F.struct(F.col("r.s").alias("s"), "od", "h", "n", "g").alias("w"))
-    wanted = wanted.groupBy("doc_id", "t").agg(F.collect_list("w").alias("want"))
+    wanted = C.shared_table(wanted.groupBy("doc_id", "t").agg(F.collect_list("w").alias("want")), f"{label}-wanted")
+    release(counted)
     d, w = docs.alias("d"), wanted.alias("w")
     pieces = d.join(w, F.col("d.t").eqNullSafe(F.col("w.t")) & F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))).select("d.doc_id", "d.t", "d.text", "w.want")
     pieces = pieces.mapInArrow(_slices(kind), "h long, n long, g long, od long, doc_id long, t long, s long, piece binary")
+    settle(spark)
     pieces = C.shared_table(pieces, f"{label}-pieces")
+    release(wanted)
     most = HOT_SYMBOLS // (2 * kind.window - kind.gram)
     few = pieces.filter(F.col("g") <= most).repartition("h").sortWithinPartitions("h")
     solved = few.mapInArrow(_solve(kind, solver), SPAN_SCHEMA)
     hot = pieces.filter(F.col("g") > most).mapInArrow(_windows(kind), "a long, b long, n long, doc_id long, t long, lo long")
     again = hot.groupBy("a", "b").agg(F.count(F.lit(1)).alias("m"), F.max("n").alias("n")).filter("m > 1 or n > 1").select("a", "b")
     hot = hot.filter("n = 1").join(again, ["a", "b"], "left_semi").select("doc_id", "t", "lo", F.col("lo").alias("hi"))
-    return sure.unionByName(solved).unionByName(hot)
+    more = C.shared_table(solved.unionByName(hot), f"{label}-solved")
+    release(pieces)
+    settle(spark)
+    return sure.unionByName(more)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
