@@ -1,10 +1,13 @@
 """Substring deduplication by relative Lempel-Ziv parsing over words.
 
-Documents are factored greedily against the indexed reference blocks. The index is distributed by
-anchor (skyloom.llm.repeats): the blocks that can share a window with a document's block meet in one
-bucket, so a document is factored against every block that could match. A factor of the window length
-or more is a duplicate span; behind a factor the windows that straddle its boundary are looked up
-one by one, because a block other than the factor's may hold them.
+Documents are factored greedily against the indexed reference blocks. The index, a suffix array of blocks, is
+distributed by anchor (skyloom.llm.repeats): the blocks that can share a window with a document's block meet in
+one bucket, so a block is factored against every block that could match. Each factor is the longest match at its
+place; all windows inside a factor of the window length or more are duplicate. Windows that straddle a
+factor's boundary are looked up in the index, because a block other than the factor's may hold them.
+
+Blocks found twice, word by word, are one factor of whole length; they are found by counting their hashes before the
+index is built. The blocks of anchors beyond HOT_SYMBOLS are cut into windows, which are counted.
 
 Cases: a null text has no words; fewer words than a window are all kept; a row that repeats another row
 is a copy of it; an empty table gives no rows; other columns are ignored.
@@ -21,6 +24,7 @@ from pyspark.sql import DataFrame
 
 from skyloom.llm import common as C
 from skyloom.llm import repeats as R
+from skyloom.llm.suffix_dedup import suffix_order
 
 WINDOW_WORDS = 35
 ANCHOR_WORDS = 6
@@ -28,39 +32,59 @@ KIND = R.Kind(words=True, window=WINDOW_WORDS, gram=ANCHOR_WORDS)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
+def longest_matches(sym: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """How many symbols of each place stand somewhere else in the blocks, too; matches don't cross block ends.
+
+    The index is the suffix array of all blocks, each closed by a symbol of its own; the longest match of a place is
+    with one of its two neighbours there.
+    """
+    n_rows, most = len(rows) - 1, int(np.diff(rows).max())
+    rank = np.unique(sym, return_inverse=True)[1]
+    row = np.repeat(np.arange(n_rows), np.diff(rows))
+    text = np.empty(len(sym) + n_rows, np.int64)
+    text[np.arange(len(sym)) + row] = rank + 1
+    text[rows[1:] + np.arange(n_rows)] = len(sym) + 1 + np.arange(n_rows)
+    order = suffix_order(text, most + 1)
+    a, b = order[:-1], order[1:]
+    common = np.zeros(len(a), np.int64)
+    live = np.arange(len(a))
+    padded = np.append(text, 0)  # the last suffix ends; no symbol is 0
+    for k in range(most):
+        live = live[padded[np.minimum(a[live] + k, len(text))] == padded[np.minimum(b[live] + k, len(text))]]
+        if not len(live):
+            break
+        common[live] = k + 1
+    best = np.zeros(len(text), np.int64)
+    np.maximum.at(best, a, common)
+    np.maximum.at(best, b, common)
+    return best[np.arange(len(sym)) + row]
+
+
+def parse(best: list[int]) -> list[int]:
+    """Where the factors of a block begin, and its end: each takes the longest match at its place, one symbol at least."""
+    cuts, p = [0], 0
+    while p < len(best):
+        p += best[p] or 1
+        cuts.append(p)
+    return cuts
+
+
 def solve(data: np.ndarray, sym: np.ndarray, rows: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of these blocks lie in a factor of the window length or more, or straddle one and match."""
-    n_all = int(windows.sum())
-    begins = np.cumsum(windows) - windows
-    place = np.repeat(rows[:-1] - begins, windows) + np.arange(n_all)
-    digest = C.Roll(sym, C.BASE_A)(place, place + length)
-    # the index: for each window, the first block place that holds it and one more
-    _, first, inverse, counts = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
-    if not (counts > 1).any():
-        return np.zeros(n_all, bool)
-    second = np.full(len(first), -1, np.int64)
-    other = np.flatnonzero(first[inverse] != np.arange(n_all))
-    second[inverse[other]] = other
-    found = np.where(first[inverse] != np.arange(n_all), first[inverse], second[inverse])
-    out = np.zeros(n_all, bool)
-    row_end = np.repeat(rows[1:], windows)
-    at = 0
-    hits = np.flatnonzero(found >= 0)
-    p = 0
-    while p < len(hits):
-        at = int(hits[p])
-        # a factor starts: extend it in the reference as far as both blocks go
-        here, there = int(place[at]), int(place[found[at]])
-        room = min(int(row_end[at]) - here, int(row_end[found[at]]) - there)
-        same = sym[here : here + room] == sym[there : there + room]
-        factor = room if same.all() else int(np.argmin(same))
-        if factor >= length:
-            whole = min(factor - length + 1, int(row_end[at]) - length + 1 - here)
-            out[at : at + whole] = True
-            at += whole - 1
-        # go on at the first window that straddles the boundary and is in the index
-        p = int(np.searchsorted(hits, at + 1))
-    return out
+    """Which windows of these blocks lie in a factor, or straddle a factor's boundary and match."""
+    best = longest_matches(sym, rows)
+    out: list[np.ndarray] = []
+    for lo, hi, n in zip(rows[:-1].tolist(), rows[1:].tolist(), windows.tolist()):
+        block = best[lo:hi]
+        found = np.zeros(n, bool)
+        if block[:n].max() >= length:
+            cuts = np.array(parse(block.tolist()))
+            at = np.arange(n)
+            factor = np.searchsorted(cuts, at, "right")
+            inside = at + length <= cuts[factor]
+            found[inside] = True
+            found[~inside] = block[:n][~inside] >= length  # straddles a boundary: looked up
+        out.append(found)
+    return np.concatenate(out) if out else np.zeros(0, bool)
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
