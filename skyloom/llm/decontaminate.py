@@ -1,19 +1,23 @@
 """Benchmark decontamination by spaced-seed hashing.
 
-A seed looks at SPAN consecutive words through a fixed mask. An overlap of nine words or more that agrees in
-MIN_AGREE of its positions has SPAN agreeing words in a row: m changed words leave at most m + 1 runs, and
-L - m > 2 (m + 1) for m <= L / 4. So the seeds hit every overlap that is accepted; items of SHORT words or less are
-also looked up by two words in a row. The hashes of all benchmark seeds are joined with those of all corpus
-seeds, and on each diagonal that is hit both texts are laid side by side. A document is contaminated by an item
-if MIN_WORDS aligned words or more (the whole item, if it is shorter), of which the first and last agree, agree in
-at least MIN_AGREE of their positions.
-
-Words are runs of letters and digits, A-Z in lower case; punctuation doesn't count. The benchmark is read in
-blocks of at most BLOCK_BYTES of text; a block's index is broadcast, and the corpus is read once for each
-block, so nothing that is broadcast grows with either table.
-
-Cases: null or empty texts and items of fewer than SPAN words, which are common text, match nothing; a null item_id or doc_id stays
-null in the result; repeated documents and items each get their rows; empty tables give no rows; other
+A seed looks at the words under the ones of a fixed mask and ignores those under its zeros. A document is contaminated
+by an item if MIN_WORDS aligned words or more (the whole item, if it is shorter), of which the first and last agree,
+agree in at least MIN_AGREE of their positions. The masks are chosen so that every such overlap holds a seed that
+agrees: however a quarter of 13 words or more is changed, one of MASKS fits somewhere between the changes (the tests
+find the least number of changes that no seed survives, by dynamic programming). Items of fewer than MIN_WORDS words
+have shorter masks of their own, for which the same holds.
+
+1. The seeds of all items are a table, and a filter of 2^FILTER_BITS bits (8 MB whatever the benchmark's size) says which
+   hashes occur in it. The filter is broadcast; it only saves rows.
+2. The corpus is read once. Each document gives its seeds that pass the filter and, if it has any, its text.
+3. Seeds of both sides are joined on the hash; a pair of seeds is a diagonal of a document and an item. Diagonals
+   are made distinct by partial aggregation; items join them, and documents stream through them.
+4. On each diagonal both texts are laid side by side and the best stretch is taken.
+
+Words are runs of letters and digits, A-Z in lower case; punctuation doesn't count.
+
+Cases: null or empty texts match nothing, nor do items of one or two words, which are common text; a null item_id or
+doc_id stays null in the result; repeated documents and items each get their rows; empty tables give no rows; other
 columns are ignored.
 """
 
@@ -27,18 +31,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
+from skyloom.plans.lineage import release
 
-#: Fixed masks: three words in a row; in items of at most SHORT words also two.
-MASKS = ("111",)
-SHORT_MASKS = ("110", "011")
-SPAN = 3
-SHORT = 8
 MIN_WORDS = 13
 MIN_AGREE = 0.75
-#: Positions that are compared at once.
-CHUNK = 4_000_000
-BLOCK_BYTES = 8_000_000
-FILTER_BITS = 24
+#: Fixed masks by the length of items: of MIN_WORDS words and more, of 9 to 12, of 3 to 8.
+MASKS = ("10111", "110011")
+MEDIUM_MASKS = ("111",)
+SHORT_MASKS = ("11",)
+ALL_MASKS = (*MASKS, *MEDIUM_MASKS, *SHORT_MASKS)
+FILTER_BITS = 26
 SCHEMA = "doc_id long, item_id long, n_words long, n_agree long, first_word long"
 _GAP = np.ones(256, bool)
 _GAP[list(b"abcdefghijklmnopqrstuvwxyz0123456789") + list(range(128, 256))] = False
@@ -57,78 +59,48 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return C.word_hashes(data, start, end), np.searchsorted(start, offsets)
 
 
-def seeds(w: np.ndarray, mask: str) -> np.ndarray:
-    """The hash of the seed that starts at each word."""
-    n = len(w) - SPAN + 1
-    total = np.zeros(max(n, 0), np.uint64)
-    if n > 0:
-        for j, kept in enumerate(mask):
-            if kept == "1":
-                total += C.mix(w[j : j + n] + np.uint64(j * 0x9E3779B97F4A7C15 % (1 << 64)))
-    return C.mix(total + np.uint64(int(mask, 2)))
-
-
-class Index:
-    """The seeds of a block of items."""
-
-    def __init__(self, ids: list, texts: list[str | None]) -> None:
-        self.ids = ids
-        self.w, self.rows = words(*C.buffers(pa.array(texts, pa.string())))
-        inside = _inside(self.rows)
-        self.hashes, self.places, self.filters = [], [], []
-        short = np.repeat(np.diff(self.rows) <= SHORT, np.diff(self.rows))
-        for mask in (*MASKS, *SHORT_MASKS):
-            h = seeds(self.w, mask)
-            at = np.flatnonzero((inside if mask in MASKS else inside & short)[: len(h)])
-            at = at[np.argsort(h[at], kind="stable")]
-            self.hashes.append(h[at])
-            self.places.append(at)
-            bits = np.zeros(1 << FILTER_BITS, bool)
-            bits[(h[at] >> np.uint64(64 - FILTER_BITS)).astype(np.int64)] = True
-            self.filters.append(np.packbits(bits))
-
-    def hits(self, w: np.ndarray, rows: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """(row, item, words, agreeing words, first word) of the longest overlap of each pair."""
-        inside = _inside(rows)
-        found = []
-        for mask, hashes, places, bits in zip((*MASKS, *SHORT_MASKS), self.hashes, self.places, self.filters):
-            if not len(hashes):
-                continue
-            h = seeds(w, mask)
-            top = (h >> np.uint64(64 - FILTER_BITS)).astype(np.int64)
-            at = np.flatnonzero((bits[top >> 3] >> (7 - (top & 7)).astype(np.uint8) & 1).astype(bool) & inside[: len(h)])
-            lo, hi = np.searchsorted(hashes, h[at], "left"), np.searchsorted(hashes, h[at], "right")
-            many = hi - lo
-            item_at = places[np.repeat(lo, many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)]
-            found.append(np.stack((np.repeat(at, many), item_at)))
-        if not found:
-            return
-        at, item_at = np.concatenate(found, axis=1)
-        row, item = np.searchsorted(rows, at, "right") - 1, np.searchsorted(self.rows, item_at, "right") - 1
-        # each diagonal of a row and an item once
-        key = np.unique(np.stack((row, item, at - item_at)), axis=1) if len(row) else np.zeros((3, 0), np.int64)
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
-        for r, i, shift, lo, hi in self._likely(w, rows, key):
-            found = longest(w[lo:hi] == self.w[lo - shift : hi - shift], min(MIN_WORDS, int(self.rows[i + 1] - self.rows[i])))
-            if found:
-                agree, n, first = found
-                best[r, i] = max(best.get((r, i), (0, 0, 0)), (agree, n, -(lo + first - int(rows[r]))))
-        for (r, i), (agree, n, first) in best.items():
-            yield r, i, n, agree, -first
-
-    def _likely(self, w: np.ndarray, rows: np.ndarray, key: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
-        """Diagonals with as many agreeing words as the shortest overlap has: (row, item, shift, first word, end)."""
-        row, item, shift = key
-        lo, hi = np.maximum(rows[row], self.rows[item] + shift), np.minimum(rows[row + 1], self.rows[item + 1] + shift)
-        least = np.ceil(MIN_AGREE * np.minimum(MIN_WORDS, self.rows[item + 1] - self.rows[item]))
-        size = hi - lo
-        for a, b in C.steps(np.concatenate(([0], np.cumsum(size))), CHUNK):
-            n = size[a:b]
-            which = np.repeat(np.arange(b - a), n)
-            place = np.repeat(lo[a:b], n) + np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-            same = np.bincount(which, w[place] == self.w[place - shift[a:b][which]], b - a)
-            for k in (np.flatnonzero(same >= least[a:b]) + a).tolist():
-                yield int(row[k]), int(item[k]), int(shift[k]), int(lo[k]), int(hi[k])
+def masks_of(n: int) -> tuple[str, ...]:
+    """The masks for an item of n words."""
+    return MASKS if n >= MIN_WORDS else MEDIUM_MASKS if n > 8 else SHORT_MASKS if n > 2 else ()
+
+
+def seeds(w: np.ndarray, rows: np.ndarray, mask: str) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the seeds that lie within a row, and the word where each starts."""
+    n = len(w) - len(mask) + 1
+    if n <= 0:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64)
+    total = np.full(n, ALL_MASKS.index(mask) * 0xD1B54A32D192ED03 % (1 << 64), np.uint64)
+    for j, kept in enumerate(mask):
+        if kept == "1":
+            total += w[j : j + n] * np.uint64(pow(C.BASE_A, j + 1, 1 << 64))
+    ends = np.repeat(rows[1:], np.diff(rows))
+    at = np.flatnonzero(np.arange(n) + len(mask) <= ends[:n])
+    return C.mix(total[at]), at
+
+
+def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        data, offsets = C.buffers(batch.column("text"))
+        key = batch.column("b").to_numpy()
+        for lo, hi in C.steps(offsets):
+            w, rows = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            row = np.repeat(np.arange(hi - lo), np.diff(rows))
+            own = np.array([",".join(masks_of(n)) for n in np.diff(rows).tolist()])
+            for k, mask in enumerate(ALL_MASKS):
+                h, at = seeds(w, rows, mask)
+                fits = np.array([mask in x.split(",") for x in own], bool)[row[at]]
+                h, at = h[fits], at[fits]
+                arrays = [C.signed(h), key[lo:hi][row[at]], at - rows[row[at]], np.full(len(h), k)]
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["h", "b", "q", "k"])
+
+
+def _filter(table: DataFrame) -> np.ndarray:
+    """Which values of the first FILTER_BITS bits of a hash occur: one bit each."""
+    top = F.shiftrightunsigned("h", 64 - FILTER_BITS)
+    bits = table.groupBy(F.shiftrightunsigned(top, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
+    out[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
+    return out
 
 
 def longest(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
@@ -149,64 +121,84 @@ def longest(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
     return int(agree[k]), int(words[k]), int(at[k])
 
 
-def _inside(rows: np.ndarray) -> np.ndarray:
-    """Whether a seed that starts at a word ends in the word's row."""
-    out = np.zeros(int(rows[-1]), bool)
-    lengths = np.diff(rows)
-    many = np.maximum(lengths - SPAN + 1, 0)
-    out[np.repeat(rows[:-1], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)] = True
-    return out
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[Index]:
-    ids: list = []
-    texts: list[str | None] = []
-    size = 0
-    for x in benchmark.select(F.col("item_id").cast("long").alias("i"), F.col("text").cast("string").alias("t")).toLocalIterator():
-        ids.append(x.i)
-        texts.append(x.t)
-        size += len(x.t or "")
-        if size > BLOCK_BYTES:
-            yield Index(ids, texts)
-            ids, texts, size = [], [], 0
-    if ids:
-        yield Index(ids, texts)
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A document's text comes before its items; the best stretch of each item's diagonals."""
+    row, doc, w = None, None, np.zeros(0, np.uint64)
+    for batch in batches:
+        data, offsets = C.buffers(batch.column("text"))
+        head = batch.column("b").is_null().to_numpy(zero_copy_only=False)
+        out: list[tuple] = []
+        for i in range(batch.num_rows):
+            mine, bounds = words(text := data[offsets[i] : offsets[i + 1]], np.array([0, len(text)]))
+            r = batch.column("r")[i].as_py()
+            if head[i]:
+                row, doc, w = r, (batch.column("doc_id")[i].as_py(), batch.column("t")[i].as_py()), mine
+                continue
+            assert r == row, "candidates without their document"
+            n, best = int(bounds[-1]), None
+            for d in sorted(batch.column("shifts")[i].as_py()):
+                lo, hi = max(0, d), min(len(w), n + d)
+                found = longest(w[lo:hi] == mine[lo - d : hi - d], min(MIN_WORDS, n))
+                if found:
+                    agree, size, first = found
+                    best = max(best or (0, 0, 0), (agree, size, -(lo + first)))
+                    if agree == n:  # shifts ascend: no later one is better
+                        break
+            if best:
+                out.append((doc[0], batch.column("item_id")[i].as_py(), best[1], best[0], -best[2], doc[1]))
+        columns = list(zip(*out)) if out else [[] for _ in range(6)]
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in columns], names=["doc_id", "item_id", "n_words", "n_agree", "first_word", "t"])
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, with_key: bool = False) -> DataFrame:
     """A row for each document and item that overlap: doc_id, item_id, n_words, n_agree, first_word (and t with ``with_key``)."""
-    rows = C.keyed(docs)
-    context = docs.sparkSession.sparkContext
-    schema = SCHEMA + (", t long" if with_key else "")
-    out = None
-    for block in _blocks(benchmark):
-        shared = context.broadcast(block)
-
-        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = shared.value
-            for batch in batches:
-                data, offsets = C.buffers(batch.column("text"))
-                for lo, hi in C.steps(offsets):
-                    found = list(index.hits(*words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])))
-                    if not found:
-                        continue
-                    row, item, n, agree, first = (np.array(x, np.int64) for x in zip(*found))
-                    take = pa.array(row + lo)
-                    arrays = [batch.column("doc_id").take(take), pa.array([index.ids[i] for i in item.tolist()], pa.int64()), pa.array(n), pa.array(agree), pa.array(first)]
-                    names = ["doc_id", "item_id", "n_words", "n_agree", "first_word"]
-                    if with_key:
-                        arrays.append(batch.column("t").take(take))
-                        names.append("t")
-                    yield pa.RecordBatch.from_arrays(arrays, names=names)
-
-        part = rows.mapInArrow(run, schema)
-        out = part if out is None else out.unionByName(part)
-    return docs.sparkSession.createDataFrame([], schema) if out is None else out
+    spark = docs.sparkSession
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    items = C.shared_table(benchmark.select(F.col("item_id").cast("long").alias("item_id"), text.alias("text"), F.monotonically_increasing_id().alias("b")), "benchmark-items")
+    table = C.shared_table(items.select("b", "text").mapInArrow(_item_seeds, "h long, b long, q long, k long"), "benchmark-seeds")
+    masks = [ALL_MASKS[x.k] for x in table.select("k").distinct().collect()]  # four at most
+    bits = spark.sparkContext.broadcast(_filter(table))
+
+    def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        passes, number = bits.value, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            data, offsets = C.buffers(batch.column("text"))
+            for lo, hi in C.steps(offsets):
+                w, rows = words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+                row = np.repeat(np.arange(hi - lo), np.diff(rows))
+                found = []
+                for mask in masks:
+                    h, at = seeds(w, rows, mask)
+                    top = h >> np.uint64(64 - FILTER_BITS)
+                    hit = (passes[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    found.append((h[hit], at[hit]))
+                h, at = (np.concatenate(x) if found else np.zeros(0, k) for x, k in zip(zip(*found) if found else ((), ()), (np.uint64, np.int64)))
+                if len(h):
+                    own = row[at]
+                    some = np.unique(own)
+                    none = pa.nulls(len(h), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(number + own), pa.array(C.signed(h)), pa.array(at - rows[own]), none, none, pa.nulls(len(h), pa.string())], names=names)
+                    take, none = pa.array(some + lo), pa.nulls(len(some), pa.int64())
+                    yield pa.RecordBatch.from_arrays([pa.array(number + some), none, none, *(batch.column(c).take(take) for c in ("doc_id", "t", "text"))], names=names)
+                number += hi - lo
+
+    names = ["r", "h", "p", "doc_id", "t", "text"]
+    found = C.shared_table(C.keyed(docs).mapInArrow(hits, "r long, h long, p long, doc_id long, t long, text string"), "benchmark-hits")
+    pairs = found.filter("h is not null").select("h", "r", "p").join(table, "h").groupBy("r", "b").agg(F.collect_set(F.col("p") - F.col("q")).alias("shifts"))
+    none = F.lit(None).cast("long")
+    pairs = pairs.join(items, "b").select("r", "b", none.alias("doc_id"), none.alias("t"), "text", "item_id", "shifts")
+    heads = found.filter("h is null").select("r", none.alias("b"), "doc_id", "t", "text", none.alias("item_id"), F.lit(None).cast("array<bigint>").alias("shifts"))
+    both = heads.unionByName(pairs).repartition("r").sortWithinPartitions(F.col("r"), F.col("b").asc_nulls_first())
+    out = C.shared_table(both.mapInArrow(_verified, SCHEMA + ", t long"), "contaminated")
+    for x in (found, table, items):
+        release(x)
+    return out if with_key else out.drop("t")
 
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` that no item contaminates, unchanged."""
     bad = contaminated(docs, benchmark, with_key=True).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).distinct()
-    bad = C.shared_table(bad, "contaminated")
     on = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).eqNullSafe(bad["_t"]) & docs["doc_id"].cast("long").eqNullSafe(bad["_id"])
     return docs.join(bad, on, "left_anti")
