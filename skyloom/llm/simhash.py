@@ -6,8 +6,12 @@ ball of that radius around each of its parts, fetches the fingerprints in the ta
 the whole distance is verified inside the join.
 
 Only different fingerprints enter. In a group of near copies most links are redundant: each fingerprint is
-first linked to the most frequent one under each of its exact parts, if near enough. The probes
-then only look for links between different components of those, so no group emits all its pairs.
+first linked to the most frequent one under each of its exact parts, if near enough. A probe then meets the
+components under its value, not their members: only those other than its own go on to the members, so no
+group emits all its pairs.
+
+The number of parts follows from the number of different fingerprints (segments_for): few parts are long, so their
+values are rarer and their balls larger. It changes what is looked up, never what is found.
 
 Cases: a null or blank text has fingerprint zero and is linked like any other; a null doc_id gets a row and
 the component's least id (null if no member has one); repeated rows get equal results; an empty table gives
@@ -16,6 +20,7 @@ no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import accumulate
 
@@ -31,7 +36,8 @@ from skyloom.operators.components import components
 SHINGLE_WORDS = 4
 HASH_SEED = 42
 DISTANCE = 4
-SEGMENTS = 3
+#: Numbers of parts to choose from.
+SEGMENTS = (2, 3, 4)
 
 
 def fingerprint(text: bytes, k: int = SHINGLE_WORDS) -> bytes:
@@ -87,9 +93,19 @@ def _near(a: str, b: str, distance: int) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= distance
 
 
-def linked(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def segments_for(n: int, distance: int) -> int:
+    """The number of parts that makes the fewest probes and look-ups for n different fingerprints spread evenly."""
+
+    def work(segments: int) -> float:
+        return sum(math.comb(bits, r) * (1 + n / 2**bits) for _, bits in _parts(segments) for r in range(distance // segments + 1))
+
+    return min(SEGMENTS, key=work)
+
+
+def linked(prints: DataFrame, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """fp, label: fingerprints with equal labels are connected by links of at most ``distance`` bits."""
     distinct = C.shared_table(prints.groupBy("fp").agg(F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    segments = segments or segments_for(distinct.count(), distance)
     parts = _parts(segments)
     table = distinct.select("fp", "n", F.posexplode(F.array(*[_part(F.col("fp"), *p) for p in parts])).alias("s", "v"))
     hubs = table.groupBy("s", "v").agg(F.max(F.struct("n", "fp")).alias("hub"), F.count(F.lit(1)).alias("m")).filter("m > 1").select("s", "v", F.col("hub.fp").alias("hub"))
@@ -101,17 +117,20 @@ def linked(prints: DataFrame, distance: int = DISTANCE, segments: int = SEGMENTS
     radius = distance // segments
     balls = F.array(*[F.array(*[F.lit(m).cast("long") for m in _ball(bits, radius)]) for _, bits in parts])
     probes = members.select(F.col("fp").alias("p"), F.col("label").alias("q"), "s", F.explode(F.transform(F.get(balls, F.col("s")), lambda m: m.bitwiseXOR(F.col("v")))).alias("v"))
-    found = probes.join(members, ["s", "v"]).filter((F.col("q") < F.col("label")) & _near("p", "fp", distance))
+    groups = members.select("s", "v", "label").distinct()
+    met = probes.join(groups, ["s", "v"]).filter(F.col("q") < F.col("label"))
+    found = met.join(members, ["s", "v", "label"]).filter(_near("p", "fp", distance))
     merged = components(found.select(F.col("q").alias("a"), F.col("label").alias("b")), "simhash-links")
     return nodes.join(merged, nodes["label"] == merged["node"], "left").select("fp", F.coalesce("least", "label").alias("label"))
 
 
-def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int = SEGMENTS) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, distance: int = DISTANCE, segments: int | None = None) -> DataFrame:
     """doc_id, t, fingerprint (16 hexadecimal digits), component_id and label, the component's key."""
     prints = C.shared_table(fingerprints(docs, k), "simhash-prints")
-    labels = linked(prints, distance, segments)
+    labels = C.shared_table(linked(prints, distance, segments), "simhash-labels")
     each = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(labels, "fp")
     ids = each.groupBy("label").agg(F.min("least").alias("component_id"))
+    ids = C.shared_table(ids, "simhash-ids")
     known = labels.join(ids, "label").select("fp", "label", "component_id")
     out = prints.join(known, "fp")
     return out.select("doc_id", "t", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "label")

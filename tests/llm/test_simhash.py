@@ -4,7 +4,7 @@ import random
 
 import xxhash
 
-from skyloom.llm.simhash import _ball, fingerprint, fingerprints, keep_one, linked, near_duplicates
+from skyloom.llm.simhash import SEGMENTS, _ball, fingerprint, fingerprints, keep_one, linked, near_duplicates, segments_for
 
 
 def plain(text):
@@ -69,9 +69,23 @@ def test_chains_of_fingerprints(spark):
             for b in r.sample(range(64), r.randint(1, 6)):
                 x ^= 1 << b
     signed = lambda x: x - (1 << 64) if x >> 63 else x
-    got = {x.fp: x.label for x in linked(spark.createDataFrame([(signed(x),) for x in prints], "fp long")).collect()}
     want = groups(sorted(prints))
-    assert len(got) == len(prints)
-    pairs = {(want[x], got[signed(x)]) for x in prints}
-    assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    for segments in (None, min(SEGMENTS)):
+        got = {x.fp: x.label for x in linked(spark.createDataFrame([(signed(x),) for x in prints], "fp long"), segments=segments).collect()}
+        assert len(got) == len(prints)
+        pairs = {(want[x], got[signed(x)]) for x in prints}
+        assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+    assert [segments_for(n, 4) for n in (10**3, 10**6, 10**9)] == sorted([segments_for(n, 4) for n in (10**3, 10**6, 10**9)], reverse=True)
+
+
+def test_one_large_component(spark):
+    """A chain of 3,000 fingerprints, two bits apart each."""
+    r, x, prints = random.Random(9), 0, []
+    for _ in range(3000):
+        for b in r.sample(range(64), 2):
+            x ^= 1 << b
+        prints.append(x)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    got = linked(spark.createDataFrame([(signed(x),) for x in set(prints)], "fp long"))
+    assert got.select("label").distinct().count() == 1 and got.count() == len(set(prints))
     assert len(_ball(21, 1)) == 22 and fingerprints
