@@ -25,7 +25,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _ESCAPE = re.compile(r"([\\<\[])")
@@ -34,6 +34,8 @@ _MARKED = re.compile(r"<s>\[((?:[^\\<\[\]]|\\.|\])*?)\] ((?:[^\\<\[]|\\.)*) \[/(
 TURN = "conv_id long, turn long, role string, text string, formatted string, loss_lo long, loss_hi long, is_loss boolean"
 READ = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long"
 TRAINED_ROLE = "assistant"
+#: Pieces of an answer in a log that streamed() makes.
+DELTAS = 8
 
 
 def escape(text: str) -> str:
@@ -67,6 +69,32 @@ def events(conversations: DataFrame) -> DataFrame:
     )
 
 
+def streamed(conversations: DataFrame) -> DataFrame:
+    """The log that leads to these turns: what a chat that streams, corrects and retries would have written.
+
+    An assistant's answer comes as deltas: a first half that is thrown away by ``regenerate``, then up to DELTAS
+    pieces. Other turns are a plain message, a draft that is edited, or a message that is deleted and
+    written anew, by the text's checksum. Turns are numbered anew within their conversation (by turn, role and text),
+    so rows of the same turn keep logs of their own.
+    """
+    turns = events(conversations)
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")
+    turns = turns.select("conv_id", F.row_number().over(order).cast("long").alias("turn"), "role", "text")
+    text, half = F.col("text"), F.expr("left(text, length(text) div 2)")
+    event = lambda seq, kind, text: F.struct(F.lit(seq).cast("long").alias("seq"), F.lit(kind).alias("kind"), text.alias("text"))
+    size = F.greatest(F.ceil(F.length("text") / DELTAS), F.lit(1)).cast("int")
+    piece = lambda i: F.struct((i + 2).cast("long").alias("seq"), F.lit("delta").alias("kind"), F.substring("text", i * size + 1, size).alias("text"))
+    answer = F.concat(F.array(event(0, "delta", half), event(1, "regenerate", F.lit(""))), F.filter(F.transform(F.sequence(F.lit(0), F.lit(DELTAS - 1)), piece), lambda x: x["text"] != ""))
+    drawn = F.crc32("text") % 3
+    other = (
+        F.when(drawn == 0, F.array(event(0, "message", text)))
+        .when(drawn == 1, F.array(event(0, "message", half), event(1, "edit", text)))
+        .otherwise(F.array(event(0, "message", half), event(1, "delete", F.lit("")), event(2, "message", text)))
+    )
+    log = turns.select("conv_id", "turn", "role", F.explode(F.when(F.col("role") == TRAINED_ROLE, answer).otherwise(other)).alias("e"))
+    return log.select("conv_id", "turn", "e.seq", "e.kind", "role", "e.text")
+
+
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Sorted events to final turns. One turn is open at a time."""
     key, role, parts = None, "", None

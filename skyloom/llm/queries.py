@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,7 +13,7 @@ from skyloom.llm.substring_dedup import substring_dedup
 from skyloom.llm.suffix_dedup import suffix_dedup
 
 #: The vocabulary file, at the same place on all machines.
-TOKENIZER = "/opt/tokenizers/word_bpe_49k.json"
+TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -43,7 +44,7 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    log = chat.events(chat.with_probe(_table(spark, sf_dir, "conversations")))
+    log = chat.streamed(chat.with_probe(_table(spark, sf_dir, "conversations")))
     return chat.digests(chat.format_chats(log))
 
 

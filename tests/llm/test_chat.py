@@ -41,6 +41,9 @@ def test_digests(spark):
     rows += [(90, t, "assistant", f"m{t}") for t in range(12_000)]
     df = spark.createDataFrame([(*x, 1) for x in rows], "conv_id long, turn long, role string, text string, seq int").repartition(6)
     got = {x.conv_id: tuple(x)[1:] for x in chat.digests(chat.format_chats(chat.events(chat.with_probe(df)))).collect()}
+    log = chat.streamed(chat.with_probe(df))
+    assert {x.kind for x in log.select("kind").distinct().collect()} == {"message", "delta", "regenerate", "edit", "delete"}
+    assert {x.conv_id: tuple(x)[1:] for x in chat.digests(chat.format_chats(log)).collect()} == got
     rows += [(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")]
     logs = {}
     for c, t, role, text in rows:
@@ -52,6 +55,7 @@ def test_digests(spark):
         sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert got[c] == (len(log), sha("".join(f"{a}\n{b}\n" for _, a, b in log)), len(loss), sha(loss), sum(len(chat.render(a, b)[0]) for _, a, b in log))
     assert chat.digests(chat.format_chats(chat.events(df.limit(0)))).collect() == []
+    assert chat.digests(chat.format_chats(chat.streamed(df.limit(0)))).collect() == []
     db = duckdb.connect()
     import pandas as pd
 
