@@ -29,7 +29,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
     the edges.
     """
     down = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
-    down = shared_table(down, f"{label}-edges")
+    down = shared_table(down, f"{label}-edges", small=True)
     before = None
     while True:
         both = down.unionByName(down.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -38,7 +38,7 @@ def components(edges: DataFrame, label: str = "components") -> DataFrame:
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(joined.select("u", F.col("m").alias("v")))
-        down = shared_table(small.filter("u <> v").distinct(), f"{label}-stars")
+        down = shared_table(small.filter("u <> v").distinct(), f"{label}-stars", small=True)
         now = tuple(down.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if now == before:
             return down.select(F.col("u").alias("node"), F.col("v").alias("least"))
