@@ -94,15 +94,31 @@ def _item_seeds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in arrays], names=["h", "b", "q", "k"])
 
 
+def _places(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two bits of the filter that stand for a hash."""
+    return h >> np.uint64(64 - FILTER_BITS), (h >> np.uint64(64 - 2 * FILTER_BITS)) & np.uint64((1 << FILTER_BITS) - 1)
+
+
 def _filter(table: DataFrame) -> np.ndarray:
-    """Which values of the first FILTER_BITS bits of a hash occur: one bit each."""
-    top = F.shiftrightunsigned("h", 64 - FILTER_BITS)
-    bits = table.groupBy(F.shiftrightunsigned(top, 6).alias("word")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(shiftrightunsigned(h, {64 - FILTER_BITS}) & 63 as int))")).alias("bits")).toArrow()
+    """The bits of all hashes; their number is FILTER_BITS' alone."""
+    low = F.lit((1 << FILTER_BITS) - 1)
+    places = F.array(F.shiftrightunsigned("h", 64 - FILTER_BITS), F.shiftrightunsigned("h", 64 - 2 * FILTER_BITS).bitwiseAND(low))
+    each = table.select(F.explode(places).alias("p"))
+    bits = each.groupBy(F.shiftrightunsigned("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits")).toArrow()
     out = np.zeros(1 << (FILTER_BITS - 6), np.uint64)
     out[bits["word"].to_numpy()] = bits["bits"].to_numpy().view(np.uint64)
     return out
 
 
+def _passes(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """Which hashes the filter lets through."""
+    at = np.arange(len(h))
+    for k in (0, 1):
+        place = _places(h[at])[k]
+        at = at[(bits[(place >> np.uint64(6)).astype(np.int64)] >> (place & np.uint64(63)) & np.uint64(1)).astype(bool)]
+    return at
+
+
 def longest(same: np.ndarray, least: int) -> tuple[int, int, int] | None:
     """(agreeing, words, first) of the best stretch of ``least`` words or more, its ends agreeing, in which MIN_AGREE agree."""
     at = np.flatnonzero(same)
@@ -162,7 +178,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, with_key: bool = False)
     def hits(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        passes, number = bits.value, TaskContext.get().partitionId() << 40
+        filled, number = bits.value, TaskContext.get().partitionId() << 40
         for batch in batches:
             data, offsets = C.buffers(batch.column("text"))
             for lo, hi in C.steps(offsets):
@@ -171,8 +187,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, with_key: bool = False)
                 found = []
                 for mask in masks:
                     h, at = seeds(w, rows, mask)
-                    top = h >> np.uint64(64 - FILTER_BITS)
-                    hit = (passes[(top >> np.uint64(6)).astype(np.int64)] >> (top & np.uint64(63)) & np.uint64(1)).astype(bool)
+                    hit = _passes(filled, h)
                     found.append((h[hit], at[hit]))
                 h, at = (np.concatenate(x) if found else np.zeros(0, k) for x, k in zip(zip(*found) if found else ((), ()), (np.uint64, np.int64)))
                 if len(h):

@@ -1,23 +1,26 @@
 """Language-model scores from a probabilistic suffix tree.
 
 Tokens are words (A-Z in lower case) and one end for each text. The base score is a smoothed unigram of
-tokens. The model spells tokens: a word is its bytes and a closing space, the end is one symbol of its own,
-and each symbol's distribution depends on a context of up to DEPTH symbols before it in the token (its
-opening included). A context stays in the tree if training has it at least MIN_COUNT times, whatever the size
+tokens. The model reads a text as a stream of bytes, \\n\\n and then each token behind a space: a word is its bytes and
+the space that closes it, the end is \\n. Each symbol's distribution depends on a context of up to DEPTH symbols before
+it; the first HEAD symbols of a token look through the space into the word before (TAIL bytes of it), so a text's score
+depends on the order of its words. A context stays in the tree if training has it at least MIN_COUNT times, whatever the size
 of the corpus, and its distribution diverges from that of its suffix by more than MIN_DIVERGENCE nats over its
 occurrences. The longest suffix in the tree is a symbol's state; distributions are smoothed with those of
 the shorter states (Witten-Bell). The tree grows with the corpus, so it is never collected or broadcast: it is
-a table, the probabilities of each depth come from those of the depth before by a join, and the symbols of
-the words look theirs up by a join on context and symbol.
+a table, the probabilities of each depth come from those of the depth before by a join, and symbols look theirs
+up by a join on context and symbol.
 
 As in the base score, all words that training never saw are one token: the model gives it the share of
 training tokens that are words seen once (Good-Turing), and spells the others with the rest.
 
-Words are counted by grouped aggregation and scored once each; a step of texts keeps its words by number, and
-only (step, number, count, score) come back to it. No word is collected, however frequent.
+So a token's score has two parts that repeat: the head,
+by TAIL bytes before and HEAD symbols (a window), and the body, by the word. Both are counted by grouped
+aggregation and scored once each; a step of texts keeps its words and windows by number, and only those numbers with
+their counts and scores come back to it. No word is collected, however frequent.
 
 Cases: a null or blank text is an end alone; a null doc_id counts as the text ''; repeated rows count as often
-as they stand there; without training rows all counts are zero; an empty table gives no rows; other
+as they stand there; NUL bytes among the first HEAD symbols of a word add nothing; without training rows all counts are zero; an empty table gives no rows; other
 columns are ignored.
 """
 
@@ -25,204 +28,282 @@ from __future__ import annotations
 
 import io
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.llm import common as C
 from skyloom.plans.lineage import release, settle
 
 DEPTH = 6
+TAIL = 2
+#: Symbols of a token whose contexts reach beyond its opening; those behind see the word alone.
+HEAD = 3
 #: Occurrences of a context in training: an absolute count (one that occurs once can stay: its divergence decides,
 #: which is summed over occurrences and so absolute, too). No share of the corpus is asked for.
 MIN_COUNT = 1
-MIN_SHARE = 0.0
 MIN_DIVERGENCE = 8.0
-#: Symbols: 256 bytes; the space closes a word and opens each context; the line feed ends a text.
+#: Symbols: 256 bytes; the space closes a word and opens the next; the line feed ends a text and stands before it.
 SYMBOLS = 256
-STEP = 4_000_000
+#: Bytes of text that keep their words and windows together, and bytes that are cut into words at once.
+STEP, CUT = 10_000_000, 1_000_000
 _OPEN, _END = 32, 10
+_END_HASH = np.uint64(C.BASE_B)
+#: Added to the numbers of windows, which come after the words.
+_WINDOWS = 1 << 30
+PARTS = "kind int, w string, k long, step long, idx int, c long, header binary"
 _SHORTER = "ctx & (shiftleft(1L, 8 * (d - 1)) - 1)"  # a context without its earliest byte
 
 
+def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, ...]:
+    """start, length, hash, document and the TAIL bytes before each token, ends of texts (empty slices) included."""
+    out = []
+    for lo, hi in C.steps(offsets, CUT):
+        part, bounds = data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo]
+        s, e, rows = C.word_bounds(part, bounds)
+        many = np.diff(rows)
+        n, at = len(s) + len(many), np.arange(len(s)) + np.repeat(np.arange(len(many)), many)
+        start, end, h = np.zeros(n, np.int64), np.zeros(n, np.int64), np.full(n, _END_HASH)
+        start[at], end[at] = s, e
+        if len(s):
+            h[at] = C.word_hashes(part, s, e)
+        before = np.full(n, _END << 8 | _END)
+        follows = np.ones(n, bool)
+        follows[rows[:-1] + np.arange(len(many))] = False
+        p = np.flatnonzero(follows) - 1  # the tokens that have one behind them
+        before[p + 1] = np.where(end[p] - start[p] > 1, part[end[p] - 2], _OPEN).astype(np.int64) << 8 | part[end[p] - 1]
+        out.append((start + offsets[lo], (end - start).astype(np.int32), h, np.repeat(np.arange(lo, hi, dtype=np.int32), many + 1), before.astype(np.uint16)))
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
+def _prefix(data: np.ndarray, start: np.ndarray, size: np.ndarray, is_end: np.ndarray) -> np.ndarray:
+    """The first HEAD symbols of tokens, the closing one included, padded with zeros: one number each."""
+    out = np.zeros(len(start), np.int64)
+    padded = np.append(data, 0)
+    for j in range(HEAD):
+        symbol = np.where(j < size, padded[np.minimum(start + j, len(data))], np.where(j == size, np.where(is_end, _END, _OPEN), 0))
+        out = out << 8 | symbol
+    return out
+
+
+def _slices(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> pa.Array:
+    ends = np.cumsum(size)
+    at = np.arange(int(ends[-1])) + np.repeat(start - (ends - size), size)
+    offsets = np.concatenate(([0], ends)).astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(data[at].tobytes())])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each step a header (idx -1, its documents and their words by number) and a row for each word."""
+    """For each step a header (kind 2), a row for each of its words (kind 0) and one for each of its windows (kind 1)."""
     from pyspark import TaskContext
 
-    part, number = TaskContext.get().partitionId(), 0
+    number = TaskContext.get().partitionId() << 32
+
+    def rows(kind: int, step: int, c: np.ndarray, w: pa.Array | None = None, k: np.ndarray | None = None, header: bytes | None = None) -> Iterator[pa.RecordBatch]:
+        n = len(c)
+        columns = [
+            pa.array(np.full(n, kind, np.int32)), w if w is not None else pa.nulls(n, pa.string()), pa.array(k) if k is not None else pa.nulls(n, pa.int64()), pa.array(np.full(n, step)),
+            pa.array(np.arange(n, dtype=np.int32)), pa.array(c.astype(np.int64)), pa.array([header], pa.binary()) if header else pa.nulls(n, pa.binary()),
+        ]
+        batch = pa.RecordBatch.from_arrays(columns, names=["kind", "w", "k", "step", "idx", "c", "header"])
+        for a in range(0, n, 50_000):
+            yield batch.slice(a, 50_000)
+
     for batch in batches:
-        data, offsets = C.buffers(batch.column("text"))
+        raw, offsets = C.buffers(batch.column("text"))
         ids, held = batch.column("doc_id"), batch.column("held_out").to_numpy(zero_copy_only=False).astype(bool)
         for lo, hi in C.steps(offsets, STEP):
-            known: dict[bytes, int] = {}
-            lists = [[known.setdefault(w, len(known)) for w in data[offsets[i] : offsets[i + 1]].tobytes().lower().split()] for i in range(lo, hi)]
-            n_words = np.array([len(x) for x in lists], np.int64)
-            flat = np.fromiter((x for y in lists for x in y), np.int64, int(n_words.sum()))
-            n = hi - lo
-            pairs, counts = np.unique(flat * n + np.repeat(np.arange(n), n_words), return_counts=True)
-            word, doc = pairs // n, (pairs % n).astype(np.int32)
-            train = np.bincount(word[~held[lo:hi][doc]], counts[~held[lo:hi][doc]], len(known)).astype(np.int64)
+            data, n = C.LOWER[raw[offsets[lo] : offsets[hi]]], hi - lo
+            start, size, h, doc, before = tokens(data, offsets[lo : hi + 1] - offsets[lo])
+            _, first, word = np.unique(h, return_index=True, return_inverse=True)
+            start, size = start[first], size[first].astype(np.int64)
+            del h
+            prefix = _prefix(data, start, size, size == 0)
+            order = np.argsort(prefix, kind="stable")
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            word, prefix, start, size = rank[word], prefix[order], start[order], size[order]
+            windows, window = np.unique(prefix[word] << 8 * TAIL | before, return_inverse=True)
+            train = ~held[lo:hi][doc]
+            # the step's tokens by word and window
+            by = np.argsort(word * len(windows) + window)
             out = io.BytesIO()
-            np.savez(out, ids=np.array(ids.slice(lo, n).fill_null(0)), none=np.array(ids.slice(lo, n).is_null().to_numpy(zero_copy_only=False)), held=held[lo:hi], n_words=n_words, per_word=np.bincount(word, minlength=len(known)).astype(np.int32), doc=doc, count=counts.astype(np.int32))
-            key = (part << 32) | number
+            small = np.uint16 if n <= 1 << 16 else np.int32
+            np.savez(out, ids=np.array(ids.slice(lo, n).fill_null(0)), none=np.array(ids.slice(lo, n).is_null().to_numpy(zero_copy_only=False)), held=held[lo:hi], per_word=np.bincount(word).astype(np.int32), shift=np.diff(window[by], prepend=0).astype(np.int32), doc=doc[by].astype(small))
+            yield from rows(2, number, np.zeros(1, np.int64), header=out.getvalue())
+            yield from rows(0, number, np.bincount(word[train], minlength=len(order)), w=_slices(data, start, size))
+            yield from rows(1, number, np.bincount(window[train], minlength=len(windows)), k=windows)
+            del word, window, windows, by, train, doc, before  # before the next step's
             number += 1
-            ends = int((~held[lo:hi]).sum())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([None, ""], pa.string()), pa.array([key, key]), pa.array([-1, -2]), pa.array([0, ends]), pa.array([out.getvalue(), None], pa.binary())],
-                names=["w", "step", "idx", "c", "header"],
-            )
-            words = pa.array(list(known), pa.binary()).cast(pa.string())
-            for a in range(0, len(words), 50_000):
-                b = min(a + 50_000, len(words))
-                yield pa.RecordBatch.from_arrays([words.slice(a, b - a), pa.array(np.full(b - a, key)), pa.array(np.arange(a, b)), pa.array(train[a:b]), pa.nulls(b - a, pa.binary())], names=["w", "step", "idx", "c", "header"])
-
-
-def _spelled(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Symbols of all words with an opening before each, places of the symbols to predict, and their word."""
+
+
+def _bodies(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of the symbols of words behind the HEAD first, closings included: the depth of their longest context, words, contexts, symbols."""
     data, offsets = C.buffers(column)
     lengths = np.diff(offsets)
-    total = len(data) + 2 * len(lengths)
-    sym = np.full(total, _OPEN, np.uint64)
+    sym = np.full(len(data) + 2 * len(lengths), _OPEN, np.uint64)
     row = np.repeat(np.arange(len(lengths)), lengths)
     sym[np.arange(len(data)) + 2 * row + 1] = data
     begin = offsets[:-1] + 2 * np.arange(len(lengths))
-    sym[(begin + 1)[lengths == 0]] = _END
-    inside = np.ones(total, bool)
-    inside[begin] = False
-    place = np.flatnonzero(inside)
-    return sym, place, np.repeat(np.arange(len(lengths)), lengths + 1)
+    for depth in range(HEAD + 1, DEPTH + 1):
+        # one place for each depth, and all that follow for the greatest
+        more = np.maximum(lengths + 2 - depth, 0)
+        more = more if depth == DEPTH else np.minimum(more, 1)
+        word = np.repeat(np.arange(len(lengths)), more)
+        place = np.repeat(begin + depth, more) + np.arange(len(word)) - np.repeat(np.cumsum(more) - more, more)
+        key = np.zeros(len(place), np.uint64)
+        for d in range(depth, 0, -1):
+            key = key << np.uint64(8) | sym[place - d]
+        yield depth, word, key, sym[place]
+
+
+def _heads(k: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """For each of the HEAD places of windows: the depth of its longest context, which windows have it, contexts and symbols."""
+    prefix, key = k.astype(np.uint64) >> np.uint64(8 * TAIL), k.astype(np.uint64) & np.uint64((1 << 8 * TAIL) - 1)
+    key = key << np.uint64(8) | np.uint64(_OPEN)
+    for j in range(HEAD):
+        symbol = prefix >> np.uint64(8 * (HEAD - 1 - j)) & np.uint64(255)
+        at = np.flatnonzero(symbol)
+        depth = min(DEPTH, TAIL + 1 + j)
+        yield depth, at, key[at] & _mask(depth), symbol[at]
+        key = key << np.uint64(8) | symbol
+
+
+def _mask(depth: int) -> np.uint64:
+    return np.uint64((1 << 8 * depth) - 1)
+
+
+def _grams(depth: int, key: np.ndarray, symbol: np.ndarray, weights: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Counts of (context, symbol) for the longest contexts and all their suffixes."""
+    packed = key << np.uint64(8) | symbol
+    for d in range(depth, -1, -1):
+        packed, inverse = np.unique(packed & _mask(d + 1), return_inverse=True)
+        weights = np.bincount(inverse, weights, len(packed))
+        arrays = [np.full(len(packed), d, np.int32), C.signed(packed >> np.uint64(8)), (packed & np.uint64(255)).astype(np.int32), weights.astype(np.int64)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["d", "ctx", "sym", "n"])
+
+
+def _head_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        c = batch.column("c").to_numpy().astype(float)
+        for depth, at, key, symbol in _heads(batch.column("k").to_numpy()):
+            yield from _grams(depth, key, symbol, c[at])
 
 
-def _keys(sym: np.ndarray, place: np.ndarray, word: np.ndarray, begin: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """(depth, which places have so long a context, its packed bytes) for each depth; the latest byte is lowest."""
-    room = place - begin[word]
-    key = np.zeros(len(place), np.uint64)
-    for d in range(DEPTH + 1):
-        if d:
-            at = np.maximum(place - d, 0)
-            key = key | (sym[at] << np.uint64(8 * (d - 1)))
-        yield d, room >= d, key
+def _body_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for whole in batches:
+        for a in range(0, whole.num_rows, 40_000):
+            batch = whole.slice(a, 40_000)
+            c = batch.column("c").to_numpy().astype(float)
+            for depth, word, key, symbol in _bodies(batch.column("w")):
+                yield from _grams(depth, key, symbol, c[word])
 
 
-def _begin(column: pa.Array) -> np.ndarray:
-    offsets = C.buffers(column)[1]
-    return offsets[:-1] + 2 * np.arange(len(offsets) - 1)
+def _packed(depth: int, key: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+    """Depth, context and symbol in one number."""
+    return C.signed(np.uint64(depth << 8 * DEPTH + 8) | key << np.uint64(8) | symbol)
 
 
-def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _head_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        k = batch.column("k").to_numpy()
+        for depth, at, key, symbol in _heads(k):
+            yield pa.RecordBatch.from_arrays([pa.array(_packed(depth, key, symbol)), pa.array(k[at])], names=["k", "h"])
+
+
+def _body_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for whole in batches:
         for a in range(0, whole.num_rows, 40_000):
             batch = whole.slice(a, 40_000)
-            weights = batch.column("c").to_numpy().astype(float)
-            sym, place, word = _spelled(batch.column("w"))
-            for d, fits, key in _keys(sym, place, word, _begin(batch.column("w"))):
-                packed = (key[fits] << np.uint64(8)) | sym[place[fits]]
-                found, inverse = np.unique(packed, return_inverse=True)
-                n = np.bincount(inverse, weights[word[fits]], len(found)).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), d, np.int32)), pa.array(C.signed(found >> np.uint64(8))), pa.array((found & np.uint64(255)).astype(np.int32)), pa.array(n)], names=["d", "ctx", "sym", "n"])
+            for depth, word, key, symbol in _bodies(batch.column("w")):
+                yield pa.RecordBatch.from_arrays([pa.array(_packed(depth, key, symbol)), batch.column("h").take(pa.array(word))], names=["k", "h"])
+
 
+def counted(words: DataFrame, windows: DataFrame) -> DataFrame:
+    """d, ctx, sym, n: how often training has each symbol behind each context; 0 where only held-out texts have it."""
+    gram = "d int, ctx long, sym int, n long"
+    counts = windows.select("k", "c").mapInArrow(_head_grams, gram).unionByName(words.filter("c > 0").select("w", "c").mapInArrow(_body_grams, gram))
+    return C.shared_table(counts.groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n")), "tree-counts", by="d")
 
-def _spelling(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows that add up to a word: one for its first symbols, up to DEPTH, and one for each later symbol.
 
-    k has the depth, the longest context and the symbol in one number; h is the word's hash.
+def tree(counts: DataFrame) -> list[DataFrame]:
+    """By depth: ctx, sym, n, total, stays (whether the context is in the tree) and p, the smoothed probability.
+
+    A context has SYMBOLS rows at most, so the windows over it are small whatever the corpus.
     """
-    for whole in batches:
-        for a in range(0, whole.num_rows, 40_000):
-            batch = whole.slice(a, 40_000)
-            begin = _begin(batch.column("w"))
-            sym, place, word = _spelled(batch.column("w"))
-            *_, (_, _, key) = _keys(sym, place, word, begin)
-            room = place - begin[word]
-            at = np.flatnonzero((room > DEPTH) | (room == np.minimum(np.bincount(word, minlength=batch.num_rows), DEPTH)[word]))
-            depth = np.minimum(room[at], DEPTH).astype(np.uint64)
-            key = key[at] & ((np.uint64(1) << (np.uint64(8) * depth)) - np.uint64(1))
-            packed = C.signed((depth << np.uint64(56)) | (key << np.uint64(8)) | sym[place[at]])
-            h = batch.column("h").to_numpy()[word[at]]
-            for lo in range(0, len(h), 500_000):
-                yield pa.RecordBatch.from_arrays([pa.array(packed[lo : lo + 500_000]), pa.array(h[lo : lo + 500_000])], names=["k", "h"])
-
-
-def tree(words: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """All (d, ctx, sym, n) of training, and the contexts that stay: d, ctx, total, u (how many symbols follow)."""
-    counts = words.filter("c > 0").select("w", "c").mapInArrow(_contexts, "d int, ctx long, sym int, n long")
-    counts = C.shared_table(counts.groupBy("d", "ctx", "sym").agg(F.sum("n").alias("n")), "tree-counts")
-    totals = C.shared_table(counts.groupBy("d", "ctx").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("u")), "tree-totals")
-    rows = counts.join(totals, ["d", "ctx"])
-    child = rows.filter((F.col("d") > 0) & (F.col("total") >= MIN_COUNT)).select("d", "ctx", "sym", "n", "total", "u", F.expr(_SHORTER).alias("pctx"), (F.col("d") - 1).alias("pd"))
-    parent = rows.select(F.col("d").alias("pd"), F.col("ctx").alias("pctx"), "sym", F.col("n").alias("pn"), F.col("total").alias("ptotal"))
-    gain = F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal")))
-    kept = child.join(parent, ["pd", "pctx", "sym"]).groupBy("d", "ctx").agg(F.sum(gain).alias("gain"), F.first("total").alias("total"), F.first("u").alias("u"))
-    kept = kept.filter(F.col("gain") >= MIN_DIVERGENCE).drop("gain")
-    kept = C.shared_table(kept.unionByName(totals.filter("d = 0")), "tree-kept")
-    release(totals)
-    return counts, kept
-
-
-def probabilities(counts: DataFrame, kept: DataFrame, used: list[DataFrame]) -> DataFrame:
-    """k (as in _spelling) and lp: log10 of the symbol's probability, and of all before it where the context opens a word."""
-    out = last = None
-    opens = F.expr("d > 0 and shiftright(ctx, 8 * (d - 1)) = 32")
+    out: list[DataFrame] = []
+    own = Window.partitionBy("ctx")
     for d in range(DEPTH + 1):
-        rows = counts.filter(F.col("d") == d).join(kept.filter(F.col("d") == d).drop("d"), "ctx", "left")
-        if last is None:
-            rows = rows.withColumn("pp", F.lit(1.0 / SYMBOLS))
-        else:
-            rows = rows.withColumn("pctx", F.expr(_SHORTER)).join(last.select(F.col("ctx").alias("pctx"), "sym", F.col("p").alias("pp")), ["pctx", "sym"])
-        p = F.coalesce((F.col("n") + F.col("u") * F.col("pp")) / (F.col("total") + F.col("u")), F.col("pp"))
-        rows = rows.select("d", "ctx", "sym", p.alias("p"), opens.alias("opens"))
-        if d > 1:
-            before = last.filter("opens").select(F.expr("shiftleft(ctx, 8) | sym").alias("ctx"), F.col("lp").alias("before"), F.lit(True).alias("opens"))
-            rows = rows.join(before, ["ctx", "opens"], "left")
+        rows = counts.filter(F.col("d") == d).select("ctx", "sym", "n", F.sum("n").over(own).alias("total"), F.count_if(F.col("n") > 0).over(own).alias("u"))
+        if d:
+            up = out[-1].select(F.col("ctx").alias("pctx"), "sym", F.col("n").alias("pn"), F.col("total").alias("ptotal"), F.col("p").alias("pp"))
+            rows = rows.withColumn("pctx", F.expr(_SHORTER.replace("d - 1", str(d - 1)))).join(up.hint("shuffle_hash"), ["pctx", "sym"])
+            gain = F.when(F.col("n") > 0, F.col("n") * F.log((F.col("n") / F.col("total")) / (F.col("pn") / F.col("ptotal"))))
+            stays = (F.col("total") >= MIN_COUNT) & (F.coalesce(F.sum(gain).over(own), F.lit(0.0)) >= MIN_DIVERGENCE)
         else:
-            rows = rows.withColumn("before", F.lit(0.0))
-        last = C.shared_table(rows.select("d", "ctx", "sym", "p", "opens", (F.log10("p") + F.coalesce("before", F.lit(0.0))).alias("lp")), "tree-depth")
-        used.append(last)
-        # a shorter context is a symbol's longest only if the word opens with it
-        part = last if d == DEPTH else last.filter("opens")
-        part = part.select(F.expr("shiftleft(cast(d as long), 56) | shiftleft(ctx, 8) | sym").alias("k"), "lp")
-        out = part if out is None else out.unionByName(part)
+            rows, stays = rows.withColumn("pp", F.lit(1.0 / SYMBOLS)), F.lit(True)
+        rows = rows.withColumn("stays", stays)
+        p = F.when(F.col("stays"), (F.col("n") + F.col("u") * F.col("pp")) / (F.col("total") + F.col("u"))).otherwise(F.col("pp"))
+        # without training nothing follows the empty context
+        out.append(C.shared_table(rows.select("ctx", "sym", "n", "total", "stays", F.coalesce(p, F.col("pp")).alias("p")), "tree-depth"))
     return out
 
 
-def token_scores(words: DataFrame, new: float) -> DataFrame:
-    """w, c and lp, the log10 probability of each word ('': the end): spelled if training has it, else that of an unseen word."""
+def _longest(depth: int, table: DataFrame) -> DataFrame:
+    """k (as in _packed) and lp, the log10 probability of the symbol, where contexts of this depth are the longest."""
+    if depth < DEPTH:  # the word before begins them, or the opening
+        table = table.filter(f"{_OPEN} in (shiftright(ctx, {8 * (depth - TAIL - 1)}) & 255, shiftright(ctx, {8 * (depth - 1)}) & 255)")
+    return table.select(F.expr(f"shiftleft({depth}L, {8 * DEPTH + 8}) | shiftleft(ctx, 8) | sym").alias("k"), F.log10("p").alias("lp"))
+
+
+def token_scores(words: DataFrame, windows: DataFrame, new: float) -> tuple[DataFrame, DataFrame]:
+    """(w, c, lp): of each word its count and what its body adds, or an unseen word's score; (k, lp): what each window adds."""
     each = words.withColumn("h", F.xxhash64("w"))
-    used = list(tree(words))
-    table = probabilities(*used, used)
-    symbols = each.filter("c > 0").select("w", "h").mapInArrow(_spelling, "k long, h long")
-    spelled = symbols.join(table, "k").groupBy("h").agg(F.sum("lp").alias("lp"))
-    lp = F.when(F.col("c") > 0, F.lit(float(np.log10(1 - new))) + F.col("lp")).otherwise(F.lit(float(np.log10(new))))
-    out = C.shared_table(each.join(spelled, "h", "left").select("w", "c", lp.alias("lp")), "lm-scored")
-    for x in used:
+    counts = counted(words, windows)
+    depths = tree(counts)
+    release(counts)
+    longest = reduce(DataFrame.unionByName, [_longest(d, depths[d]) for d in range(TAIL + 1, DEPTH + 1)])
+    summed = lambda keys: keys.join(longest.hint("shuffle_hash"), "k").groupBy("h").agg(F.sum("lp").alias("lp"))
+    bodies = summed(each.filter("c > 0").select("w", "h").mapInArrow(_body_keys, "k long, h long"))
+    heads = summed(windows.select("k").mapInArrow(_head_keys, "k long, h long"))
+    known = F.lit(float(np.log10(1 - new))) + F.coalesce(F.col("lp"), F.lit(0.0))
+    lp = F.when(F.col("c") > 0, known).otherwise(F.lit(float(np.log10(new))))
+    out = C.shared_table(each.join(bodies, "h", "left").select("w", "c", lp.alias("lp")), "lm-words-scored")
+    heads = C.shared_table(heads.withColumnRenamed("h", "k"), "lm-windows-scored")
+    for x in depths:
         release(x)
-    return out
+    return out, heads
 
 
-def _summed(batches: Iterator[pa.RecordBatch], shift: float, end: tuple[int, float], total: int) -> Iterator[pa.RecordBatch]:
-    """Steps come back whole and in order: the header, then the words by number."""
+def _summed(batches: Iterator[pa.RecordBatch], shift: float, total: int) -> Iterator[pa.RecordBatch]:
+    """Steps come back whole and in order: the header, the words by number, the windows by number."""
     header, parts = None, []
 
     def flush() -> pa.RecordBatch:
         z = np.load(io.BytesIO(header))
-        c, lp = (np.concatenate([x[i] for x in parts]) if parts else np.zeros(0) for i in (0, 1))
-        word = np.repeat(np.arange(len(z["per_word"])), z["per_word"])
-        size = len(z["ids"])
-        add = lambda v: np.bincount(z["doc"], z["count"] * v[word], size)
-        tokens = z["n_words"] + 1
-        base = add(np.log10(c + 0.5)) + np.log10(end[0] + 0.5) - tokens * shift
-        arrays = [pa.array(z["ids"], pa.int64(), mask=z["none"]), pa.array(z["held"]), pa.array(tokens), pa.array((add((c > 0).astype(float)) + (end[0] > 0)).astype(np.int64)), pa.array(np.full(size, total)), pa.array(base), pa.array(add(lp) + end[1])]
+        place, c, lp = (np.concatenate([x[i] for x in parts]) for i in range(3))
+        words = int(np.searchsorted(place, _WINDOWS))
+        word, window = np.repeat(np.arange(words), z["per_word"]), np.cumsum(z["shift"])
+        known = c[:words] > 0
+        score = lp[:words][word] + np.where(known[word], lp[words:][window], 0.0)
+        n = len(z["ids"])
+        add = lambda v: np.bincount(z["doc"], v, n)
+        size = np.bincount(z["doc"], minlength=n)
+        base = add(np.log10(c[:words] + 0.5)[word]) - size * shift
+        arrays = [pa.array(z["ids"], pa.int64(), mask=z["none"]), pa.array(z["held"]), pa.array(size), pa.array(add(known[word].astype(float)).astype(np.int64)), pa.array(np.full(n, total)), pa.array(base), pa.array(add(score))]
         return pa.RecordBatch.from_arrays(arrays, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
 
     for batch in batches:
-        heads = np.flatnonzero(batch.column("idx").to_numpy() == -1).tolist()
+        place = batch.column("place").to_numpy()
+        heads = np.flatnonzero(place == -1).tolist()
         c, lp = batch.column("c").to_numpy(), batch.column("lp").to_numpy(zero_copy_only=False)
         at = 0
         for h in [*heads, batch.num_rows]:
             if h > at:
-                parts.append((c[at:h], lp[at:h]))
+                parts.append((place[at:h], c[at:h], lp[at:h]))
             if h < batch.num_rows:
                 if header is not None:
                     yield flush()
@@ -235,20 +316,26 @@ def score(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score of each document."""
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     rows = C.keyed(docs).select("doc_id", "text", (F.crc32(key) % 5 == 1).alias("held_out"))
-    parts = C.shared_table(rows.mapInArrow(_count, "w string, step long, idx long, c long, header binary"), "lm-steps")
-    words = C.shared_table(parts.filter("w is not null").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
-    n, v, once, ends = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1), F.coalesce(F.sum(F.when(F.col("w") == "", F.col("c"))), F.lit(0))).first()
-    new = (once + 1) / (n + 2)
-    known = token_scores(words, new)
-    end = known.filter("w = ''").select("lp").first()
-    end = float(end[0] if end else np.log10(new))
+    parts = C.shared_table(rows.mapInArrow(_count, PARTS), "lm-steps")
+    words = C.shared_table(parts.filter("kind = 0").groupBy("w").agg(F.sum("c").alias("c")), "lm-words")
+    windows = C.shared_table(parts.filter("kind = 1").groupBy("k").agg(F.sum("c").alias("c")), "lm-windows")
+    n, v, once = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0), F.count_if(F.col("c") == 1)).first()
+    scored, heads = token_scores(words, windows, (once + 1) / (n + 2))
+    release(words)
+    release(windows)
+    settle(docs.sparkSession)
+    none = F.lit(None).cast("binary").alias("header")
+    back = C.shared_table(parts.filter("kind = 0").select("w", "step", "idx").join(scored.hint("shuffle_hash"), "w").select("step", F.col("idx").alias("place"), "c", "lp"), "lm-words-back")
+    more = parts.filter("kind = 1").select("k", "step", "idx").join(heads.hint("shuffle_hash"), "k").select("step", (F.col("idx") + _WINDOWS).alias("place"), F.lit(0).cast("long").alias("c"), "lp")
+    more = C.shared_table(more, "lm-windows-back")
+    release(scored)
+    release(heads)
     settle(docs.sparkSession)
-    back = parts.filter("idx >= 0").select("w", "step", "idx").join(known, "w").select("step", "idx", "c", "lp", F.lit(None).cast("binary").alias("header"))
-    heads = parts.filter("idx = -1").select("step", "idx", "c", F.lit(0.0).alias("lp"), "header")
+    first = parts.filter("kind = 2").select("step", F.lit(-1).alias("place"), "c", F.lit(0.0).alias("lp"), "header")
     shift = float(np.log10(n + 0.5 * (v + 1)))
 
     def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _summed(batches, shift, (ends, end), n)
+        return _summed(batches, shift, n)
 
-    together = heads.unionByName(back).repartition("step").sortWithinPartitions("step", "idx")
+    together = first.unionByName(back.withColumn("header", none)).unionByName(more.withColumn("header", none)).repartition("step").sortWithinPartitions("step", "place")
     return together.mapInArrow(summed, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
