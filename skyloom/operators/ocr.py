@@ -5,8 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Misread prefixes and what they stand for.
-MISREAD = ((r"L[I1]\. *", "Ll. "), (r"[0O]A\. *", "OA. "), (r"Z\. *C\. *", "ZC. "), (r"W\. *B\. *", "WB "))
+#: Tokens that are annotations; misread beginnings of a token; spellings of a reference's beginning.
+ANNOTATION = r"^[a-z.…'’]+$"
+MISREAD = ((r"^L[I1l]\.", "Ll."), (r"^0A\.", "OA."))
+SPELLINGS = ((r"^Melb\.\s+I\.", "Melb.I."), (r"^O\.\s*A\.", "OA."), (r"^Z\.?\s*C\.", "ZC."), (r"^W\.?\s*B\.", "WB."))
+#: Keywords of footnotes, whole or with the first letter cut off, and what may stand before their numbers.
+FOOTNOTE = r"(?i)\b(Dpl|Color|pl|olor)\b[\s.:]*(?:N[ºo°]?\.?)?\s*(\d[\d\s,.]*)"
 
 
 def squeeze(c: str) -> Column:
@@ -14,17 +18,17 @@ def squeeze(c: str) -> Column:
     return F.ltrim(F.regexp_replace(c, " +", " "))
 
 
-def clean_sql(e: str, duck: bool = False) -> str:
-    for pattern, to in MISREAD:
-        escaped = pattern if duck else pattern.replace("\\", "\\\\")
-        e = f"regexp_replace({e}, '{escaped}', '{to}'" + (", 'g')" if duck else ")")
-    return e
+def _replaced(x: Column, rules: tuple[tuple[str, str], ...]) -> Column:
+    for pattern, to in rules:
+        x = F.regexp_replace(x, F.lit(pattern), F.lit(to))
+    return x
 
 
 def clean(c: str) -> Column:
-    """References with misread prefixes put right; annotations in lower case are dropped."""
-    parts = F.transform(F.split(F.expr(clean_sql(c)), ","), lambda x: F.trim(x))
-    return F.array_join(F.filter(parts, lambda x: (x != "") & ~x.rlike("^[a-z]")), ", ")
+    """References put right: commas and blanks separate, annotations go, a blank follows each point, catalogues are spelled in one way; NULL is empty."""
+    tokens = F.split(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"[,\s]+", " ")), " ")
+    tokens = F.transform(F.filter(tokens, lambda x: ~x.rlike(ANNOTATION) & (x != "")), lambda x: _replaced(x, MISREAD))
+    return F.trim(_replaced(F.regexp_replace(F.array_join(tokens, " "), r"\.(?=\S)", ". "), SPELLINGS))
 
 
 def references(rows: DataFrame, ref: str, catalogues: dict[str, str]) -> DataFrame:
@@ -51,6 +55,13 @@ def numbers(text: str) -> Column:
     return F.regexp_extract_all(text, F.lit("([0-9]+)"), F.lit(1))
 
 
+def footnotes(text: str, kind: str) -> Column:
+    """The numbers right behind each keyword of ``kind``, dpl or color, as an array of text."""
+    keys, runs = (F.regexp_extract_all(text, F.lit(FOOTNOTE), F.lit(k)) for k in (1, 2))
+    mine = F.filter(F.arrays_zip(keys.alias("k"), runs.alias("r")), lambda x: F.lower(x["k"]).contains("pl") == (kind == "dpl"))
+    return F.flatten(F.transform(mine, lambda x: F.regexp_extract_all(x["r"], F.lit("([0-9]+)"), F.lit(1))))
+
+
 def plausible_span(text: str, limit: int, most: int) -> Column:
     """Width of the first range a-b if 1 <= a <= b <= limit and it isn't too wide."""
     a, b = (F.regexp_extract(text, "([0-9]+)-([0-9]+)", k).try_cast("int") for k in (1, 2))

@@ -576,7 +576,7 @@ def precession_dec_by_hour(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---------------------------------------------------------------- magnitudes, histograms, fits
 
-#: Coefficients a + b m + c m^2 of the five volumes, for this synthetic sky.
+#: Coefficients a + b m + c m^2 of five volumes of this synthetic sky; the printed volumes' are in functions/mags.py (query volume_scales).
 _COEF = {1: (0.2, 0.98, 0.001), 2: (0.25, 0.97, 0.002), 3: (0.01, 1.0, 0.0), 4: (0.0, 1.01, -0.001), 5: (-0.01, 1.0, 0.0005)}
 _V = mags.visual("(2.0D + (l_partkey % 90) / 10.0D)", "(CASE WHEN l_suppkey % 6 = 0 THEN 0.0D ELSE 2.0D + (l_suppkey % 80) / 10.0D END)")
 _ZONE = "CAST(22 + l_orderkey % 60 AS INTEGER)"
@@ -719,15 +719,6 @@ def digit_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", ocr.repair("txt", "lo", "hi").alias("repaired")).filter("repaired IS NOT NULL")
 
 
-_DIRTY = "CASE o_orderkey % 6 WHEN 0 THEN concat('LI. ', cast(o_custkey AS varchar)) WHEN 1 THEN concat('L1.', cast(o_custkey AS varchar)) WHEN 2 THEN concat('0A.  ', cast(o_custkey AS varchar), ', dup') WHEN 3 THEN concat('Z. C. ', cast(o_custkey AS varchar)) WHEN 4 THEN concat('W.B.', cast(o_custkey AS varchar)) ELSE '' END"
-
-
-@query(f"SELECT id, array_to_string(list_filter(list_transform(string_split(r, ','), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '^[a-z]')), ', ') AS ref FROM (SELECT o_orderkey AS id, {ocr.clean_sql('(' + _DIRTY + ')', duck=True)} AS r FROM orders)")
-def ref_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_DIRTY.replace("varchar", "string")).alias("raw"))
-    return rows.select("id", ocr.clean("raw").alias("ref"))
-
-
 @query("WITH a AS (SELECT DISTINCT l_partkey AS n FROM lineitem WHERE l_linenumber = 1), b AS (SELECT DISTINCT l_partkey AS n FROM lineitem WHERE l_linenumber = 2) SELECT n, 'missing' AS side FROM (SELECT n FROM a EXCEPT SELECT n FROM b) UNION ALL SELECT n, 'extra' FROM (SELECT n FROM b EXCEPT SELECT n FROM a)")
 def set_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = t(spark, sf_dir, "lineitem")
@@ -740,15 +731,6 @@ def certain_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "lineitem").filter("l_linenumber <= 2").groupBy(F.col("l_partkey").alias("n")).agg(F.bool_and(F.col("l_tax") > 0.04).alias("uncertain"))
 
 
-_FOOT = "concat('Dpl: ', cast(o_orderkey % 900 AS varchar), ', ', cast(o_custkey % 900 AS varchar), '-', cast(o_custkey % 900 + o_orderkey % 120 AS varchar))"
-
-
-@query(f"SELECT id, array_to_string(list_transform(regexp_extract_all(txt, '[0-9]+'), lambda x: x), ';') AS numbers, CASE WHEN lo >= 1 AND lo <= hi AND hi - lo <= 90 AND hi <= 980 THEN hi - lo END AS span FROM (SELECT o_orderkey AS id, {_FOOT} AS txt, CAST(regexp_extract({_FOOT}, '([0-9]+)-([0-9]+)', 1) AS INTEGER) AS lo, CAST(regexp_extract({_FOOT}, '([0-9]+)-([0-9]+)', 2) AS INTEGER) AS hi FROM orders)")
-def footnote_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_FOOT.replace("varchar", "string")).alias("txt"))
-    return rows.select("id", F.array_join(ocr.numbers("txt"), ";").alias("numbers"), ocr.plausible_span("txt", 980, 90).alias("span"))
-
-
 _NAME = "CASE o_orderkey % 4 WHEN 0 THEN concat('CD -', cast(22 + o_orderkey % 60 AS varchar), chr(176), cast(o_custkey AS varchar)) WHEN 1 THEN concat(cast(o_custkey % 300 AS varchar), 'G Sgr') WHEN 2 THEN concat('BD +', cast(o_orderkey % 20 AS varchar), chr(176), cast(o_custkey AS varchar)) ELSE concat('  alp   Cen  ', cast(o_orderkey AS varchar)) END"
 
 
@@ -785,3 +767,6 @@ def triple_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = stars(spark, sf_dir).selectExpr("id", "CASE WHEN id % 1000 > 500 THEN id % 1000 ELSE 0 END AS sao", "CASE WHEN id % 800 > 600 THEN id % 800 ELSE 0 END AS hd", "coalesce(mag, 0.0D) AS mag")
     return sinks.cross_rows(rows, {"ppm": "id", "sao": "sao", "hd": "hd"}, "mag")
+
+
+from skyloom.plans import records  # noqa: E402,F401  registers its queries

@@ -163,3 +163,32 @@ def test_sinks_round_trip(spark, tmp_path):
     assert [tuple(x) for x in sinks.read_number_list(spark, str(tmp_path / "list.txt")).collect()] == [(12, False), (34, True)]
     (tmp_path / "page3.json").write_text('[{"decl": -22, "first": 1, "last": 9, "dpl": [3], "color": [], "dpl_uncertain": [], "color_uncertain": [], "notes": ["n"]}]')
     assert sinks.read_scan_json(spark, str(tmp_path / "page3.json")).first().page == 3
+
+
+def test_references_and_footnotes_by_literal_rows(spark):
+    from pyspark.sql import functions as F
+
+    from skyloom.operators import ocr
+
+    refs = [
+        ("LI. 5477, seq.", "Ll. 5477"), ("L1.12", "Ll. 12"), ("Ll. 3", "Ll. 3"), ("0A. 7", "OA. 7"), ("O.A. 7", "OA. 7"), ("Z.C. 11h 3707", "ZC. 11h 3707"), ("ZC. 1", "ZC. 1"), ("W.B. 9", "WB. 9"), ("WB. 9", "WB. 9"),
+        ("Melb. I. 5", "Melb.I. 5"), ("L. 1618,dup. var", "L. 1618"), ("seq. L. 2", "L. 2"), ("Laplace 1", "Laplace 1"), ("L.2.x", "L. 2. x"), ("", ""), (None, ""), ("  pr,  ", ""),
+    ]
+    got = spark.createDataFrame([(i, a) for i, (a, _) in enumerate(refs)], "i int, a string").select("i", ocr.clean("a").alias("b")).collect()
+    assert [x.b for x in sorted(got)] == [b for _, b in refs]
+    notes = [("Dpl: 12, 45. 7", "12;45;7", ""), ("Dpl 1 p. 2", "1", ""), ("COLOR Nº. 3. olor 4 pl. 5", "5", "3;4"), ("Duplex 3", "", ""), ("color no 7", "", "7"), ("color to 7", "", ""), ("12 Dpl", "", ""), ("Dpl. N 10,", "10", "")]
+    rows = spark.createDataFrame([(i, x[0]) for i, x in enumerate(notes)], "i int, a string")
+    got = rows.select("i", *[F.array_join(ocr.footnotes("a", k), ";").alias(k) for k in ("dpl", "color")]).collect()
+    assert [(x.dpl, x.color) for x in sorted(got)] == [x[1:] for x in notes]
+
+
+def test_published_scales(spark):
+    from skyloom.functions import mags
+
+    rows = [(9.0, -25), (9.0, -35), (9.0, -45), (9.0, -55), (9.0, -89), (9.0, -10), (9.0, 20), (2.5, -25), (3.0, -62)]
+    got = spark.createDataFrame(rows, "m double, d int").selectExpr(f"{mags.v_to_cd('m', 'd')} a", f"{mags.cd_to_v('m', 'd')} b", f"{mags.gc_to_v('m')} c").collect()
+    want_cd = [8.745145, 8.739437, 9.053137, 9.025834, 9.145075, 9.258879, 9.258879]
+    want_v = [9.342, 9.427, 9.165, 9.086, 8.983, None, None]
+    assert [round(x.a, 6) for x in got[:7]] == want_cd
+    assert [x.b if x.b is None else round(x.b, 3) for x in got[:7]] == want_v
+    assert [round(x.c, 3) for x in got] == [8.857] * 7 + [2.5, 3.0]
