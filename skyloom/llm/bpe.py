@@ -17,9 +17,9 @@ from __future__ import annotations
 
 import hashlib
 import json
+import sys
 import unicodedata
 from collections.abc import Iterable, Iterator
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -183,9 +183,17 @@ class Bpe(dict):
         return np.frombuffer(self[chunk.encode()][0], "<u4").tolist()
 
 
-@lru_cache(maxsize=2)
 def bpe(path: str) -> Bpe:
-    return Bpe(path)
+    """The worker's encoder, the latest of at most two files.
+
+    It is kept on the interpreter: functions pickled by value get new module globals in each task.
+    """
+    kept: dict[str, Bpe] = sys.__dict__.setdefault("_skyloom_bpe", {})
+    if path not in kept:
+        if len(kept) > 1:
+            kept.pop(next(iter(kept)))
+        kept[path] = Bpe(path)
+    return kept[path]
 
 
 def encode(docs: DataFrame, path: str, digests_only: bool = False) -> DataFrame:
