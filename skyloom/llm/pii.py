@@ -1,11 +1,13 @@
 """Personal data by weak supervision.
 
 Four kinds have fixed definitions (the base): email, ip, card, phone. Other candidates, tokens with a
-digit or behind a cue, get votes of several labelers: patterns, gazetteers and contexts. An
+digit or behind a cue and account numbers in groups of four, get votes of several labelers: patterns,
+gazetteers (countries with the length of their account numbers, unissued number ranges, stand-ins for real
+values, words) and contexts. A vote is for one of three classes: plain, ``secret`` or ``ident``. An
 expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each
-pattern's probability without any labels; these probabilities are the soft labels of a span classifier
-(naive Bayes over a fixed number of features of a candidate and its surroundings). Candidates that it
-finds likelier than not are added as ``secret`` or ``ident`` spans; base spans stay.
+pattern's class probabilities without any labels; these are the soft labels of a span classifier (naive
+Bayes over a fixed number of features of a candidate and its surroundings). The class that it finds
+likeliest is the span's kind; plain ones are dropped and base spans stay.
 
 The corpus is read once: spans, votes and features go to a small table. Counts of (pattern, feature) are
 bounded by PATTERNS x FEATURES whatever the corpus, so only they reach the driver.
@@ -32,9 +34,16 @@ from skyloom.llm import common as C
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("secret", "ident")
 FEATURES = 512
-LABELERS = 7
-PATTERNS = 3**LABELERS
+CLASSES = ("plain", *ADDED_KINDS)
+LABELERS = 9
+#: A vote is 0 for none or 1 + the class.
+PATTERNS = 4**LABELERS
+#: Labelers that see something personal without telling the two classes apart: a separator before, quotes around.
+GENERIC = (6, 7)
+GAZETTEER = 2
 EM_ROUNDS = 60
+#: Candidates' worth of the overall feature rates in each class of the classifier.
+SMOOTHING = 2.0
 
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -51,6 +60,18 @@ TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz012345678
 #: Formats of keys that services publish.
 KEY_FORMATS = re.compile(r"AKIA[0-9A-Z]{16}|ASIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{36,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk-[A-Za-z0-9_-]{20,}|AIza[0-9A-Za-z_-]{35}")
 IDENT_FORMATS = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}")
+#: An account number written in groups of four.
+GROUPED = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: [A-Z0-9]{4}){2,7}(?: [A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+#: Countries and the length of their international account numbers.
+ACCOUNT_LENGTHS = {
+    "AD": 24, "AE": 23, "AL": 28, "AT": 20, "AZ": 28, "BA": 20, "BE": 16, "BG": 22, "BH": 22, "BR": 29, "BY": 28, "CH": 21, "CR": 22, "CY": 28, "CZ": 24, "DE": 22,
+    "DK": 18, "DO": 28, "EE": 20, "EG": 29, "ES": 24, "FI": 18, "FO": 18, "FR": 27, "GB": 22, "GE": 22, "GI": 23, "GL": 18, "GR": 27, "GT": 28, "HR": 21, "HU": 28,
+    "IE": 22, "IL": 23, "IQ": 23, "IS": 26, "IT": 27, "JO": 30, "KW": 30, "KZ": 20, "LB": 28, "LC": 32, "LI": 21, "LT": 20, "LU": 20, "LV": 21, "MC": 27, "MD": 24,
+    "ME": 22, "MK": 19, "MR": 27, "MT": 31, "MU": 30, "NL": 18, "NO": 15, "PK": 24, "PL": 28, "PS": 29, "PT": 25, "QA": 29, "RO": 24, "RS": 22, "SA": 24, "SC": 31,
+    "SE": 24, "SI": 19, "SK": 24, "SM": 27, "TN": 24, "TR": 26, "UA": 29, "VA": 22, "VG": 24, "XK": 20,
+}
+#: Stand-ins for real values.
+STAND_INS = re.compile(r"(?i)x{6,}.*|0{6,}|123456(?:7890?)?|changeme|change_me|example.*|placeholder|redacted|your[-_].*|undefined")
 #: Words that name credentials, and those that name documents of a person.
 SECRET_WORDS = frozenset("password passwd pwd passphrase secret token apikey api_key key credential credentials auth bearer".split())
 IDENT_WORDS = frozenset("ssn iban passport account social security insurance national identity tax".split())
@@ -89,10 +110,28 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return out
 
 
-def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int, int, list[int]]]:
-    """(kind, start, end, vote pattern, features) of tokens of 6 characters or more that hold a digit or stand behind a cue."""
-    out = []
-    spans = sorted((lo, hi) for _, lo, hi in taken)
+def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, int, list[int]]]:
+    """(start, end, vote pattern, features) of account numbers in groups and of tokens of 6 characters or more that hold a digit or stand behind a cue."""
+    groups = []
+    for m in GROUPED.finditer(text):
+        if ACCOUNT_LENGTHS.get(m.group()[:2]) == len(m.group().replace(" ", "")):
+            groups.append(m.span())
+    busy: list[list[int]] = []  # disjoint, ascending
+    for lo, hi in sorted([(lo, hi) for _, lo, hi in taken]):
+        if busy and lo < busy[-1][1]:
+            busy[-1][1] = max(busy[-1][1], hi)
+        else:
+            busy.append([lo, hi])
+    out, j = [], 0
+    for lo, hi in sorted(groups + _tokens(text, groups)):
+        while j < len(busy) and busy[j][1] <= lo:
+            j += 1
+        if j == len(busy) or busy[j][0] >= hi:
+            out.append(_vote(text, lo, hi))
+    return out
+
+
+def _tokens(text: str, groups: list[tuple[int, int]]) -> list[tuple[int, int]]:
     cued = {m.end() for m in CUE.finditer(text)}
     for m in NAMED.finditer(text):
         if m.group().lower() in SECRET_WORDS:
@@ -100,9 +139,11 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             while at < len(text) and text[at] in " \"':=":
                 at += 1
             cued.add(at)
-    done = 0
-    starts = sorted({m.start() for m in DIGIT.finditer(text)} | cued)
-    for at in starts:
+    out, done, g = [], 0, 0
+    for at in sorted({m.start() for m in DIGIT.finditer(text)} | cued):
+        while g < len(groups) and groups[g][0] <= at:
+            done = max(done, groups[g][1])
+            g += 1
         if at < done:
             continue
         lo = at
@@ -110,17 +151,23 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str,
             lo -= 1
         m = TOKEN_RUN.match(text, at)
         hi = m.end() if m else at
+        if g < len(groups) and groups[g][0] < hi:
+            continue  # the token is where a group begins
         done = max(done, hi)
-        if hi - lo < 6:
-            continue
-        if any(a < hi and lo < b for a, b in spans):
-            continue
-        out.append(_vote(text, lo, hi))
+        if hi - lo >= 6:
+            out.append((lo, hi))
     return out
 
 
-def _vote(text: str, lo: int, hi: int) -> tuple[str, int, int, int, list[int]]:
-    token, before, after = text[lo:hi], text[max(0, lo - 40) : lo], text[hi : hi + 1]
+def account(token: str) -> bool:
+    """Whether an international account number has its country's length and check digits."""
+    if ACCOUNT_LENGTHS.get(token[:2]) != len(token) or not token.isascii() or not token.isalnum() or not token[2:4].isdigit():
+        return False
+    return int("".join(str(int(c, 36)) for c in token[4:] + token[:4])) % 97 == 1
+
+
+def _vote(text: str, lo: int, hi: int) -> tuple[int, int, int, list[int]]:
+    token, before, after = text[lo:hi].replace(" ", ""), text[max(0, lo - 40) : lo], text[hi : hi + 1]
     words = re.findall(r"[a-z_]+", before.lower())
     last = words[-1] if words else ""
     near = before.rstrip(" \"'")[-1:]
@@ -129,61 +176,79 @@ def _vote(text: str, lo: int, hi: int) -> tuple[str, int, int, int, list[int]]:
     entropy = -sum(n / len(token) * math.log2(n / len(token)) for n in counts.values())
     hexed = all(c in "0123456789abcdefABCDEF-" for c in token)
     ident = IDENT_FORMATS.fullmatch(token) is not None
+    # of numbers 3-2-4 the ranges 000, 666 and 9xx, the group 00 and the serial 0000 were never issued
+    issued = ident and (account(token) if token[0].isalpha() else token[:3] not in ("000", "666") and token[0] != "9" and token[4:6] != "00" and token[7:] != "0000")
+    none, plain, secret, known = range(4)
     votes = [
-        1 if KEY_FORMATS.fullmatch(token) or ident else 0,
-        1 if hexed and len(token) >= 16 and digits < len(token) else 0,
-        1 if len(token) >= 12 and entropy >= 3.0 and 0 < digits < len(token) else -1 if entropy < 2.2 or digits == len(token) else 0,
-        1 if last in SECRET_WORDS or ident and last in IDENT_WORDS else -1 if last in PLAIN_WORDS else 0,
-        1 if near and near in "=:" else 0,
-        1 if before[-1:] in "\"'" and before and after == before[-1:] else 0,
-        -1 if len(token) < 10 else 0,
+        secret if KEY_FORMATS.fullmatch(token) else none,
+        known if ident else none,
+        known if issued else plain if ident or STAND_INS.fullmatch(token) else none,
+        secret if hexed and len(token) >= 16 and digits < len(token) and not ident else none,
+        none if ident else secret if len(token) >= 12 and entropy >= 3.0 and 0 < digits < len(token) else plain if entropy < 2.2 or digits == len(token) else none,
+        secret if last in SECRET_WORDS else known if last in IDENT_WORDS else plain if last in PLAIN_WORDS else none,
+        secret if near and near in "=:" else none,
+        secret if before[-1:] in "\"'" and before and after == before[-1:] else none,
+        plain if len(token) < 10 else none,
     ]
     pattern = 0
     for v in votes:
-        pattern = pattern * 3 + v + 1
+        pattern = pattern * 4 + v
     shape = re.sub(r"(.)\1+", r"\1", re.sub(r"[a-z]", "a", re.sub(r"[A-Z]", "A", re.sub(r"[0-9]", "0", token))))[:6]
-    raw = [f"shape={shape}", f"len={min(len(token) // 4, 12)}", f"entropy={int(entropy * 2)}", f"digits={int(4 * digits / len(token))}", f"last={last[:12]}", f"near={near}", f"hex={hexed}", f"after={after}"]
+    raw = [f"shape={shape}", f"len={min(len(token) // 4, 12)}", f"entropy={int(entropy * 2)}", f"digits={int(4 * digits / len(token))}", f"last={last[:12]}", f"near={near}", f"hex={hexed}", f"after={after}", f"format={ident}{issued}"]
     features = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=4).digest(), "little") % FEATURES for x in raw]
-    return ("ident" if ident and not KEY_FORMATS.fullmatch(token) else "secret", lo, hi, pattern, features)
+    return (lo, hi, pattern, features)
 
 
-def reliabilities(counts: dict[int, int]) -> dict[int, float]:
-    """Probability that a candidate with this vote pattern is personal, by expectation-maximisation."""
+def reliabilities(counts: dict[int, int]) -> dict[int, list[float]]:
+    """Probabilities of the three classes for candidates of each vote pattern, by expectation-maximisation."""
     patterns = sorted(counts)
-    votes = np.array([[p // 3 ** (LABELERS - 1 - j) % 3 for j in range(LABELERS)] for p in patterns])
+    votes = np.array([[p // 4 ** (LABELERS - 1 - j) % 4 for j in range(LABELERS)] for p in patterns])
     n = np.array([counts[p] for p in patterns], float)
-    # the start: the share of votes for, against those against
-    prior = 1 / (1 + np.exp(-2.0 * (votes - 1).sum(1) + 1.0))
-    p = prior
+    special = [j for j in range(LABELERS) if j not in GENERIC]
+    against = (votes == 1).sum(1)
+    generic = (votes[:, GENERIC] == 2).sum(1)
+    secret, ident = ((votes[:, special] == v).sum(1) for v in (2, 3))
+    # an ident needs a labeler that names it, and is none if the gazetteer knows that it can't have been issued
+    never = (ident == 0) | (votes[:, GAZETTEER] == 1)
+
+    def normal(log: np.ndarray) -> np.ndarray:
+        q = np.exp(np.clip(log - log.max(1, keepdims=True), -50, 0))
+        q[:, 2][never] = 0
+        return q / q.sum(1, keepdims=True)
+
+    # the start: the votes for a class, less those against it
+    p = normal(np.stack([np.zeros(len(n)), 2.0 * (secret + generic - against - ident) - 1.0, 2.0 * (ident + generic - against - secret) - 1.0], 1))
     for _ in range(EM_ROUNDS):
-        log = np.zeros((len(patterns), 2))
-        for k, q in enumerate((1 - p, p)):
-            log[:, k] = np.log((n @ q + 1) / (n.sum() + 2))
+        log = np.log((n @ p + 1) / (n.sum() + 3)) + np.zeros((len(n), 3))
+        for k in range(3):
             for j in range(LABELERS):
                 # a labeler that speaks is right more often than not: its pseudo-counts say so
-                table = np.array([2.0, 4.0, 0.5] if k == 0 else [0.5, 4.0, 2.0])
-                np.add.at(table, votes[:, j], n * q)
+                table = np.array([4.0, 0.5, 0.5, 0.5])
+                table[2 if j in GENERIC and k else 1 + k] = 2.0
+                np.add.at(table, votes[:, j], n * p[:, k])
                 log[:, k] += np.log(table / table.sum())[votes[:, j]]
-        new = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+        new = normal(log)
         if np.abs(new - p).max() < 1e-6:
             break
         p = new
     return dict(zip(patterns, p.tolist()))
 
 
-def classifier(table: list[tuple[int, int, int]], soft: dict[int, float], counts: dict[int, int]) -> tuple[float, list[float]]:
-    """Bias and a weight for each feature: naive Bayes with the soft labels; table has (pattern, feature, count)."""
-    yes = sum(soft[p] * n for p, n in counts.items())
-    no = sum(counts.values()) - yes
-    for_, against = np.ones(FEATURES), np.ones(FEATURES)
+def classifier(table: list[tuple[int, int, int]], soft: dict[int, list[float]], counts: dict[int, int]) -> list[tuple[float, list[float]]]:
+    """For secret and ident, each against plain: bias and a weight for each feature, by naive Bayes with the soft labels; table has (pattern, feature, count).
+
+    Each class is smoothed with the feature rates of all candidates, so a class that nearly nothing is in says nothing by its rare features.
+    """
+    mass = np.array([soft[p] for p in counts]).T @ np.array(list(counts.values()), float)
+    seen = np.zeros((3, FEATURES))
     for p, f, n in table:
-        for_[f] += soft[p] * n
-        against[f] += (1 - soft[p]) * n
-    weights = np.log(for_ / (yes + 2)) - np.log(against / (no + 2))
-    return math.log((yes + 1) / (no + 1)), weights.tolist()
+        seen[:, f] += np.array(soft[p]) * n
+    rate = (seen.sum(0) + 1) / (mass.sum() + 2)
+    log = np.log((seen + SMOOTHING * rate) / (mass[:, None] + SMOOTHING))
+    return [(math.log((mass[k] + 1) / (mass[0] + 1)), (log[k] - log[0]).tolist()) for k in (1, 2)]
 
 
-_CANDIDATE = "array<struct<kind:string,lo:int,hi:int,pattern:int,features:array<int>>>"
+_CANDIDATE = "array<struct<lo:int,hi:int,pattern:int,features:array<int>>>"
 _SPAN = "array<struct<kind:string,lo:int,hi:int>>"
 
 
@@ -195,9 +260,9 @@ def _label(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             raw = data[offsets[i] : offsets[i + 1]].tobytes()
             spans = base_spans(text := raw.decode())
             base.append([{"kind": k, "lo": a, "hi": b} for k, a, b in spans])
-            more.append([{"kind": k, "lo": a, "hi": b, "pattern": p, "features": f} for k, a, b, p, f in candidates(text, spans)])
+            more.append([{"lo": a, "hi": b, "pattern": p, "features": f} for a, b, p, f in candidates(text, spans)])
         span = pa.struct([("kind", pa.string()), ("lo", pa.int32()), ("hi", pa.int32())])
-        cand = pa.struct([*span, ("pattern", pa.int32()), ("features", pa.list_(pa.int32()))])
+        cand = pa.struct([("lo", pa.int32()), ("hi", pa.int32()), ("pattern", pa.int32()), ("features", pa.list_(pa.int32()))])
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("t"), pa.array(base, pa.list_(span)), pa.array(more, pa.list_(cand))], names=["doc_id", "t", "base", "more"])
 
 
@@ -210,13 +275,18 @@ def detect(docs: DataFrame) -> DataFrame:
         return found.select("doc_id", "t", "base", F.expr(f"cast(array() as {_SPAN})").alias("added"))
     table = each.select(F.col("c.pattern").alias("p"), F.explode("c.features").alias("f")).groupBy("p", "f").agg(F.count(F.lit(1)).alias("n"))
     soft = reliabilities(counts)
-    bias, weights = classifier([(r.p, r.f, r.n) for r in table.collect()], soft, counts)
-    w = F.array(*map(F.lit, weights))
+    model = classifier([(r.p, r.f, r.n) for r in table.collect()], soft, counts)
+
+    def odds(c: F.Column, bias: float, weights: list[float]) -> F.Column:
+        w = F.array(*map(F.lit, weights))
+        return F.aggregate(c["features"], F.lit(bias), lambda total, f: total + F.get(w, f))
 
-    def likely(c: F.Column) -> F.Column:
-        return F.aggregate(c["features"], F.lit(bias), lambda total, f: total + F.get(w, f)) > 0
+    def kind(c: F.Column) -> F.Column:
+        secret, ident = (odds(c, *x) for x in model)
+        return F.when(F.greatest(secret, ident) <= 0, CLASSES[0]).when(secret >= ident, CLASSES[1]).otherwise(CLASSES[2])
 
-    added = F.transform(F.filter("more", likely), lambda c: F.struct(c["kind"].alias("kind"), c["lo"].alias("lo"), c["hi"].alias("hi")))
+    named = F.transform("more", lambda c: F.struct(kind(c).alias("kind"), c["lo"].alias("lo"), c["hi"].alias("hi")))
+    added = F.filter(named, lambda c: c["kind"] != CLASSES[0])
     return found.select("doc_id", "t", "base", added.alias("added"))
 
 

@@ -84,9 +84,9 @@ def test_query_and_mask(spark):
 def test_candidates_behind_cues_and_long_ones():
     token = "".join(random.Random(5).choice("ABCDEFGHabcdefgh0123456789_-") for _ in range(900))
     for text, value in (("the password: correcthorsebattery is", "correcthorsebattery"), ('key="abcdefGHIJKLmnop"', "abcdefGHIJKLmnop"), ("send Bearer QwErTyUiOpAsDf now", "QwErTyUiOpAsDf"), (f"jwt {token} end", token)):
-        assert value in [text[lo:hi] for _, lo, hi, *_ in pii.candidates(text, [])]
+        assert value in [text[lo:hi] for lo, hi, *_ in pii.candidates(text, [])]
     assert pii.candidates("plain words behind nothing", []) == []
-    for long in ("=" * 100_000, "a" * 300_000, "token " * 50_000, "=a" * 100_000, "password" + " " * 200_000):
+    for long in ("=" * 100_000, "a" * 300_000, "token " * 50_000, "=a" * 100_000, "password" + " " * 200_000, "GB82 WEST " * 30_000, "GB82" + " WEST" * 60_000):
         pii.candidates(long, [])
 
 
@@ -106,3 +106,61 @@ def test_letters_and_long_tokens_are_masked(spark):
     got = {x.doc_id: x.text for x in pii.mask(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert [i for i, v in secrets.items() if v in got[i]] == []
     assert [i for i, t in rows if i not in secrets and got[i] != t] == []
+
+
+def an_account(r, country):
+    """Digits behind the country's code, with the two check digits that make the whole 1 modulo 97."""
+    body = "".join(r.choice("0123456789") for _ in range(pii.ACCOUNT_LENGTHS[country] - 4))
+    rest = int(body + "".join(str(ord(c) - 55) for c in country) + "00") % 97
+    return f"{country}{98 - rest:02d}{body}"
+
+
+def test_candidates_overlap_as_in_a_plain_search():
+    r = random.Random(6)
+    for _ in range(3000):
+        text = "".join(r.choice(["a1b2c3d4", "+1 935 555 0035", "GB82 WEST 1234 5698 7654 32", "1.2.3.4", "x@y.zz", " ", "=", "key", ": ", "12", "-"]) for _ in range(r.randint(1, 9)))
+        taken = pii.base_spans(text)
+        got = [(lo, hi) for lo, hi, *_ in pii.candidates(text, taken)]
+        assert all(not (a < hi and lo < b) for lo, hi in got for _, a, b in taken), text
+        assert all(x[1] <= y[0] for x, y in zip(got, got[1:])), text
+        free = [(lo, hi) for lo, hi, *_ in pii.candidates(text, [])]
+        assert got == [(lo, hi) for lo, hi in free if not any(a < hi and lo < b for _, a, b in taken)], text
+
+
+def test_accounts_and_unissued_numbers():
+    assert pii.account("GB82WEST12345698765432") and pii.account("DE89370400440532013000")
+    for wrong in ("GB83WEST12345698765432", "GB82WEST1234569876543", "ZZ82WEST12345698765432", "", "GB"):
+        assert not pii.account(wrong)
+    third = lambda text: pii.candidates(text, [])[0][2] // 4 ** (pii.LABELERS - 3) % 4
+    assert [third(x) for x in ("078-05-1120", "666-05-1120", "078-00-1120", "changeme1", "a1b2c3d4")] == [3, 1, 1, 0, 0]
+    assert third("key=changeme") == 1
+
+
+def test_kinds_come_from_the_classifier(spark):
+    """Recall and kinds of planted values, held against what was planted."""
+    r = random.Random(12)
+    rows, planted = [], {}
+    for i in range(900):
+        words = ["".join(r.choice("abcdehnost") for _ in range(r.randint(2, 9))) for _ in range(50)]
+        if i % 3 == 0:
+            code = an_account(r, r.choice(["DE", "FR", "NL", "ES"]))
+            kind, before, value = [
+                ("ident", "ssn: ", f"{r.randint(100, 600)}-{r.randint(10, 99)}-{r.randint(1000, 9999)}"), ("ident", "", code),
+                ("ident", "iban ", " ".join(code[k : k + 4] for k in range(0, len(code), 4))), ("secret", "password=", "%018x" % r.getrandbits(72)),
+                ("secret", 'token = "', '%040x' % r.getrandbits(160)),
+            ][i // 3 % 5]
+            words.insert(30, before + value + ('"' if '"' in before else ""))
+            planted[i] = (kind, value)
+        if i % 3 == 1:
+            words.insert(10, r.choice(["version 3.0.12345", "in 2019-20", "page 123456", "1234567 items", "chapter 10-20-30", "room AB12 CD34 house", "666-12-3456 items"]))
+        rows.append((i, " ".join(words)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    hit = 0
+    for x in pii.detect(docs).collect():
+        got = [(s.kind, rows[x.doc_id][1][s.lo : s.hi]) for s in x.added]
+        if x.doc_id in planted:
+            base = {rows[x.doc_id][1][s.lo : s.hi] for s in x.base}
+            hit += got == [planted[x.doc_id]] or any(b in planted[x.doc_id][1] for b in base)
+        else:
+            assert got == [], got
+    assert hit >= 0.97 * len(planted), (hit, len(planted))
