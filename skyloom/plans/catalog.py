@@ -769,4 +769,4 @@ def triple_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.cross_rows(rows, {"ppm": "id", "sao": "sao", "hd": "hd"}, "mag")
 
 
-from skyloom.plans import records  # noqa: E402,F401  registers its queries
+from skyloom.plans import records, reports  # noqa: E402,F401  register their queries
