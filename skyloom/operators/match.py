@@ -115,11 +115,29 @@ def cascade(df: DataFrame, levels: list[tuple[str, Column, Column]]) -> DataFram
     return df.withColumns({"source": source, "name": name})
 
 
+def pairs_once(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
+    """a, b, d2: each two stars of a table closer than ``radius`` arcseconds once; rows of equal key are no pair.
+
+    A star goes to its own cube and to the 13 neighbouring ones behind it in the order of the coordinates, with nothing but
+    its key and place: two stars of different cubes meet in one of them only, those of one cube by the order of their keys.
+    """
+    h = chord(radius)
+    place = stars.filter("x is not null and y is not null and z is not null").select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
+    cells = place.withColumns({f"c{c}": F.floor(F.col(c) / h) for c in "xyz"})
+    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1) if (i, j, k) >= (0, 0, 0)]
+    near = F.explode(F.array(*[F.struct(*[F.lit(v).cast("long").alias(c) for c, v in zip("xyz", s)]) for s in steps]))
+    l = cells.withColumn("n", near).select(F.col("k").alias("a"), *[F.col(c).alias(f"l_{c}") for c in "xyz"], *[(F.col(f"c{c}") + F.col(f"n.{c}")).alias(f"c{c}") for c in "xyz"], F.expr("n.x = 0 and n.y = 0 and n.z = 0").alias("own"))  # noqa: E741
+    r = cells.select(F.col("k").alias("b"), *[F.col(c).alias(f"r_{c}") for c in "xyz"], "cx", "cy", "cz")
+    pairs = l.join(r, ["cx", "cy", "cz"]).filter(F.when(F.col("own"), F.col("a") < F.col("b")).otherwise(F.col("a") != F.col("b")))
+    return pairs.select("a", "b", F.expr(sky.chord_squared("l_", "r_")).alias("d2")).filter(F.col("d2") < h * h)
+
+
 def neighbours(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """For each star with a neighbour: how many within the radius, the nearest and its distance."""
-    pairs = within(stars, stars, radius).filter(F.col(f"l_{key}") != F.col(f"r_{key}"))
-    out = pairs.groupBy(f"l_{key}").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d2", f"r_{key}")).alias("b"))
-    return out.select(F.col(f"l_{key}").alias(key), "n", F.col(f"b.r_{key}").alias("nearest"), F.expr(sky.arcsec("b.d2")).alias("dist"))
+    """For each star with a neighbour: how many within the radius, the nearest (of least key on ties) and its distance."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("o")), F.struct(F.col("b").alias("k"), F.col("a").alias("o"))))
+    each = pairs_once(stars, radius, key).select("d2", ends.alias("e")).select(F.col("e.k").alias(key), "d2", F.col("e.o").alias("o"))
+    out = each.groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d2", "o")).alias("b"))
+    return out.select(key, "n", F.col("b.o").alias("nearest"), F.expr(sky.arcsec("b.d2")).alias("dist"))
 
 
 def isolated_doubles(stars: DataFrame, radius: float, closest: float, low: float = 3.0, high: float = 8.0) -> DataFrame:
