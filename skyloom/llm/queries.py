@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyloom.llm import bpe, chat, decontaminate, pii, quality_rules, simhash, site_quality, suffix_tree_lm
+from skyloom.llm import bpe, chat, decontaminate, filter_audit, license_scan, pii, quality_rules, simhash, site_quality, spelling, suffix_tree_lm
 from skyloom.llm.substring_dedup import substring_dedup
 from skyloom.llm.suffix_dedup import suffix_dedup
 
@@ -64,9 +64,25 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup(_table(spark, sf_dir, "documents")).drop("kept")
 
 
+#: One word of a document in so many loses a character, as the contract of op11 plants it.
+DAMAGE = 97
+
+
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.spelling_variants(_table(spark, sf_dir, "documents"), damage=DAMAGE)
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.filter_audit(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.ORACLE_SQL}
+    return {"op6_chat": chat.ORACLE_SQL, "op12_filter_audit": filter_audit.ORACLE_SQL}
