@@ -1,7 +1,8 @@
 """Personal data by weak supervision.
 
 Four kinds have fixed definitions (the base): email, ip, card, phone. Other candidates, tokens with a
-digit or behind a cue and account numbers in groups of four, get votes of several labelers: patterns,
+digit or behind a cue, whole values behind a word that names a credential (up to a blank or the closing quote, whatever their
+characters, of any length if a colon or equals sign stands between) and account numbers in groups of four, get votes of several labelers: patterns,
 gazetteers (countries with the length of their account numbers, unissued number ranges, stand-ins for real
 values, words) and contexts. A vote is for one of three classes: plain, ``secret`` or ``ident``. An
 expectation-maximisation over the counts of vote patterns estimates each labeler's reliability and each
@@ -9,8 +10,8 @@ pattern's class probabilities without any labels; these are the soft labels of a
 Bayes over a fixed number of features of a candidate and its surroundings). The class that it finds
 likeliest is the span's kind; plain ones are dropped and base spans stay.
 
-The corpus is read once: spans, votes and features go to a small table. Counts of (pattern, feature) are
-bounded by PATTERNS x FEATURES whatever the corpus, so only they reach the driver.
+The corpus is read once: spans, votes and features go to a small table. The driver sees the counts of vote patterns (at
+most PATTERNS) and, for each feature, the classes' soft counts (FEATURES x 3), which Spark sums as whole numbers.
 
 Cases: a null or empty text has no spans; repeated rows get equal results; an empty table gives no rows;
 other columns are ignored. Scans are linear in the text, long runs of one character included.
@@ -54,7 +55,16 @@ DIGIT = re.compile(r"[0-9]+")
 #: Cues: a colon or equals sign, and words of the gazetteer, before a value.
 CUE = re.compile(r"[=:][ \"']*")
 NAMED = re.compile(r"(?<![A-Za-z_])[A-Za-z_]+(?=[ \"':=])")
+#: What parts a credential's name from its value, and what may follow a value in prose.
+PARTING = " \"':="
+TRAILING = ".,;:)]}>"
+SPACE = re.compile(r"[ \t-\r]")
+#: Parts of one that a soft label is counted in, so that sums don't depend on their order.
+PARTS = 1_000_000
 TOKEN_RUN = re.compile(r"[A-Za-z0-9_+/-]+")
+DIGITS = frozenset("0123456789")
+#: Characters of a token; shorter ones count only as a credential's value.
+LEAST = 6
 TOKEN = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/-")
 
 #: Formats of keys that services publish.
@@ -111,11 +121,12 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 
 
 def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int, int, int, list[int]]]:
-    """(start, end, vote pattern, features) of account numbers in groups and of tokens of 6 characters or more that hold a digit or stand behind a cue."""
+    """(start, end, vote pattern, features) of account numbers in groups, of credentials' values and of tokens of LEAST characters or more that hold a digit or stand behind a cue."""
     groups = []
     for m in GROUPED.finditer(text):
         if ACCOUNT_LENGTHS.get(m.group()[:2]) == len(m.group().replace(" ", "")):
             groups.append(m.span())
+    values = _outside(_values(text), groups)
     busy: list[list[int]] = []  # disjoint, ascending
     for lo, hi in sorted([(lo, hi) for _, lo, hi in taken]):
         if busy and lo < busy[-1][1]:
@@ -123,7 +134,7 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
         else:
             busy.append([lo, hi])
     out, j = [], 0
-    for lo, hi in sorted(groups + _tokens(text, groups)):
+    for lo, hi in sorted(groups + values + _tokens(text, sorted(groups + values))):
         while j < len(busy) and busy[j][1] <= lo:
             j += 1
         if j == len(busy) or busy[j][0] >= hi:
@@ -131,12 +142,48 @@ def candidates(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[int,
     return out
 
 
+def _outside(spans: list[tuple[int, int]], others: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """Those ``spans`` that touch none of ``others``; both ascending and disjoint."""
+    out, j = [], 0
+    for lo, hi in spans:
+        while j < len(others) and others[j][1] <= lo:
+            j += 1
+        if j == len(others) or others[j][0] >= hi:
+            out.append((lo, hi))
+    return out
+
+
+def _values(text: str) -> list[tuple[int, int]]:
+    """The values behind words that name credentials, disjoint and ascending; those of plain token characters after a mere blank are left to _tokens."""
+    out, done = [], 0
+    for m in NAMED.finditer(text):
+        if m.start() < done or m.group().lower() not in SECRET_WORDS:
+            continue
+        lo = m.end()
+        while lo < len(text) and text[lo] in PARTING:
+            lo += 1
+        between = text[m.end() : lo]
+        quote = between[-1] if between[-1] in "\"'" else ""
+        end = SPACE.search(text, lo)
+        hi = end.start() if end else len(text)
+        close = text.find(quote, lo, hi) if quote else -1
+        hi = close if close >= 0 else hi
+        while close < 0 and hi > lo and text[hi - 1] in TRAILING:
+            hi -= 1
+        separated = ":" in between or "=" in between
+        if hi > lo and (separated or hi - lo >= LEAST and any(c in DIGITS or c not in TOKEN for c in text[lo:hi])):
+            out.append((lo, hi))
+            done = hi
+    return out
+
+
 def _tokens(text: str, groups: list[tuple[int, int]]) -> list[tuple[int, int]]:
+    """The tokens with a digit or behind a cue, outside of ``groups``."""
     cued = {m.end() for m in CUE.finditer(text)}
     for m in NAMED.finditer(text):
         if m.group().lower() in SECRET_WORDS:
             at = m.end()
-            while at < len(text) and text[at] in " \"':=":
+            while at < len(text) and text[at] in PARTING:
                 at += 1
             cued.add(at)
     out, done, g = [], 0, 0
@@ -154,7 +201,7 @@ def _tokens(text: str, groups: list[tuple[int, int]]) -> list[tuple[int, int]]:
         if g < len(groups) and groups[g][0] < hi:
             continue  # the token is where a group begins
         done = max(done, hi)
-        if hi - lo >= 6:
+        if hi - lo >= LEAST:
             out.append((lo, hi))
     return out
 
@@ -188,7 +235,7 @@ def _vote(text: str, lo: int, hi: int) -> tuple[int, int, int, list[int]]:
         secret if last in SECRET_WORDS else known if last in IDENT_WORDS else plain if last in PLAIN_WORDS else none,
         secret if near and near in "=:" else none,
         secret if before[-1:] in "\"'" and before and after == before[-1:] else none,
-        plain if len(token) < 10 else none,
+        plain if len(token) < 10 and not (last in SECRET_WORDS and near and near in "=:") else none,
     ]
     pattern = 0
     for v in votes:
@@ -234,15 +281,12 @@ def reliabilities(counts: dict[int, int]) -> dict[int, list[float]]:
     return dict(zip(patterns, p.tolist()))
 
 
-def classifier(table: list[tuple[int, int, int]], soft: dict[int, list[float]], counts: dict[int, int]) -> list[tuple[float, list[float]]]:
-    """For secret and ident, each against plain: bias and a weight for each feature, by naive Bayes with the soft labels; table has (pattern, feature, count).
+def classifier(seen: np.ndarray, soft: dict[int, list[float]], counts: dict[int, int]) -> list[tuple[float, list[float]]]:
+    """For secret and ident, each against plain: bias and a weight for each feature, by naive Bayes; ``seen`` has the soft counts of each class and feature.
 
     Each class is smoothed with the feature rates of all candidates, so a class that nearly nothing is in says nothing by its rare features.
     """
     mass = np.array([soft[p] for p in counts]).T @ np.array(list(counts.values()), float)
-    seen = np.zeros((3, FEATURES))
-    for p, f, n in table:
-        seen[:, f] += np.array(soft[p]) * n
     rate = (seen.sum(0) + 1) / (mass.sum() + 2)
     log = np.log((seen + SMOOTHING * rate) / (mass[:, None] + SMOOTHING))
     return [(math.log((mass[k] + 1) / (mass[0] + 1)), (log[k] - log[0]).tolist()) for k in (1, 2)]
@@ -273,9 +317,14 @@ def detect(docs: DataFrame) -> DataFrame:
     counts = {r.p: r.n for r in each.groupBy(F.col("c.pattern").alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()}
     if not counts:
         return found.select("doc_id", "t", "base", F.expr(f"cast(array() as {_SPAN})").alias("added"))
-    table = each.select(F.col("c.pattern").alias("p"), F.explode("c.features").alias("f")).groupBy("p", "f").agg(F.count(F.lit(1)).alias("n"))
     soft = reliabilities(counts)
-    model = classifier([(r.p, r.f, r.n) for r in table.collect()], soft, counts)
+    shares = found.sparkSession.createDataFrame([(p, *[round(x * PARTS) for x in q]) for p, q in soft.items()], "p int, " + ", ".join(f"{k} long" for k in CLASSES))
+    # at most PATTERNS rows
+    said = each.select(F.col("c.pattern").alias("p"), F.explode("c.features").alias("f")).join(F.broadcast(shares), "p")
+    seen = np.zeros((len(CLASSES), FEATURES))
+    for r in said.groupBy("f").agg(*[F.sum(k).alias(k) for k in CLASSES]).collect():
+        seen[:, r.f] = [r[k] / PARTS for k in CLASSES]
+    model = classifier(seen, soft, counts)
 
     def odds(c: F.Column, bias: float, weights: list[float]) -> F.Column:
         w = F.array(*map(F.lit, weights))
@@ -315,7 +364,7 @@ def mask(docs: DataFrame) -> DataFrame:
                     for s in sorted(found, key=lambda s: (s["lo"], -s["hi"])):
                         if s["lo"] >= at:
                             out += [text[at : s["lo"]], f"[{s['kind']}]"]
-                            at = s["hi"]
+                        at = max(at, s["hi"])  # of overlapping spans all characters go
                     texts[i] = "".join([*out, text[at:]])
             keep = [n for n in batch.schema.names if n != "_spans"]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in keep], names=keep)

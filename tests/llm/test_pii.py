@@ -164,3 +164,31 @@ def test_kinds_come_from_the_classifier(spark):
         else:
             assert got == [], got
     assert hit >= 0.97 * len(planted), (hit, len(planted))
+
+
+def test_values_with_punctuation(spark):
+    """Five forms of credentials with symbols, short ones too, are masked whole; words without a value aren't touched."""
+    r = random.Random(11)
+    symbols = "!#$%^&*()-_=+[]{};?,.<>/|~@"
+    word = lambda: "".join(r.choice("abcdehnost") for _ in range(r.randint(2, 9)))
+    value = lambda n: "".join(r.choice("abcXYZ019" + symbols) for _ in range(n - 1)) + r.choice("abcXYZ019!#$")
+    forms = ["password: {}", "pwd={}", 'secret = "{}"', "passphrase: '{}'", "api_key={}"]
+    rows, want = [], []
+    for i in range(500):
+        v = value(r.choice([5, 9, 14, 24])).replace("=", "+").lstrip("".join(symbols)) or "a1!"
+        v = "x" + v
+        words = [word() for _ in range(40)]
+        if i % 2:
+            words.insert(20, r.choice(["the secret garden", "a token of it", "auth is", "key words: none of"]))
+        else:
+            words.insert(20, forms[i // 2 % 5].format(v))
+        rows.append((i, " ".join(words)))
+        want.append(None if i % 2 else v)
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    masked = {x.doc_id: x.text for x in pii.mask(docs).collect()}
+    hit = sum(v is not None and v not in masked[i] and not any(c in masked[i].replace("'", "").replace('"', "").replace("=", "").replace(":", "") for c in "!#$%^&*(){};?") for i, v in enumerate(want))
+    false = sum(v is None and masked[i] != rows[i][1] for i, v in enumerate(want))
+    assert hit >= 0.97 * 250 and false <= 2, (hit, false)
+    plain_forms = ["password: P@ssw0rd!long3#key", "hunter!42", "a.b-c$d%e^f", "abc12"]
+    for v in plain_forms[1:]:
+        assert any(text[lo:hi] == v for text in [f"and pwd={v}, or"] for lo, hi, *_ in pii.candidates(text, pii.base_spans(text))), v
