@@ -31,23 +31,51 @@ def pages(stars: DataFrame, catalogue: DataFrame) -> DataFrame:
     return out.select("page", "n", "first", "last", gaps, (F.col("first") == F.col("before") + 1).alias("chained"), F.col("n").between(*PLAUSIBLE).alias("plausible"), "n_unknown", "n_wrong")
 
 
-def placed(numbers: DataFrame, intervals: DataFrame) -> DataFrame:
-    """(page, decl, seq, n) with a verdict against ``intervals`` (page, decl, first, last).
+def placed(numbers: DataFrame, intervals: DataFrame, last_star: DataFrame | None = None) -> DataFrame:
+    """(page, decl, kind, seq, n) with a verdict against ``intervals`` (page, place, decl, first, last); ``place`` is the order on the page.
 
-    inside, moved (``at`` is the least other declination of the page whose interval holds it), repaired (``value`` is the
-    only number of the interval that differs in one digit; wide intervals only), or outside. ``ascending``: not less than the
-    number before it on the page and declination.
+    inside, moved (``at`` is the first other declination of the page whose interval holds it), repaired (``value`` is the
+    only number of the interval that differs in one digit; wide intervals only), or outside. ``beyond``: over the
+    declination's last star (``last_star``: decl, last_star); moved numbers and repaired ones aren't asked.
+    ``ascending``: not less than the number before it in the list that it ends up in, where moved numbers stand behind the list's own.
     """
-    own = numbers.join(intervals, ["page", "decl"], "left")
-    other = intervals.select("page", F.col("decl").alias("o"), F.col("first").alias("f"), F.col("last").alias("l"))
-    found = own.filter("not n between first and last").join(other, "page").filter("o <> decl and n between f and l").groupBy("page", "decl", "seq").agg(F.min("o").alias("to"))
-    rows = own.join(found, ["page", "decl", "seq"], "left").withColumn("text", F.col("n").cast("string"))
+    sides = intervals.select("page", "decl", "place", "first", "last")
+    own = numbers.join(sides, ["page", "decl"], "left")
+    other = sides.select("page", F.col("decl").alias("o"), F.col("place").alias("p"), F.col("first").alias("f"), F.col("last").alias("l"))
+    found = own.filter("not n between first and last").join(other, "page").filter("o <> decl and n between f and l")
+    found = found.groupBy("page", "decl", "kind", "seq").agg(F.min_by("o", "p").alias("to"))
+    rows = own.join(found, ["page", "decl", "kind", "seq"], "left").withColumn("text", F.col("n").cast("string"))
     fixed = F.when(F.col("last") - F.col("first") >= REPAIR_WIDTH, ocr.repair("text", "first", "last"))
     inside = F.coalesce(F.col("n").between(F.col("first"), F.col("last")), F.lit(True))
     verdict = F.when(inside, "inside").when(F.col("to").isNotNull(), "moved").when(fixed.isNotNull(), "repaired").otherwise("outside")
-    order = Window.partitionBy("page", "decl").orderBy("seq")
-    rows = rows.select("page", "decl", "seq", "n", verdict.alias("verdict"), F.coalesce("to", "decl").alias("at"), F.when(verdict == "repaired", fixed).otherwise(F.col("n")).alias("value"))
-    return rows.withColumn("ascending", F.coalesce(F.col("n") >= F.lag("n").over(order), F.lit(True)))
+    rows = rows.withColumns({"verdict": verdict, "at": F.coalesce("to", "decl"), "value": F.when(verdict == "repaired", fixed).otherwise(F.col("n"))})
+    limits = numbers.select("decl").limit(0).withColumn("last_star", F.lit(None).cast("long")) if last_star is None else last_star
+    rows = rows.join(limits, "decl", "left").withColumn("beyond", F.coalesce(F.col("n") > F.col("last_star"), F.lit(False)) & F.col("verdict").isin("inside", "outside"))
+    lists = Window.partitionBy("page", "at", "kind").orderBy(F.col("verdict") == "moved", "place", "seq")
+    rows = rows.withColumn("ascending", F.coalesce(F.col("value") >= F.lag("value").over(lists), F.lit(True)))
+    return rows.select("page", "decl", "kind", "seq", "n", "verdict", "at", "value", "beyond", "ascending")
+
+
+def merged(readings: DataFrame) -> DataFrame:
+    """page, decl, kind, n, runs, certain: the numbers of a list that several runs read, from ``readings`` (run, and the columns of placed()).
+
+    A number is certain if two runs have it at that declination and none suspects it (repaired, outside or beyond there).
+    """
+    doubt = F.col("verdict").isin("repaired", "outside") | F.col("beyond")
+    votes = readings.groupBy("page", F.col("at").alias("decl"), "kind", F.col("value").alias("n"))
+    votes = votes.agg(F.count_distinct("run").alias("runs"), F.bool_or(doubt).alias("doubt"))
+    return votes.select("page", "decl", "kind", "n", "runs", ((F.col("runs") >= 2) & ~F.col("doubt")).alias("certain"))
+
+
+def merged_ends(ends: DataFrame) -> DataFrame:
+    """page, decl, first, last: of the runs' (run, page, decl, first, last) the ends that most runs read, the earliest run's on ties."""
+
+    def most(column: str) -> DataFrame:
+        votes = ends.filter(F.col(column).isNotNull()).groupBy("page", "decl", column).agg(F.count(F.lit(1)).alias("c"), F.min("run").alias("r"))
+        return votes.groupBy("page", "decl").agg(F.max_by(column, F.struct("c", -F.col("r"))).alias(column))
+
+    pages = ends.select("page", "decl").distinct()
+    return pages.join(most("first"), ["page", "decl"], "left").join(most("last"), ["page", "decl"], "left")
 
 
 def with_neighbours(rows: DataFrame, by: list[str], order: list[str], text: str, flagged: str) -> DataFrame:

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import sky
+from skyloom.operators.order import least_before
+from skyloom.plans.lineage import shared_table
 
 #: Position (arcsec) and magnitude limits by comparison.
 THRESHOLDS = {
@@ -16,45 +18,53 @@ THRESHOLDS = {
 }
 
 
+#: A level's cubes are so many times as wide as the next finer ones'; places of a cube beyond which finer ones are made, and the finest width.
+STEP, CROWD, FINEST = 4, 256, 1e-8
+#: Cubes are so many times as wide as the chord of the radius.
+WIDTH = 4
+
+
 def chord(radius: float) -> float:
     """The chord of an angle in arcseconds."""
     return 2 * math.sin(math.radians(radius / 3600) / 2)
 
 
-def within(left: DataFrame, right: DataFrame, radius: float, explode: str = "left") -> DataFrame:
+def within(left: DataFrame, right: DataFrame, radius: float) -> DataFrame:
     """All pairs closer than ``radius`` arcseconds: columns of both (l_ and r_ before the names), d2 and dist.
 
-    Both sides have x, y, z. Space is cut into cubes as wide as the radius' chord; a point of the exploded side
-    (the smaller one) goes to its 27 neighbouring cubes, then the cubes are an equi-join. Poles and
+    Both sides have x, y, z. Space is cut into cubes of WIDTH times the radius' chord; a left point goes to the cubes that
+    its surroundings touch (two an axis at most, 1.25 on average), a right one to its own, then the cubes are an equi-join. Poles and
     the step from 360 to 0 degrees need no special case.
     """
     h = chord(radius)
-    cell = lambda c: F.floor(F.col(c) / h)
     l, r = (df.select(*[F.col(c).alias(p + c) for c in df.columns]) for df, p in ((left, "l_"), (right, "r_")))  # noqa: E741
-    near = F.expr("explode(flatten(transform(array(-1,0,1), i -> flatten(transform(array(-1,0,1), j -> transform(array(-1,0,1), k -> struct(i, j, k)))))))")
-
-    def cells(df: DataFrame, p: str, many: bool) -> DataFrame:
-        base = df.filter(f"{p}x is not null and {p}y is not null and {p}z is not null")
-        if not many:
-            return base.withColumns({f"c{a}": cell(f"{p}{a}") for a in "xyz"})
-        out = base.withColumn("_n", near)
-        return out.withColumns({f"c{a}": cell(f"{p}{a}") + F.col("_n")[k] for a, k in zip("xyz", "ijk")}).drop("_n")
-
-    joined = cells(l, "l_", explode == "left").join(cells(r, "r_", explode != "left"), ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
+    for c in "xyz":
+        l = _placed(l, "l_").withColumn(f"c{c}", F.explode(F.sequence(*[F.floor((F.col(f"l_{c}") + s * h) / (WIDTH * h)) for s in (-1, 1)])))  # noqa: E741
+    r = _placed(r, "r_").withColumns({f"c{c}": F.floor(F.col(f"r_{c}") / (WIDTH * h)) for c in "xyz"})
+    joined = l.join(r, ["cx", "cy", "cz"]).drop("cx", "cy", "cz")
     d2 = F.expr(sky.chord_squared("l_", "r_"))
     return joined.withColumn("d2", d2).filter(F.col("d2") < h * h).withColumn("dist", F.expr(sky.arcsec("d2")))
 
 
+def _placed(df: DataFrame, p: str = "") -> DataFrame:
+    return df.filter(f"{p}x is not null and {p}y is not null and {p}z is not null")
+
+
 def nearest(left: DataFrame, right: DataFrame, radius: float, key: list[str], order: str) -> DataFrame:
     """For each left row with a match its nearest right row; ties go to the least ``order`` of the right table.
 
-    The least is found by partial aggregation, so a crowded place sends one row for each key and task.
+    ``key`` and ``order`` tell the rows of their tables apart. Only they and the places are exploded and matched, and the least is
+    found by partial aggregation, so a crowded place sends one row for each key and task; the other columns are joined back.
     """
-    pairs = within(left, right, radius)
-    rest = [c for c in pairs.columns if c != "d2" and c not in {f"l_{k}" for k in key}]
-    payload = F.struct("d2", F.col(f"r_{order}").alias("_order"), *rest)
-    best = pairs.groupBy(*[f"l_{k}" for k in key]).agg(F.min(payload).alias("b"))
-    return best.select(*[f"l_{k}" for k in key], *[F.col(f"b.{c}").alias(c) for c in ["d2", *rest]])
+    pairs = within(left.select(*key, "x", "y", "z"), right.select(F.col(order).alias("_order"), "x", "y", "z"), radius)
+    best = pairs.groupBy(*[f"l_{k}" for k in key]).agg(F.min(F.struct("d2", "r__order")).alias("b"))
+    best = best.select(*[F.col(f"l_{k}").alias(f"_k{i}") for i, k in enumerate(key)], F.col("b.d2").alias("d2"), F.col("b.r__order").alias("_order"))
+    l, r = (df.select(*[F.col(c).alias(p + c) for c in df.columns]) for df, p in ((left, "l_"), (right, "r_")))  # noqa: E741
+    same = F.lit(True)
+    for i, k in enumerate(key):
+        same = same & (F.col(f"l_{k}") == F.col(f"_k{i}"))
+    out = l.join(best, same).join(r, F.col("_order") == F.col(f"r_{order}"))
+    return out.select(*[f"l_{k}" for k in key], "d2", *[c for c in (*l.columns, *r.columns) if c not in {f"l_{k}" for k in key}], F.expr(sky.arcsec("d2")).alias("dist"))
 
 
 def id_nearest(left: DataFrame, right: DataFrame, keys: list[str], row: str, order: str) -> DataFrame:
@@ -68,8 +78,7 @@ def id_nearest(left: DataFrame, right: DataFrame, keys: list[str], row: str, ord
 
 def keep_nearest_in_order(rows: DataFrame, target: str, order: str, dist: str) -> DataFrame:
     """Greedy one-to-one: in order, a row enters only if strictly nearer than all before it; those that lose later are ``discard``."""
-    before = Window.partitionBy(target).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    entered = rows.withColumn("_before", F.min(dist).over(before)).filter(F.col("_before").isNull() | (F.col(dist) < F.col("_before"))).drop("_before")
+    entered = least_before(rows, [target], [order], dist, "_before").filter(F.col("_before").isNull() | (F.col(dist) < F.col("_before"))).drop("_before")
     best = entered.groupBy(target).agg(F.min(dist).alias("_best"))
     return entered.join(best, target).withColumn("discard", F.col(dist) > F.col("_best")).drop("_best")
 
@@ -115,6 +124,71 @@ def cascade(df: DataFrame, levels: list[tuple[str, Column, Column]]) -> DataFram
     return df.withColumns({"source": source, "name": name})
 
 
+def nearest_anywhere(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
+    """key, match (the ``order`` of the nearest right row, the least on ties), d2, dist for every left row with a place, however far.
+
+    The right places form a pyramid of cubes, each level STEP times as wide as the one below; a cube knows one of its places. Rings
+    grow for the rows that have no match yet only: a row looks at the 27 cubes around it, level by level, until the nearest known
+    place there is no farther than a cube is wide, for then no other cube can hold a nearer one. From that level its
+    cubes are followed down, and those that begin behind the best known place are dropped, until the places themselves.
+    Each step is an equi-join on cubes and a grouped minimum by row; no row meets a whole table.
+    """
+    points = _placed(right).groupBy(*[F.col(c).cast("double").alias(c) for c in "xyz"]).agg(F.min(order).alias("match"))
+    points = shared_table(points, "nearest-points", small=True)
+    n = points.count()
+    rows = _placed(left).select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"l{c}") for c in "xyz"])
+    if not n:
+        return rows.select(F.col("k").alias(key), F.lit(None).cast(points.schema["match"].dataType).alias("match"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("double").alias("dist")).limit(0)
+    width = min(1.0, math.sqrt(4 * math.pi / n)) / STEP
+    levels = [points.select(*[F.floor(F.col(c) / width).alias(f"c{c}") for c in "xyz"], *"xyz", F.lit(1).cast("long").alias("n")).groupBy("cx", "cy", "cz").agg(F.min(F.struct(*"xyz")).alias("p"), F.count(F.lit(1)).alias("n"))]
+    levels = [shared_table(levels[0], "nearest-cubes", small=True)]
+    widths = [width]
+    while levels[0].agg(F.max("n")).first()[0] > CROWD and widths[0] > FINEST:  # crowded places get finer cubes
+        widths.insert(0, widths[0] / STEP)
+        finer = points.select(*[F.floor(F.col(c) / widths[0]).alias(f"c{c}") for c in "xyz"], *"xyz").groupBy("cx", "cy", "cz").agg(F.min(F.struct(*"xyz")).alias("p"), F.count(F.lit(1)).alias("n"))
+        levels.insert(0, shared_table(finer, "nearest-cubes", small=True))
+    start = len(widths) - 1
+    while widths[-1] < 2:
+        up = levels[-1].groupBy(*[F.floor(F.col(f"c{c}") / STEP).alias(f"c{c}") for c in "xyz"]).agg(F.min("p").alias("p"), F.sum("n").alias("n"))
+        levels.append(shared_table(up, "nearest-cubes", small=True))
+        widths.append(widths[-1] * STEP)
+
+    def gap(cube: str, w: float) -> Column:
+        """The squared distance from the row's place to a cube."""
+        side = lambda c: F.greatest(F.lit(0.0), F.col(f"{cube}{c}") * w - F.col(f"l{c}"), F.col(f"l{c}") - (F.col(f"{cube}{c}") + 1) * w)
+        return sum((side(c) * side(c) for c in "xyz"), F.lit(0.0))
+
+    to = lambda p: F.expr(" + ".join(f"({p}{c} - l{c}) * ({p}{c} - l{c})" for c in "xyz"))
+    bound = lambda df, w: df.withColumn("best", F.min("d2").over(Window.partitionBy("k"))).filter(gap("c", w) <= F.col("best") * (1 + 1e-9) + 1e-24)
+    open_rows, at = rows, {}
+    for i in range(start, len(widths)):
+        w = widths[i]
+        around = open_rows
+        for c in "xyz":
+            around = around.withColumn(f"c{c}", F.explode(F.sequence(*[F.floor(F.col(f"l{c}") / w) + s for s in (-1, 1)])))
+        met = around.join(levels[i].select("cx", "cy", "cz", "p"), ["cx", "cy", "cz"]).withColumn("d2", to("p."))
+        met = bound(met.drop("p"), w)
+        done = met if i == len(widths) - 1 else met.filter(F.col("best") <= w * w)
+        at[i] = shared_table(done.select("k", "lx", "ly", "lz", "cx", "cy", "cz"), "nearest-rings", small=True)
+        left_over = open_rows.join(at[i].select("k").distinct(), "k", "left_anti")
+        if i < len(widths) - 1:
+            open_rows = shared_table(left_over, "nearest-open", small=True)
+            if open_rows.isEmpty():
+                break
+    held = at.pop(max(at))
+    level = i
+    while level:
+        level -= 1
+        w = widths[level]
+        below = levels[level].select("cx", "cy", "cz", "p", *[F.floor(F.col(f"c{c}") / STEP).alias(f"u{c}") for c in "xyz"])
+        up = held.select("k", "lx", "ly", "lz", *[F.col(f"c{c}").alias(f"u{c}") for c in "xyz"])
+        down = bound(up.join(below, ["ux", "uy", "uz"]).withColumn("d2", to("p.")).drop("p"), w).select("k", "lx", "ly", "lz", "cx", "cy", "cz")
+        held = shared_table(down.unionByName(at.pop(level)) if level in at else down, "nearest-held", small=True)
+    cubes = points.withColumns({f"c{c}": F.floor(F.col(c) / widths[0]) for c in "xyz"})
+    met = held.join(cubes, ["cx", "cy", "cz"]).withColumn("d2", to("")).groupBy("k").agg(F.min(F.struct("d2", "match")).alias("b"))
+    return met.select(F.col("k").alias(key), F.col("b.match").alias("match"), F.col("b.d2").alias("d2"), F.expr(sky.arcsec("b.d2")).alias("dist"))
+
+
 def pairs_once(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
     """a, b, d2: each two stars of a table closer than ``radius`` arcseconds once; rows of equal key are no pair.
 

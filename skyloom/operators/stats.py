@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyloom.operators.order import last_known
+
 
 def rmse(x: str) -> Column:
     """Root mean square, NULL over no rows."""
@@ -36,26 +38,14 @@ def fit_quadratic(points: DataFrame, x: str, y: str, w: str, by: list[str] = ())
     return s.select(*by, "n", "centre", *[F.expr(f"{det(col(k))} / nullif({det(base)}, 0)").alias(c) for k, c in enumerate("abc")])
 
 
-def ordered_fold(rows: DataFrame, key: str, order: str, fields: list[str], better: str) -> DataFrame:
-    """Fold the rows of a key in order: ``better`` says, over structs c (current) and x (next), when x takes over.
-
-    For rules that aren't associative; a key's rows must fit a task's memory, as in any ordered list.
-    """
-    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("a"))
-    out = lists.withColumn("f", F.expr(f"aggregate(slice(a, 2, greatest(size(a) - 1, 0)), a[0], (c, x) -> CASE WHEN {better} THEN x ELSE c END)"))
-    return out.select(key, F.col(f"f.{order}").alias(order), *[F.col(f"f.{c}").alias(c) for c in fields])
-
-
-def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """The latest known value up to each row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn(out, F.last(value, ignorenulls=True).over(w))
+def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: str, out: str, **cut: int) -> DataFrame:
+    """The latest known value up to each row; a key's rows run in stretches."""
+    return last_known(rows, by, order, F.col(value), out, **cut)
 
 
-def seen_before(rows: DataFrame, by: list[str], order: list[str], condition: Column, out: str) -> DataFrame:
+def seen_before(rows: DataFrame, by: list[str], order: list[str], condition: Column, out: str, **cut: int) -> DataFrame:
     """Whether the condition held on an earlier row."""
-    w = Window.partitionBy(*by).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn(out, F.coalesce(F.max(condition.cast("int")).over(w) == 1, F.lit(False)))
+    return last_known(rows, by, order, F.when(condition, F.lit(True)), out, False, **cut).withColumn(out, F.coalesce(out, F.lit(False)))
 
 
 def run_visible(rows: DataFrame, by: list[str], order: list[str], value: str, out: str) -> DataFrame:
@@ -65,10 +55,11 @@ def run_visible(rows: DataFrame, by: list[str], order: list[str], value: str, ou
 
 
 def longest_chain(ranges: DataFrame, by: str) -> DataFrame:
-    """The longest chain of ranges (lo, hi) in which each begins right behind the one before; the earliest on ties."""
+    """The longest chain of ranges (lo, hi) in which each begins right behind the one before; the earliest on ties. A repeated range begins a chain of its own."""
     w = Window.partitionBy(by).orderBy("lo", "hi")
     start = F.when(F.col("lo") == F.lag("hi").over(w) + 1, 0).otherwise(1)
-    chains = ranges.withColumn("s", start).withColumn("chain", F.sum("s").over(w)).groupBy(by, "chain").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    chains = ranges.withColumn("s", start).withColumn("chain", F.sum("s").over(upto)).groupBy(by, "chain").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count(F.lit(1)).alias("n"))
     return chains.groupBy(by).agg(F.max(F.struct("n", (-F.col("lo")).alias("m"), "lo", "hi")).alias("b")).select(by, "b.n", "b.lo", "b.hi")
 
 

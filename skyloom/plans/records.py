@@ -67,15 +67,19 @@ def page_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.pages(stars, part.filter("p_partkey % 59 <> 0").selectExpr("p_partkey AS num", f"CASE WHEN p_partkey % 53 <> 0 THEN {mag} END AS mag"))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS seq, o_orderkey % 40 AS page, o_orderkey % 5 AS kind, o_orderkey % 40 + 100 AS x FROM orders),
-v AS (SELECT page, 22 AS decl, seq, CASE kind WHEN 0 THEN x WHEN 1 THEN x + 400 WHEN 2 THEN x + 5000 ELSE 777000 + seq % 7 END AS n, kind, x FROM e)
-SELECT page, decl, seq, n, CASE kind WHEN 0 THEN 'inside' WHEN 1 THEN 'moved' WHEN 2 THEN 'repaired' ELSE 'outside' END AS verdict, CASE WHEN kind = 1 THEN 23 ELSE 22 END AS at, CASE WHEN kind = 2 THEN x ELSE n END AS value, coalesce(n >= lag(n) OVER (PARTITION BY page, decl ORDER BY seq), true) AS ascending FROM v""")
+@query("""WITH e AS (SELECT o_orderkey AS seq, o_orderkey % 40 AS page, o_orderkey % 8 AS kind, o_orderkey % 40 + 100 AS x FROM orders),
+v AS (SELECT page, CASE WHEN kind >= 6 THEN 23 ELSE 22 END AS decl, CASE WHEN seq % 3 = 0 THEN 'color' ELSE 'dpl' END AS kind, seq, CASE kind WHEN 0 THEN x WHEN 1 THEN x + 400 WHEN 2 THEN x + 5000 WHEN 6 THEN x + 405 WHEN 7 THEN x + 10 ELSE 777000 + seq % 7 END AS n, kind AS k, x FROM e),
+w AS (SELECT *, CASE WHEN k IN (0, 6) THEN 'inside' WHEN k IN (1, 7) THEN 'moved' WHEN k = 2 THEN 'repaired' ELSE 'outside' END AS verdict, CASE WHEN k = 1 THEN 23 WHEN k = 7 THEN 22 ELSE decl END AS dest, CASE WHEN k = 2 THEN x ELSE n END AS value FROM v)
+SELECT page, decl, kind, seq, n, verdict, dest AS "at", value, k IN (3, 4, 5) AND n > 777003 AS beyond, coalesce(value >= lag(value) OVER (PARTITION BY page, dest, kind ORDER BY CASE WHEN verdict = 'moved' THEN 1 ELSE 0 END, decl, seq), true) AS ascending FROM w""")
 def page_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Numbers under declination 22 of 40 pages whose intervals are 100 to 299 and, for declination 23, 500 to 699."""
-    kind = "CASE o_orderkey % 5 WHEN 0 THEN x WHEN 1 THEN x + 400 WHEN 2 THEN x + 5000 ELSE 777000 + o_orderkey % 7 END"
-    numbers = t(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 40 + 100 AS x").selectExpr("o_orderkey % 40 AS page", "22 AS decl", "o_orderkey AS seq", f"{kind} AS n")
-    intervals = spark.range(40).selectExpr("id AS page", "explode(array(struct(22 AS decl, 100L AS first, 299L AS last), struct(23 AS decl, 500L AS first, 699L AS last))) AS i").select("page", "i.*")
-    return checks.placed(numbers, intervals).select("page", "decl", "seq", "n", "verdict", "at", "value", "ascending")
+    """Numbers of 40 pages whose intervals are 100 to 299 for declination 22 and 500 to 699 for 23; a number may be moved either way."""
+    kind = "CASE o_orderkey % 8 WHEN 0 THEN x WHEN 1 THEN x + 400 WHEN 2 THEN x + 5000 WHEN 6 THEN x + 405 WHEN 7 THEN x + 10 ELSE 777000 + o_orderkey % 7 END"
+    numbers = t(spark, sf_dir, "orders").selectExpr("o_orderkey", "o_orderkey % 40 + 100 AS x")
+    numbers = numbers.selectExpr("o_orderkey % 40 AS page", "CASE WHEN o_orderkey % 8 >= 6 THEN 23 ELSE 22 END AS decl", "CASE WHEN o_orderkey % 3 = 0 THEN 'color' ELSE 'dpl' END AS kind", "o_orderkey AS seq", f"{kind} AS n")
+    sides = "explode(array(struct(22 AS decl, 1 AS place, 100L AS first, 299L AS last), struct(23 AS decl, 2 AS place, 500L AS first, 699L AS last))) AS i"
+    intervals = numbers.select("page").distinct().selectExpr("page", sides).select("page", "i.*")
+    last = numbers.select("decl").distinct().filter("decl = 22").withColumn("last_star", F.lit(777003).cast("long"))
+    return checks.placed(numbers, intervals, last)
 
 
 @query("SELECT * FROM (SELECT l_orderkey * 10 + l_linenumber AS row_id, lag(l_partkey) OVER w AS before, lead(l_partkey) OVER w AS behind, l_discount FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice)) WHERE l_discount > 0.08")
@@ -112,7 +116,7 @@ def star_remarks(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""WITH r AS (SELECT o_orderkey AS k, o_orderkey % 360 AS ra, o_orderkey % 180 - 90 AS de, (o_custkey % 120) / 10.0 AS vt FROM orders)
 SELECT CAST(ra AS DOUBLE) AS ra, CAST(de AS DOUBLE) AS de, CAST(vt AS DOUBLE) AS vt FROM r WHERE vt <= 7.5 AND de < -9 AND k % 9 > 0
-UNION ALL SELECT ra, de, vt FROM r WHERE vt <= 7.5 AND de < -9 AND k % 9 > 0 AND k % 2 = 0 AND k < 17588""")
+UNION ALL SELECT ra, de, vt FROM r WHERE vt <= 7.5 AND de < -9 AND k % 9 > 0 AND k % 2 = 0 AND k <= 17588""")
 def bright_subset(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main rows have their place in the mean columns or, every fourth, in the observed ones; every ninth has no magnitude."""
     ra, de, vt = "cast(o_orderkey % 360 as string)", "cast(o_orderkey % 180 - 90 as string)", "CASE WHEN o_orderkey % 9 > 0 THEN cast((o_custkey % 120) / 10.0D as string) ELSE '   ' END"

@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.order import numbered_lines
+
 
 @dataclass(frozen=True)
 class Field:
@@ -55,12 +57,6 @@ def degrees(value: str, start: int, divisor: int) -> Column:
     return d + m / 60.0 + s / (3600.0 * divisor)
 
 
-def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
-    """``line`` (from 1, in file order) and ``value``. The file order has meaning, so lines are numbered in parallel by partition."""
-    rows = spark.read.text(path).rdd.map(lambda r: r.value).zipWithIndex()
-    return rows.map(lambda x: (x[1] + 1, x[0])).toDF("line long, value string")
-
-
 def parse(lines: DataFrame, layout: list[Field]) -> DataFrame:
     """All columns of ``lines`` with the fields of the layout."""
     return lines.select("*", *[compile_field(f) for f in layout])

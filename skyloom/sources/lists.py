@@ -40,12 +40,15 @@ def remarks(lines: DataFrame) -> DataFrame:
 
 
 def bright(main: DataFrame, supplement: DataFrame, north: float, faintest: float = 7.5) -> DataFrame:
-    """ra, de, vt of the stars south of ``north`` + 1 that aren't fainter; fields are split at bars, blank ones fall back."""
+    """ra, de, vt of the stars south of ``north`` + 1 that aren't fainter; fields are split at bars, blank ones fall back.
+
+    Of the supplement (line_no from 1, as numbered_lines gives) the first SUPPLEMENT_ROWS lines count.
+    """
 
     def part(lines: DataFrame, fields: dict[str, tuple[int, ...]]) -> DataFrame:
         cells = F.split("line", r"\|")
         value = lambda places: F.coalesce(*[F.nullif(F.trim(F.get(cells, F.lit(p))), F.lit("")) for p in places]).cast("double")
         return lines.select(*[value(p).alias(k) for k, p in fields.items()])
 
-    both = part(main, MAIN_FIELDS).unionByName(part(supplement.filter(F.col("line_no") < SUPPLEMENT_ROWS), SUPPLEMENT_FIELDS))
+    both = part(main, MAIN_FIELDS).unionByName(part(supplement.filter(F.col("line_no") <= SUPPLEMENT_ROWS), SUPPLEMENT_FIELDS))
     return both.filter((F.col("vt") <= faintest) & F.col("ra").isNotNull() & (F.col("de") < north + 1.0))
