@@ -8,18 +8,28 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Within this distance from the axis an angle is exactly 90 or 270 degrees.
 AXIS = 1e-6
-#: The rotation and E-term tables of the FK5 J2000 to FK4 B1950 conversion (Standish 1982, Aoki et al. 1983).
-ROTATION = (
-    (0.9999256795, 0.0111814828, 0.0048590039),
-    (-0.0111814828, 0.9999374849, -0.0000271771),
-    (-0.0048590040, -0.0000271557, 0.9999881946),
+#: FK4 B1950 to FK5 J2000 without E-terms, for places at 1950 and its change in a century (Standish 1982, Aoki et al. 1983).
+FK4_TO_FK5 = (
+    (0.9999256794956877, -0.0111814832204662, -0.0048590038153592),
+    (0.0111814832391717, 0.9999374848933135, -0.0000271625947142),
+    (0.0048590037723143, -0.0000271702937440, 0.9999881946023742),
 )
+FK4_TO_FK5_RATE = (
+    (-0.0026455262e-6, -1.1539918689e-6, 2.1111346190e-6),
+    (1.1540628161e-6, -0.0129042997e-6, 0.0236021478e-6),
+    (-2.1112979048e-6, -0.0056024448e-6, 0.0102587734e-6),
+)
+#: The E-terms of aberration that FK4 places contain, at 1950, and their change in a century (arcseconds).
 E_TERMS = (-1.62557e-6, -0.31919e-6, -0.13843e-6)
+E_TERMS_RATE = (1.244e-3, -1.579e-3, -0.660e-3)
+#: The FK5 axes in ICRS, milliarcseconds about x, y and z.
+FK5_AXES = (-19.9, 9.1, -22.9)
 
 
 def atan2_deg(y: str, x: str) -> str:
@@ -54,23 +64,86 @@ def arcsec_acos(a: str, b: str) -> str:
     return f"degrees(acos(greatest(-1.0D, least(1.0D, {dot})))) * 3600"
 
 
-def precess(x: str, y: str, z: str, start: float, end: float) -> tuple[str, str, str]:
-    """FK4 rotation from one Besselian equinox to another, by the Bessel-Newcomb angles (a constant matrix)."""
+def newcomb(start: float, end: float) -> tuple[tuple[float, ...], ...]:
+    """The FK4 rotation from one Besselian equinox to another, by the Bessel-Newcomb angles."""
     t0, t = (start - 1850.0) / 1000 * 0.9999784, (end - start) / 1000 * 0.9999784
     a = math.radians(((23035.545 + 139.720 * t0 + 0.060 * t0**2) * t + (30.240 - 0.270 * t0) * t**2 + 17.995 * t**3) / 3600)
     b = math.radians(((23035.545 + 139.720 * t0 + 0.060 * t0**2) * t + (109.480 + 0.390 * t0) * t**2 + 18.325 * t**3) / 3600)
     c = math.radians(((20051.12 - 85.29 * t0 - 0.37 * t0**2) * t + (-42.65 - 0.37 * t0) * t**2 - 41.80 * t**3) / 3600)
     sa, ca, sb, cb, sc, cc = math.sin(a), math.cos(a), math.sin(b), math.cos(b), math.sin(c), math.cos(c)
-    m = ((ca * cb * cc - sa * sb, -sa * cb * cc - ca * sb, -cb * sc), (ca * sb * cc + sa * cb, -sa * sb * cc + ca * cb, -sb * sc), (ca * sc, -sa * sc, cc))
-    return tuple(f"({r[0]!r}D * {x} + {r[1]!r}D * {y} + {r[2]!r}D * {z})" for r in m)
+    return ((ca * cb * cc - sa * sb, -sa * cb * cc - ca * sb, -cb * sc), (ca * sb * cc + sa * cb, -sa * sb * cc + ca * cb, -sb * sc), (ca * sc, -sa * sc, cc))
+
+
+def turned(m: tuple[tuple[float, ...], ...], x: str, y: str, z: str) -> tuple[str, str, str]:
+    """A constant matrix times a vector."""
+    return tuple(f"({float(r[0])!r}D * {x} + {float(r[1])!r}D * {y} + {float(r[2])!r}D * {z})" for r in m)
+
+
+def precess(x: str, y: str, z: str, start: float, end: float) -> tuple[str, str, str]:
+    """A vector of one Besselian equinox in another (a constant matrix)."""
+    return turned(newcomb(start, end), x, y, z)
+
+
+def fk4_to_fk5(epoch: float) -> np.ndarray:
+    """The matrix for places without E-terms at an epoch, of stars that don't move in an inertial frame."""
+    return np.array(FK4_TO_FK5) + (epoch - 1950.0) / 100 * np.array(FK4_TO_FK5_RATE)
+
+
+def e_terms(epoch: float) -> tuple[float, ...]:
+    return tuple(a + (epoch - 1950.0) / 100 * math.radians(r / 3600) for a, r in zip(E_TERMS, E_TERMS_RATE))
+
+
+def fk5_in_icrs() -> np.ndarray:
+    """FK5 J2000 vectors in ICRS; the angles are so small that their order doesn't count."""
+    x, y, z = (math.radians(a / 3.6e6) for a in FK5_AXES)
+    return np.array([[1, -z, y], [z, 1, -x], [-y, x, 1]])
+
+
+def _vectors(df: DataFrame, names: str, values: tuple[str, str, str]) -> DataFrame:
+    return df.withColumns({c: F.expr(e) for c, e in zip(names, values)})
 
 
-def fk5_to_b1950(ra: str, dec: str, pm_ra: str, pm_dec: str, epoch: float) -> tuple[str, str, str]:
-    """The B1950 unit vector (not normalised by the E-terms' last digits) at an epoch; motions in degrees a year."""
+def to_fk4(df: DataFrame, ra: str, dec: str, epoch: float, equinox: float, pm_ra: str = "0.0D", pm_dec: str = "0.0D") -> DataFrame:
+    """``df`` with x, y, z: the FK4 place of FK5 J2000 places at an epoch, in the frame of an equinox; motions in degrees a year."""
     moved = unit(f"({ra} + {pm_ra} * {epoch - 2000.0!r}D)", f"({dec} + {pm_dec} * {epoch - 2000.0!r}D)")
-    # the transposed rotation, then the E-terms of aberration that FK4 places contain
-    turned = [" + ".join(f"{ROTATION[k][j]!r}D * {moved[k]}" for k in range(3)) for j in range(3)]
-    return tuple(f"({t} + {e!r}D)" for t, e in zip(turned, E_TERMS))
+    back = tuple(map(tuple, np.linalg.inv(fk4_to_fk5(epoch)).tolist()))
+    out = _vectors(df, "xyz", moved)
+    out = _vectors(out, "xyz", turned(back, "x", "y", "z"))
+    out = _vectors(out, "xyz", tuple(f"{c} + {a!r}D" for c, a in zip("xyz", e_terms(epoch))))
+    out = _vectors(out, "xyz", tuple(f"{c} / sqrt(x * x + y * y + z * z)" for c in "xyz"))
+    return _vectors(out, "xyz", precess("x", "y", "z", 1950.0, equinox))
+
+
+def from_fk4(df: DataFrame, epoch: float, equinox: float, icrs: bool = True) -> DataFrame:
+    """``df`` with ra and dec (ICRS, or FK5 J2000) of FK4 places x, y, z of an equinox and epoch; undoes to_fk4.
+
+    The place without E-terms is the unit vector that they, added, would stretch to the given direction.
+    """
+    a, m = e_terms(epoch), fk4_to_fk5(epoch)
+    m = tuple(map(tuple, (fk5_in_icrs() @ m if icrs else m).tolist()))
+    out = _vectors(df.withColumns({f"_{c}": F.col(c) for c in "xyz"}), ("_x", "_y", "_z"), precess("_x", "_y", "_z", equinox, 1950.0))
+    along = " + ".join(f"{v!r}D * _{c}" for c, v in zip("xyz", a))
+    out = out.withColumn("_l", F.expr(f"({along}) + sqrt(pow({along}, 2) + {1 - sum(v * v for v in a)!r}D)"))
+    out = _vectors(out, ("_x", "_y", "_z"), tuple(f"_l * _{c} - {v!r}D" for c, v in zip("xyz", a)))
+    out = _vectors(out, ("_x", "_y", "_z"), turned(m, "_x", "_y", "_z"))
+    place = ra_dec("_x", "_y", "_z")
+    return out.withColumns({"ra": F.expr(place[0]), "dec": F.expr(place[1])}).drop("_x", "_y", "_z", "_l")
+
+
+def transformed(df: DataFrame, year: int) -> DataFrame:
+    """J2000 places as printed (h, m, s100, dec_sign, d, dm, ds10) at a Besselian year: ``error`` names the first field out of range, else null, and the place's fields there."""
+    if not 1700 <= year <= 2100:
+        raise ValueError("year must be between 1700 and 2100")
+    most = {"h": 23, "m": 59, "s100": 5999, "d": 89, "dm": 59, "ds10": 599}
+    error = F.coalesce(*[F.when(~F.coalesce(F.col(k).between(0, v), F.lit(False)), F.lit(f"{k} must be between 0 and {v}")) for k, v in most.items()])
+    out = df.withColumn("error", error).withColumns({"_ra": F.expr("(h + m / 60.0D + s100 / 360000.0D) * 15"), "_dec": F.expr("IF(dec_sign = '-', -1, 1) * (d + dm / 60.0D + ds10 / 36000.0D)")})
+    out = to_fk4(out, "_ra", "_dec", float(year), float(year))
+    place = ra_dec("x", "y", "z")
+    out = out.withColumns({"_ra": F.expr(f"floor(({place[0]}) / 15 * 360000)"), "_dec": F.expr(place[1])}).withColumn("_size", F.expr("floor(abs(_dec) * 36000)"))
+    fields = {"to_h": "_ra div 360000", "to_m": "_ra div 6000 % 60", "to_s100": "_ra % 6000", "to_d": "_size div 36000", "to_dm": "_size div 600 % 60", "to_ds10": "_size % 600"}
+    right = F.col("error").isNull()
+    out = out.withColumns({k: F.when(right, F.expr(e).cast("int")) for k, e in fields.items()})
+    return out.withColumn("to_sign", F.when(right, F.when(F.col("_dec") < 0, "-").otherwise("+"))).drop("_ra", "_dec", "_size", "x", "y", "z")
 
 
 def with_vector(df: DataFrame, ra: str = "ra", dec: str = "dec") -> DataFrame:

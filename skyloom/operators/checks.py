@@ -10,6 +10,10 @@ from skyloom.operators import ocr
 #: Stars that a page plausibly has, the difference of magnitudes that counts, the least width of an interval for repairs.
 PLAUSIBLE, TOLERANCE, REPAIR_WIDTH = (35, 80), 0.001, 150
 
+#: Precession constants at an epoch and their yearly change, and tolerances.
+PRECESSION_EPOCH, PRECESSION_M, PRECESSION_N = 1850.0, (3.07177, 0.000019), (20.0564, -0.000086)
+RA_TOLERANCE, RA_GROWTH, DEC_TOLERANCE, NO_PRECESSION = 0.0099, 0.002, 0.099, 1e-8
+
 
 def missing(stars: DataFrame) -> DataFrame:
     """page, num: numbers between a page's first and last that it doesn't have."""
@@ -67,6 +71,16 @@ def merged(readings: DataFrame) -> DataFrame:
     return votes.select("page", "decl", "kind", "n", "runs", ((F.col("runs") >= 2) & ~F.col("doubt")).alias("certain"))
 
 
+def merge_runs(numbers: DataFrame, ends: DataFrame, last_star: DataFrame | None = None) -> DataFrame:
+    """Pages read several times, from raw numbers (run, page, decl, kind, seq, n) and intervals (run, page, place, decl, first, last) to merged().
+
+    Each run is judged against its own intervals; numbers are moved and repaired before the votes.
+    """
+    reading = lambda df: df.withColumn("page", F.struct("page", "run")).drop("run")
+    found = placed(reading(numbers), reading(ends), last_star)
+    return merged(found.withColumn("run", F.col("page.run")).withColumn("page", F.col("page.page")))
+
+
 def merged_ends(ends: DataFrame) -> DataFrame:
     """page, decl, first, last: of the runs' (run, page, decl, first, last) the ends that most runs read, the earliest run's on ties."""
 
@@ -82,3 +96,22 @@ def with_neighbours(rows: DataFrame, by: list[str], order: list[str], text: str,
     """The flagged rows with the ``text`` of the row before and behind in their group."""
     w = Window.partitionBy(*by).orderBy(*order)
     return rows.withColumns({"before": F.lag(text).over(w), "behind": F.lead(text).over(w)}).filter(flagged)
+
+
+def precession_constants(epoch: float) -> tuple[float, float]:
+    """m (seconds of time) and n (arcseconds) a year of Struve and Peters at an epoch, linear in it."""
+    years = epoch - PRECESSION_EPOCH
+    return PRECESSION_M[0] + PRECESSION_M[1] * years, PRECESSION_N[0] + PRECESSION_N[1] * years
+
+
+def precessions(rows: DataFrame, epoch: float) -> DataFrame:
+    """Printed yearly precessions (pre_ra, pre_dec; zero: none printed) against those that follow from ra and dec.
+
+    Adds real_ra, real_dec, wrong_ra and wrong_dec. The tolerance of right ascension grows with the precession itself, as near the pole
+    the formula of first order doesn't suffice.
+    """
+    m, n = precession_constants(epoch)
+    rows = rows.withColumns({"real_ra": F.expr(f"{m!r}D + {n / 15!r}D * sin(radians(ra)) * tan(radians(dec))"), "real_dec": F.expr(f"{n!r}D * cos(radians(ra))")})
+    grown = RA_TOLERANCE + RA_GROWTH * F.abs(F.col("pre_ra") - m)
+    printed = lambda c: F.abs(F.col(c)) > NO_PRECESSION
+    return rows.withColumns({"wrong_ra": printed("pre_ra") & (F.abs(F.col("pre_ra") - F.col("real_ra")) > grown), "wrong_dec": printed("pre_dec") & (F.abs(F.col("pre_dec") - F.col("real_dec")) > DEC_TOLERANCE)})

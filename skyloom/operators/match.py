@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skyloom.functions import sky
-from skyloom.operators.order import least_before
+from skyloom.operators.order import fold, least_before
 from skyloom.plans.lineage import shared_table
 
 #: Position (arcsec) and magnitude limits by comparison.
@@ -223,3 +223,75 @@ def isolated_doubles(stars: DataFrame, radius: float, closest: float, low: float
     both = both.filter(F.col("mag_a").between(low, high) & F.col("mag_b").between(low, high))
     swap = F.col("mag_b") < F.col("mag_a")
     return both.select(F.when(swap, F.col("nearest")).otherwise(F.col("id")).alias("id1"), F.when(swap, F.col("id")).otherwise(F.col("nearest")).alias("id2"), F.least("mag_a", "mag_b").alias("mag1"), F.greatest("mag_a", "mag_b").alias("mag2"), "dist")
+
+
+def nearest_with_margin(left: DataFrame, right: DataFrame, radius: float, key: str, order: str, margin: float = 1.0) -> DataFrame:
+    """key, match, dist: of the right rows within ``radius``, read in their order, the first stands until one is over ``margin`` arcseconds nearer."""
+    pairs = within(left.select(key, "x", "y", "z"), right.select(F.col(order).alias("match"), "x", "y", "z"), radius)
+    pairs = pairs.select(F.col(f"l_{key}").alias(key), F.col("r_match").alias("match"), "dist")
+    return fold(pairs, key, "match", ["dist"], lambda c, x: c["dist"] - margin > x["dist"])
+
+
+def staged(rows: DataFrame, key: str, stages: list[tuple[str, DataFrame, float, str, float | None]]) -> DataFrame:
+    """key, source, match, dist: the first stage that finds a row's match names it.
+
+    A stage is (name, table with id and place, radius, condition on rows, margin); with a margin the table's order has a say, else the
+    nearest counts. Each stage joins its own table with only the rows that no stage before it named, and its matches are
+    written, so a stage's work falls with what is left.
+    """
+    rest, found = rows, []
+    for name, table, radius, condition, margin in stages:
+        some = rest.filter(condition)
+        if margin is None:
+            hits = nearest(some.select(key, "x", "y", "z"), table.select("id", "x", "y", "z"), radius, [key], "id").select(F.col(f"l_{key}").alias(key), F.col("r_id").alias("match"), "dist")
+        else:
+            hits = nearest_with_margin(some, table, radius, key, "id", margin)
+        hits = shared_table(hits.select(key, F.lit(name).alias("source"), "match", "dist"), "staged", small=True)
+        found.append(hits)
+        rest = rest.join(hits.select(key), key, "left_anti")
+    out = found[0]
+    for hits in found[1:]:
+        out = out.unionByName(hits)
+    return out
+
+
+def second_look(rows: DataFrame, table: DataFrame, note: int = 1) -> DataFrame:
+    """Rows (id, place, ref) with their nearest star (star) against ``table`` (star, number, mag, place): does the star bear the number that the row refers to?
+
+    verdict: match, note (the numbers are at most ``note`` apart) or mismatch; rows or stars without a number aren't judged. Only for rows whose numbers differ
+    a second look finds the first star that does bear the number: other, other_mag and its distance. ``kept``: the reference may be
+    written: it matches, or no star bears it.
+    """
+    own = table.select("star", F.col("number").alias("_own"))
+    judged = rows.join(own, "star").filter("_own > 0 and ref > 0")
+    gap = F.abs(F.col("ref") - F.col("_own"))
+    judged = judged.withColumn("verdict", F.when(gap == 0, "match").when(gap <= note, "note").otherwise("mismatch"))
+    differ = judged.filter("verdict <> 'match'")
+    bears = table.filter("number > 0").groupBy("number").agg(F.min_by(F.struct("star", "mag", "x", "y", "z"), "star").alias("o"))
+    looked = differ.join(bears, differ["ref"] == bears["number"], "left").select("id", F.col("o.star").alias("other"), F.col("o.mag").alias("other_mag"), F.when(F.col("o").isNotNull(), F.expr(sky.arcsec(sky.chord_squared("", "o.")))).alias("other_dist"))
+    out = judged.join(looked, "id", "left")
+    return out.select("id", "star", "ref", F.col("_own").alias("number"), "verdict", "other", "other_mag", "other_dist", F.col("other").isNull().alias("kept"))
+
+
+def reference_limits(rows: DataFrame, table: DataFrame, limit: float, mag_limit: float | None) -> DataFrame:
+    """Rows (id, place, mag, number) against the star of ``table`` (number, place, mag) that they name: place is absent, far or ok; mag is whether the magnitudes differ by more than the limit."""
+    stars = table.groupBy("number").agg(F.min_by(F.struct("mag", "x", "y", "z"), "star").alias("o"))
+    both = rows.join(stars, "number", "left").withColumn("dist", F.when(F.col("o").isNotNull(), F.expr(sky.arcsec(sky.chord_squared("", "o.")))))
+    place = F.when(F.col("o").isNull(), "absent").when(F.col("dist") > limit, "far").otherwise("ok")
+    unlike = F.lit(False) if mag_limit is None else F.coalesce(F.abs(F.col("mag") - F.col("o.mag")) > mag_limit, F.lit(False))
+    return both.select("id", "number", place.alias("place"), "dist", unlike.alias("mag_differs"))
+
+
+def zoned(stars: DataFrame, zones: DataFrame, key: str = "id", ra_step: float = 15.0, dec_step: float = 10.0) -> DataFrame:
+    """key and name for ``stars`` (key, ra, dec): the name of the first row of ``zones`` (row, ra_lo, ra_hi, dec_lo, name) that holds them: ra in [ra_lo, ra_hi) and dec from dec_lo up.
+
+    A zone goes to the bins of right ascension and bands of declination that it touches, then bin and band are an equi-join with an
+    exact filter and a grouped minimum of the row number. Zones that cross 0 degrees have two rows.
+    """
+    bands = int(180 / dec_step) - 1
+    band = lambda c: F.least(F.greatest(F.floor((F.col(c) + 90) / dec_step), F.lit(0)), F.lit(bands)).cast("int")
+    last = F.floor((F.col("ra_hi") - 1e-9) / ra_step).cast("int")
+    cells = zones.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("ra_lo") / ra_step).cast("int"), last))).withColumn("_band", F.explode(F.sequence(band("dec_lo"), F.lit(bands))))
+    met = stars.select(key, "ra", "dec").withColumns({"_bin": F.floor(F.col("ra") / ra_step).cast("int"), "_band": band("dec")}).join(cells, ["_bin", "_band"])
+    met = met.filter("ra >= ra_lo and ra < ra_hi and dec >= dec_lo")
+    return met.groupBy(key).agg(F.min_by("name", "row").alias("name"))

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,13 +206,27 @@ def precess_1855_1875(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _PM = ("((id % 21) - 10) / 36000.0D", "((id % 17) - 8) / 36000.0D")
-_B1950 = sky.fk5_to_b1950("ra", "dec", *_PM, 1875.0)
 
 
-@query(SKY_SQL + f"SELECT id, round({sky.ra_dec('x', 'y', 'z')[0]}, 5) AS ra, round({sky.ra_dec('x', 'y', 'z')[1]}, 5) AS dec FROM (SELECT id, " + ", ".join(f"{e} AS {c}" for c, e in zip("xyz", sky.precess("vx", "vy", "vz", 1950.0, 1875.0))) + " FROM (SELECT id, " + ", ".join(f"{e} AS v{c}" for c, e in zip("xyz", _B1950)) + " FROM stars) s) p")
+def _dot(m: object, at: str) -> str:
+    """A list of three numbers: a matrix, row by row, with the list ``at``."""
+    return "[" + ", ".join(f"list_dot_product([{', '.join(repr(float(v)) for v in row)}]::DOUBLE[3]::DOUBLE[], {at})" for row in m) + "]"
+
+
+def fk4_sql(ra: str, dec: str, epoch: float, equinox: float, source: str) -> str:
+    """SQL that gives id and v, the FK4 place as a list, by steps of its own: rotate, add the E-terms, scale, precess."""
+    a = f"[{', '.join(repr(v) for v in sky.e_terms(epoch))}]::DOUBLE[]"
+    place = f"[cos(radians({dec})) * cos(radians({ra})), cos(radians({dec})) * sin(radians({ra})), sin(radians({dec}))]"
+    inner = f"SELECT id, list_transform(list_zip({_dot(np.linalg.inv(sky.fk4_to_fk5(epoch)), place)}, {a}), lambda p: p[1] + p[2]) AS u FROM {source}"
+    return f"SELECT id, {_dot(sky.newcomb(1950.0, equinox), 'list_transform(u, lambda c: c / sqrt(list_dot_product(u, u)))')} AS v FROM ({inner})"
+
+
+PLACE_SQL = "degrees(atan2(v[2], v[1])) + CASE WHEN atan2(v[2], v[1]) < 0 THEN 360 ELSE 0 END AS ra, 90 - degrees(acos(v[3])) AS dec"
+
+
+@query(SKY_SQL + f"SELECT id, round(ra, 5) AS ra, round(dec, 5) AS dec FROM (SELECT id, {PLACE_SQL} FROM ({fk4_sql(f'(ra - 125 * {_PM[0]})', f'(dec - 125 * {_PM[1]})', 1875.0, 1875.0, 'stars')}))")
 def j2000_to_b1875(spark: SparkSession, sf_dir: str) -> DataFrame:
-    b = stars(spark, sf_dir).select("id", *[F.expr(e).alias(f"v{c}") for c, e in zip("xyz", _B1950)])
-    p = b.select("id", *[F.expr(e).alias(c) for c, e in zip("xyz", sky.precess("vx", "vy", "vz", 1950.0, 1875.0))])
+    p = sky.to_fk4(stars(spark, sf_dir).select("id", "ra", "dec"), "ra", "dec", 1875.0, 1875.0, *_PM)
     ra, dec = sky.ra_dec("x", "y", "z")
     return p.select("id", _r(ra, 5, "ra"), _r(dec, 5, "dec"))
 
@@ -772,4 +787,4 @@ def triple_sink(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.cross_rows(rows, {"ppm": "id", "sao": "sao", "hd": "hd"}, "mag")
 
 
-from skyloom.plans import records, reports  # noqa: E402,F401  register their queries
+from skyloom.plans import records, reports, stages  # noqa: E402,F401  register their queries
