@@ -32,59 +32,82 @@ KIND = R.Kind(words=True, window=WINDOW_WORDS, gram=ANCHOR_WORDS)
 SCHEMA = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
 
 
-def longest_matches(sym: np.ndarray, rows: np.ndarray) -> np.ndarray:
-    """How many symbols of each place stand somewhere else in the blocks, too; matches don't cross block ends.
-
-    The index is the suffix array of all blocks, each closed by a symbol of its own; the longest match of a place is
-    with one of its two neighbours there.
+class Index:
+    """The suffix array of blocks, each closed by a symbol of its own, so that no match crosses a block's end."""
+
+    def __init__(self, sym: np.ndarray, rows: np.ndarray) -> None:
+        n_rows = len(rows) - 1
+        self.row = np.repeat(np.arange(n_rows), np.diff(rows))
+        text = np.empty(len(sym) + n_rows, np.int64)
+        text[np.arange(len(sym)) + self.row] = np.unique(sym, return_inverse=True)[1] + 1
+        text[rows[1:] + np.arange(n_rows)] = len(sym) + 1 + np.arange(n_rows)
+        self.order = suffix_order(text, int(np.diff(rows).max()) + 1)
+        self.rank = np.empty(len(text), np.int64)
+        self.rank[self.order] = np.arange(len(text))
+        self.text = np.append(text, 0)  # the last suffix ends; no symbol is 0
+        self.asked = 0
+
+    def longest(self, places: np.ndarray, most: int) -> np.ndarray:
+        """How many symbols from each place on, up to ``most``, stand somewhere else in the blocks, too.
+
+        The longest match of a place is with one of its two neighbours in the suffix array.
+        """
+        self.asked += len(places)
+        places = places + self.row[places]
+        at, best, end = self.rank[places], np.zeros(len(places), np.int64), len(self.text) - 1
+        for step in (-1, 1):
+            beside = at + step
+            live = np.flatnonzero((beside >= 0) & (beside < len(self.order)))
+            other = self.order[beside[live]]
+            for k in range(most):
+                same = self.text[np.minimum(places[live] + k, end)] == self.text[np.minimum(other + k, end)]
+                live, other = live[same], other[same]
+                if not len(live):
+                    break
+                best[live] = np.maximum(best[live], k + 1)
+        return best
+
+
+def parse(index: Index, rows: np.ndarray) -> np.ndarray:
+    """Whether a factor begins at each place: every block is factored greedily, one factor of all blocks at a time.
+
+    A factor is the longest match at its place, one symbol at least; only the places where factors begin are looked up.
     """
-    n_rows, most = len(rows) - 1, int(np.diff(rows).max())
-    rank = np.unique(sym, return_inverse=True)[1]
-    row = np.repeat(np.arange(n_rows), np.diff(rows))
-    text = np.empty(len(sym) + n_rows, np.int64)
-    text[np.arange(len(sym)) + row] = rank + 1
-    text[rows[1:] + np.arange(n_rows)] = len(sym) + 1 + np.arange(n_rows)
-    order = suffix_order(text, most + 1)
-    a, b = order[:-1], order[1:]
-    common = np.zeros(len(a), np.int64)
-    live = np.arange(len(a))
-    padded = np.append(text, 0)  # the last suffix ends; no symbol is 0
-    for k in range(most):
-        live = live[padded[np.minimum(a[live] + k, len(text))] == padded[np.minimum(b[live] + k, len(text))]]
-        if not len(live):
-            break
-        common[live] = k + 1
-    best = np.zeros(len(text), np.int64)
-    np.maximum.at(best, a, common)
-    np.maximum.at(best, b, common)
-    return best[np.arange(len(sym)) + row]
-
-
-def parse(best: list[int]) -> list[int]:
-    """Where the factors of a block begin, and its end: each takes the longest match at its place, one symbol at least."""
-    cuts, p = [0], 0
-    while p < len(best):
-        p += best[p] or 1
-        cuts.append(p)
-    return cuts
+    begins = np.zeros(rows[-1] + 1, bool)
+    begins[rows[-1]] = True
+    at, ends = rows[:-1].copy(), rows[1:]
+    most = int(np.diff(rows).max())
+    while len(at):
+        begins[at] = True
+        at = at + np.maximum(index.longest(at, most), 1)
+        at, ends = at[at < ends], ends[at < ends]
+    return begins
 
 
 def solve(data: np.ndarray, sym: np.ndarray, rows: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
-    """Which windows of these blocks lie in a factor, or straddle a factor's boundary and match."""
-    best = longest_matches(sym, rows)
-    out: list[np.ndarray] = []
-    for lo, hi, n in zip(rows[:-1].tolist(), rows[1:].tolist(), windows.tolist()):
-        block = best[lo:hi]
-        found = np.zeros(n, bool)
-        if block[:n].max() >= length:
-            cuts = np.array(parse(block.tolist()))
-            at = np.arange(n)
-            factor = np.searchsorted(cuts, at, "right")
-            inside = at + length <= cuts[factor]
-            found[inside] = True
-            found[~inside] = block[:n][~inside] >= length  # straddles a boundary: looked up
-        out.append(found)
-    return np.concatenate(out) if out else np.zeros(0, bool)
+    """Which windows of these blocks stand somewhere else, too.
+
+    A window inside a factor does. One that holds a whole factor and a word behind it doesn't: had it a match, that factor
+    would have been longer. What is left straddles one boundary and is looked up, because a block other than the factor's may hold it.
+    """
+    return decided(Index(sym, rows), rows, windows, length)
+
+
+def decided(index: Index, rows: np.ndarray, windows: np.ndarray, length: int) -> np.ndarray:
+    if not windows.sum():
+        return np.zeros(0, bool)
+    cuts = np.flatnonzero(parse(index, rows))
+    before = np.cumsum(windows) - windows
+    start = np.repeat(rows[:-1] - before, windows) + np.arange(windows.sum())
+    first = np.searchsorted(cuts, start, "left")  # the first factor that begins in the window
+    ends = cuts[np.minimum(first + 1, len(cuts) - 1)]  # where it ends
+    begin = cuts[np.searchsorted(cuts, start, "right") - 1]  # the factor that the window begins in
+    inside = start + length <= cuts[np.searchsorted(cuts, begin, "right")]
+    whole = (cuts[np.minimum(first, len(cuts) - 1)] < start + length) & (ends < start + length)
+    found = inside.copy()
+    ask = np.flatnonzero(~inside & ~whole)
+    found[ask] = index.longest(start[ask], length) >= length
+    return found
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 
 from skyloom.llm import repeats as R
-from skyloom.llm.substring_dedup import substring_dedup
+from skyloom.llm.substring_dedup import Index, decided, solve, substring_dedup
 from skyloom.llm.suffix_dedup import suffix_dedup, suffix_order
 
 
@@ -75,3 +75,24 @@ def test_suffix_order_is_the_suffix_array():
         for k in (1, 2, 4):
             x = r.integers(1, k + 1, n)
             assert suffix_order(x, 10**9).tolist() == sorted(range(n), key=lambda i: x[i:].tolist())
+
+
+def test_factors_decide_windows():
+    """Windows by factors against brute force over all blocks; in near copies few places are looked up, without factors all are."""
+    r = np.random.default_rng(4)
+    for case in range(200):
+        length, letters = int(r.integers(2, 8)), int(r.integers(2, 30))
+        blocks = [r.integers(0, letters, int(r.integers(length, 40))) for _ in range(int(r.integers(1, 8)))]
+        blocks += [b.copy() for b in blocks[: int(r.integers(0, 3))]]
+        rows = np.concatenate(([0], np.cumsum([len(b) for b in blocks])))
+        windows = np.array([len(b) - length + 1 for b in blocks])
+        seen = Counter(tuple(b[i : i + length]) for b in blocks for i in range(len(b) - length + 1))
+        want = [seen[tuple(b[i : i + length])] > 1 for b in blocks for i in range(len(b) - length + 1)]
+        assert solve(None, np.concatenate(blocks), rows, windows, length).tolist() == want, case
+    base = r.integers(0, 10**9, 400)
+    copies = [base.copy() for _ in range(3)]
+    for i, c in enumerate(copies):
+        c[100 * i + 50] = -1 - i
+    index = Index(np.concatenate(copies), np.array([0, 400, 800, 1200]))
+    found = decided(index, np.array([0, 400, 800, 1200]), np.array([366] * 3), 35)
+    assert found.sum() == 3 * (366 - 35) and index.asked < 300
