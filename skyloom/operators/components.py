@@ -5,14 +5,18 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyloom.plans.lineage import shared_table
+from skyloom.plans.lineage import release, shared_table
 
 #: Fixed values of the cost model: position and magnitude spread, the cost of an unknown magnitude, and of no match.
 SIGMA_POS, SIGMA_MAG, UNKNOWN_COST, NO_MATCH = 60.0, 0.5, 8.0, 69.0
 SMALL = 5
+#: Cells of a cost matrix that one task holds, and by how much the auction's margin falls.
+DENSE_CELLS, MARGIN_STEP = 4_000_000, 8
+#: Places of a cost that the auction counts.
+DIGITS = 6
 
 
 def edge_cost(theta: str = "dist", mag_a: str = "l_mag", mag_b: str = "r_mag") -> str:
@@ -91,11 +95,62 @@ def _solve(edges: pd.DataFrame, partial: bool) -> pd.DataFrame:
     return pd.DataFrame({"component": int(edges.component.iloc[0]), "l": [left[a] for a, _ in pairs], "r": [right[b] for _, b in pairs], "cost": [float(cost[a, b]) for a, b in pairs]})
 
 
-def assign(edges: DataFrame, partial: bool = False) -> DataFrame:
+def auction(edges: DataFrame, label: str = "auction", digits: int = DIGITS) -> DataFrame:
+    """One-to-one matches of edges (l, r, cost) of least total cost, where a node without a match costs NO_MATCH once a pair; costs count to ``digits`` places.
+
+    For components that no task holds. A match gains NO_MATCH - cost; so that all nodes can be matched, each gets a twin on the
+    other side: l may take its twin for nothing, and the twins of a matched pair take each other. Persons bid for objects as
+    whole numbers, with a margin that falls by MARGIN_STEP from phase to phase down to 1, where whole gains, multiplied by one
+    more than the persons, make the result the best. A round is one plan: the free persons join their edges and the
+    objects' prices, each bids for its best object by its lead over the second, each object takes its highest bid.
+    """
+    pairs = edges.groupBy("l", "r").agg(F.min("cost").alias("cost")).filter(F.col("cost") < NO_MATCH)
+    gain = F.round((NO_MATCH - F.col("cost")) * 10**digits).cast("long")
+    # persons: l and the twins of r; objects: r and the twins of l
+    node = lambda kind, c: F.struct(F.lit(kind).alias("k"), F.col(c).alias("i"))
+    graph = pairs.select(node(0, "l").alias("p"), node(0, "r").alias("o"), gain.alias("w"))
+    graph = graph.unionByName(pairs.select(node(1, "r").alias("p"), node(1, "l").alias("o"), F.lit(0).cast("long").alias("w")))
+    for kind, (c, d) in enumerate((("l", "l"), ("r", "r"))):
+        own = pairs.select(c).distinct()
+        graph = graph.unionByName(own.select(node(kind, c).alias("p"), node(1 - kind, d).alias("o"), F.lit(0).cast("long").alias("w")))
+    graph = shared_table(graph, f"{label}-graph", small=True)
+    persons = shared_table(graph.select("p").distinct(), f"{label}-persons", small=True)
+    n = persons.count()
+    graph = graph.withColumn("w", F.col("w") * (n + 1))
+    margin = max(1, (graph.agg(F.max("w")).first()[0] or 0) // MARGIN_STEP)
+    prices = shared_table(graph.select("o").distinct().withColumn("price", F.lit(0).cast("long")), f"{label}-prices", small=True)
+    none = F.lit(None).cast(persons.schema["p"].dataType)
+    while n:
+        held = prices.withColumn("owner", none)
+        while True:
+            free = persons.join(held.select(F.col("owner").alias("p")), "p", "left_anti")
+            offers = free.join(graph, "p").join(held.select("o", "price"), "o").withColumn("v", F.col("w") - F.col("price"))
+            ranked = offers.withColumn("_n", F.row_number().over(Window.partitionBy("p").orderBy(F.desc("v"), "o"))).filter("_n < 3")
+            best = ranked.groupBy("p").agg(F.max(F.when(F.col("_n") == 1, F.struct("o", "price", "v"))).alias("b"), F.min("v").alias("second"))
+            bids = best.select(F.col("b.o").alias("o"), F.struct((F.col("b.price") + F.col("b.v") - F.col("second") + margin).alias("bid"), "p").alias("x"))
+            taken = bids.groupBy("o").agg(F.max("x").alias("x"))
+            after = held.join(taken, "o", "left").select("o", F.coalesce("x.bid", "price").alias("price"), F.coalesce("x.p", "owner").alias("owner"), F.col("x").isNotNull().alias("_new"))
+            after = shared_table(after, f"{label}-round", small=True)
+            done = after.filter("_new").isEmpty()
+            release(held)
+            held = after.drop("_new")
+            if done:
+                break
+        if margin == 1:
+            break
+        margin = max(1, margin // MARGIN_STEP)
+        prices = held.drop("owner")
+    else:
+        return pairs.limit(0)
+    matched = held.filter("o.k = 0 and owner.k = 0").select(F.col("owner.i").alias("l"), F.col("o.i").alias("r"))
+    return matched.join(pairs, ["l", "r"])
+
+
+def assign(edges: DataFrame, partial: bool = False, cells: int = DENSE_CELLS, digits: int = DIGITS) -> DataFrame:
     """One-to-one matches of edges (l, r, cost) of least total cost in each component.
 
-    Components are solved in their own tasks. One component's cost matrix must fit a task: positional graphs
-    at a radius far below the mean separation have small components (component_sizes() reports them).
+    Components whose matrix has at most ``cells`` cells, and those with a side of at most SMALL, are solved in tasks of their own;
+    greater ones together by auction(), where no task holds one.
     """
     graph = edges.select((F.col("l") * 2).alias("a"), (F.col("r") * 2 + 1).alias("b"))
     labels = components(graph, "assign")
@@ -106,10 +161,16 @@ def assign(edges: DataFrame, partial: bool = False) -> DataFrame:
 
     # most components of a sparse sky are one edge, which needs no solver
     known = shared_table(known, "assign-edges")
-    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("_n"))
-    single = known.join(size.filter("_n = 1"), "component").filter(F.col("cost") < NO_MATCH).drop("_n")
-    rest = known.join(size.filter("_n > 1").drop("_n"), "component")
-    return single.unionByName(rest.groupBy("component").applyInPandas(solve, "component long, l long, r long, cost double"))
+    size = known.groupBy("component").agg(F.count(F.lit(1)).alias("_n"), F.count_distinct("l").alias("_l"), F.count_distinct("r").alias("_r"))
+    large = (F.col("_l") * F.col("_r") > cells) & (F.least("_l", "_r") > SMALL)
+    size = shared_table(size.select("component", "_n", large.alias("_large")), "assign-sizes", small=True)
+    single = known.join(size.filter("_n = 1"), "component").filter(F.col("cost") < NO_MATCH).drop("_n", "_large")
+    rest = known.join(size.filter("_n > 1 and not _large").select("component"), "component")
+    out = single.unionByName(rest.groupBy("component").applyInPandas(solve, "component long, l long, r long, cost double"))
+    if size.filter("_large").isEmpty():
+        return out
+    great = known.join(size.filter("_large").select("component"), "component")
+    return out.unionByName(auction(great, digits=digits).join(great.select("component", "l").distinct(), "l").select("component", "l", "r", "cost"))
 
 
 def component_sizes(labels: DataFrame) -> DataFrame:

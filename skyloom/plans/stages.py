@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import sky
 from skyloom.operators import checks, order
+from skyloom.operators import components as G
 from skyloom.operators import match as J
 from skyloom.plans.catalog import _BAND, _D2, _DEC, _H2, _RA, PLACE_SQL, SKY_SQL, _dot, _r, _vec, fk4_sql, query, stars, t
 from skyloom.sources import lists
@@ -209,3 +210,23 @@ def merged_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     sides = "inline(array(struct(22 AS decl, 1 AS place, 100L AS first, 299L AS last), struct(23 AS decl, 2 AS place, 500L AS first, 699L AS last)))"
     ends = numbers.select("run", "page").distinct().selectExpr("run", "page", sides)
     return checks.merge_runs(numbers, ends).select("page", "decl", "n", "runs", "certain")
+
+
+# ---------------------------------------------------------------- assignment
+
+#: blocks of at most eight orders and five places; the first order of a block knows all places, so a block is one component
+_GRAPH = "SELECT l_orderkey AS l, l_orderkey {div} 8 * 5 + l_suppkey % 5 AS r, (l_partkey % 65 + l_linenumber / 8.0{d}) AS cost FROM lineitem UNION ALL SELECT l, b * 5 + j, 66.0{d} + j / 16.0{d} FROM (SELECT min(l_orderkey) AS l, l_orderkey {div} 8 AS b FROM lineitem GROUP BY 2), {five}"
+_BLOCKS = _GRAPH.format(div="//", d="", five="(SELECT unnest([0, 1, 2, 3, 4]) AS j)")
+
+
+@query(f"""WITH RECURSIVE e AS (SELECT l, r, min(cost) AS cost FROM ({_BLOCKS}) GROUP BY l, r), k AS (SELECT l // 8 AS block FROM e GROUP BY 1 HAVING count(DISTINCT l) >= 5),
+w(block, j, used, total) AS (SELECT block, 0, CAST([] AS BIGINT[]), 0.0::DOUBLE FROM k UNION ALL SELECT w.block, w.j + 1, list_append(w.used, e.l), w.total + e.cost FROM w JOIN e ON e.r = w.block * 5 + w.j WHERE w.j < 5 AND NOT list_contains(w.used, e.l))
+SELECT block, count(*) FILTER (j = 5) > 0 AS matched, round(min(total) FILTER (j = 5), 4) AS total FROM w GROUP BY block""")
+def assignment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least total cost at which all five places of a block get an order of their own, or none at all."""
+    t(spark, sf_dir, "lineitem").createOrReplaceTempView("_lineitem")
+    edges = spark.sql(_GRAPH.format(div="div", d="D", five="(SELECT explode(array(0, 1, 2, 3, 4)) AS j)").replace("lineitem", "_lineitem"))
+    edges = edges.withColumn("cost", F.col("cost").cast("double"))
+    blocks = edges.groupBy(F.expr("l div 8").alias("block")).agg(F.count_distinct("l").alias("n")).filter("n >= 5").select("block")
+    found = G.assign(edges).groupBy(F.expr("l div 8").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("total"))
+    return blocks.join(found, "block", "left").select("block", (F.coalesce("n", F.lit(0)) == 5).alias("matched"), _r("total", 4, "total"))
