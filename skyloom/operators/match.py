@@ -292,6 +292,8 @@ def zoned(stars: DataFrame, zones: DataFrame, key: str = "id", ra_step: float =
     band = lambda c: F.least(F.greatest(F.floor((F.col(c) + 90) / dec_step), F.lit(0)), F.lit(bands)).cast("int")
     last = F.floor((F.col("ra_hi") - 1e-9) / ra_step).cast("int")
     cells = zones.withColumn("_bin", F.explode(F.sequence(F.floor(F.col("ra_lo") / ra_step).cast("int"), last))).withColumn("_band", F.explode(F.sequence(band("dec_lo"), F.lit(bands))))
-    met = stars.select(key, "ra", "dec").withColumns({"_bin": F.floor(F.col("ra") / ra_step).cast("int"), "_band": band("dec")}).join(cells, ["_bin", "_band"])
+    # columns that can't be null need no null checks, which the optimizer would push through all that ra and dec are made of
+    places = stars.select(key, *[F.coalesce(c, F.lit(-999.0)).alias(c) for c in ("ra", "dec")])
+    met = places.withColumns({"_bin": F.coalesce(F.floor(F.col("ra") / ra_step).cast("int"), F.lit(-1)), "_band": F.coalesce(band("dec"), F.lit(-1))}).join(cells, ["_bin", "_band"])
     met = met.filter("ra >= ra_lo and ra < ra_hi and dec >= dec_lo")
     return met.groupBy(key).agg(F.min_by("name", "row").alias("name"))

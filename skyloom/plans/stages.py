@@ -76,7 +76,7 @@ _LEVELS = [("ppm", 15.0, "id > 0", None), ("unidentified", 15.0, "id > 0", 1.0),
 
 
 def _near(off: str) -> str:
-    return f"CASE WHEN dec > 0 THEN dec - ({off}) / 3600.0 ELSE dec + ({off}) / 3600.0 END"
+    return f"CASE WHEN dec > 0 THEN dec - ({off}) / 3600.0D ELSE dec + ({off}) / 3600.0D END"
 
 
 def _level(name: str, rest: str, radius: float, condition: str) -> str:
@@ -92,7 +92,7 @@ def _cascade_sql() -> str:
         if margin is None:
             parts.append(_level(name, rest, radius, condition))
         else:
-            fold = f"list_reduce(list({{'match': b.id, 'dist': {sky.arcsec(_D2)}}} ORDER BY b.id), lambda c, x: CASE WHEN c.dist - {margin} > x.dist THEN x ELSE c END)"
+            fold = f"list_reduce(list({{'match': b.id, 'dist': {sky.arcsec(_D2)}}} ORDER BY b.id), lambda u, w: CASE WHEN u.dist - {margin} > w.dist THEN w ELSE u END)"
             parts.append(f"{name}_m AS (SELECT id, '{name}' AS source, f.match AS match, pow(2 * sin(radians(f.dist / 3600) / 2), 2) AS d2 FROM (SELECT a.id, {fold} AS f FROM {rest} a JOIN {name} b ON {_BAND(radius)} AND {_D2} < {_H2(radius)} GROUP BY a.id))")
         parts.append(f"rest{i} AS (SELECT * FROM {rest} WHERE id NOT IN (SELECT id FROM {name}_m))")
         rest = f"rest{i}"
@@ -152,7 +152,7 @@ def gould_designations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""SELECT o_orderkey AS line_no, concat(o_orderkey % 300, CASE o_orderkey % 4 WHEN 0 THEN 'a' WHEN 1 THEN 'b' ELSE '' END) AS id, round((o_orderkey % 24 + o_custkey % 60 / 60.0 + o_orderkey % 60 / 3600.0) * 15, 8) AS ra,
-round(CASE WHEN o_custkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey % 3 + (o_custkey % 600) / 600.0), 8) AS dec,
+round(CASE WHEN o_custkey % 2 = 0 THEN -1 ELSE 1 END * (o_orderkey % 3 + (o_custkey % 600) / 600.0), 8) + 0.0 AS dec,
 printf('%02dh %02dm %02ds %s%02d°%04.1f''', o_orderkey % 24, o_custkey % 60, o_orderkey % 60, CASE WHEN o_custkey % 2 = 0 THEN '-' ELSE '+' END, o_orderkey % 3, (o_custkey % 600) / 10.0) AS place FROM orders WHERE o_orderkey % 300 > 0 AND o_orderkey % 13 > 0""")
 def magnitude_standards(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every thirteenth line lacks its last field; degrees of 0 keep their sign."""
