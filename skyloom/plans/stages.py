@@ -10,7 +10,7 @@ from skyloom.operators import checks, order
 from skyloom.operators import components as G
 from skyloom.operators import match as J
 from skyloom.plans.catalog import _BAND, _D2, _DEC, _H2, _RA, PLACE_SQL, SKY_SQL, _dot, _r, _vec, fk4_sql, query, stars, t
-from skyloom.sources import lists
+from skyloom.sources import lists, reports, tables
 
 # ---------------------------------------------------------------- nearest without a radius
 
@@ -230,3 +230,25 @@ def assignment_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     blocks = edges.groupBy(F.expr("l div 8").alias("block")).agg(F.count_distinct("l").alias("n")).filter("n >= 5").select("block")
     found = G.assign(edges).groupBy(F.expr("l div 8").alias("block")).agg(F.count(F.lit(1)).alias("n"), F.sum("cost").alias("total"))
     return blocks.join(found, "block", "left").select("block", (F.coalesce("n", F.lit(0)) == 5).alias("matched"), _r("total", 4, "total"))
+
+
+# ---------------------------------------------------------------- register lines, zones in ascending order
+
+_REGISTER = "printf('     Register CD %d°%d (en %.0fh):  %.1f | %.0fm%.1fs | %.1f''     (pag. %d)', decl, number, hour::DOUBLE, mag::DOUBLE, minute::DOUBLE, second::DOUBLE, arcminute::DOUBLE, CAST(pages * (index - min(index) OVER (PARTITION BY v)) // count(*) OVER (PARTITION BY v) AS BIGINT))"
+
+
+@query(f"""WITH s AS (SELECT p_partkey AS index, CAST(-22 - p_partkey // 30 % 60 AS INTEGER) AS decl, p_partkey % 500 AS number, p_partkey % 24 AS hour, p_partkey % 60 AS minute, (p_partkey % 600) / 10.0 AS second, (p_partkey % 590) / 10.0 AS arcminute, (p_partkey % 100) / 10.0 AS mag FROM part),
+v AS (SELECT *, CASE WHEN decl >= -31 THEN 1 WHEN decl >= -41 THEN 2 WHEN decl >= -51 THEN 3 WHEN decl >= -61 THEN 4 ELSE 5 END AS v FROM s), l AS (SELECT index, {_REGISTER} AS text FROM (SELECT *, [605, 539, 503, 305, 400][v] AS pages FROM v)), f AS (SELECT index AS i FROM s WHERE index % 17 = 0)
+SELECT i AS seq, 0 AS k, text FROM f JOIN l ON index = i UNION ALL SELECT i, 1, '   Neighbors:' FROM f UNION ALL SELECT i, 2, text FROM f JOIN l ON index = i - 1 UNION ALL SELECT i, 3, text FROM f JOIN l ON index = i + 1""")
+def register_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The register lines under warnings, with the stars before and behind; volumes' places come from the whole list."""
+    s = t(spark, sf_dir, "part").selectExpr("p_partkey AS index", "cast(-22 - p_partkey div 30 % 60 AS int) AS decl", "p_partkey % 500 AS number", "p_partkey % 24 AS hour", "p_partkey % 60 AS minute", "(p_partkey % 600) / 10.0D AS second", "(p_partkey % 590) / 10.0D AS arcminute", "(p_partkey % 100) / 10.0D AS mag")
+    return reports.registers(s, s.filter("index % 17 = 0").selectExpr("index AS seq", "index"), True)
+
+
+@query("""SELECT id, row_number() OVER (ORDER BY CASE WHEN south THEN -zone - 1 ELSE zone END, id) - 1 AS place, code FROM (SELECT o_orderkey AS id, o_custkey % 5 = 0 AS south, CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 2 ELSE o_orderkey % 90 END AS zone,
+ CASE o_orderkey % 20 WHEN 0 THEN 'nebula' WHEN 1 THEN 'variable' WHEN 2 THEN 'nova' WHEN 3 THEN 'cluster' WHEN 4 THEN 'unknown' END AS code FROM orders)""")
+def ascending_zones(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stars numbered by ascending zones: -1, -0, +0 and so on; codes that stand in place of magnitudes."""
+    s = t(spark, sf_dir, "orders").selectExpr("o_orderkey AS id", "o_custkey % 5 = 0 AS south", "CASE WHEN o_custkey % 5 = 0 THEN o_orderkey % 2 ELSE o_orderkey % 90 END AS zone", "CASE o_orderkey % 20 WHEN 0 THEN 20.0D WHEN 1 THEN 30.0D WHEN 2 THEN 40.0D WHEN 3 THEN 50.0D WHEN 4 THEN 12.2D ELSE 9.5D END AS mag")
+    return tables.ascending(s, "south", "zone", "id").select("id", "place", tables.magnitude_code(F.col("mag")).alias("code"))

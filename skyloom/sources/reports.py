@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Declinations of the five printed volumes, from and to.
 VOLUMES = ((-31, -22), (-41, -32), (-51, -42), (-61, -52), (-90, -62))
+#: Pages of the five volumes.
+VOLUME_PAGES = (605, 539, 503, 305, 400)
 #: Headings of the two listings.
 CROSS_HEADING = "    Index   imag   Distance Identification"
 ESTIMATE_HEADING = "   Index    Vmag  ConstEst    LinEst   QuadEst  Identification"
@@ -33,6 +35,24 @@ def far(pairs: DataFrame, order: str, limit: float) -> DataFrame:
     return rows.select("seq", order, text.alias("text"))
 
 
+def registers(stars: DataFrame, flagged: DataFrame, neighbours: bool) -> DataFrame:
+    """seq, k, text: the register lines of the flagged stars (seq, index), then, if asked for, a heading and those of the stars before and behind.
+
+    ``stars``: index (from 0, in file order), decl, number, hour, minute, second, arcminute, mag. A star's page follows from its place among its
+    volume's stars. The lines wanted are joined by index, so no order is built over the stars.
+    """
+    v = stars.withColumn("v", volume(F.col("decl")))
+    sizes = v.groupBy("v").agg(F.min("index").alias("from"), F.count(F.lit(1)).alias("size"))  # six rows at most
+    pages = F.element_at(F.lit([0, *VOLUME_PAGES]), F.col("v") + 1)
+    page = F.floor(pages * (F.col("index") - F.col("from")) / F.col("size"))
+    line = F.format_string("     Register CD %d°%d (en %.0fh):  %.1f | %.0fm%.1fs | %.1f'     (pag. %d)", "decl", "number", *[F.col(c).cast("double") for c in ("hour", "mag", "minute", "second", "arcminute")], page)
+    lines = v.join(F.broadcast(sizes), "v").select("index", line.alias("text"))
+    steps = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(d).cast("long").alias("d")) for k, d in ([(0, 0), (2, -1), (3, 1)] if neighbours else [(0, 0)])])
+    wanted = flagged.select("seq", F.col("index").alias("own"), F.inline(steps)).select("seq", "k", (F.col("own") + F.col("d")).alias("index"))
+    out = wanted.join(lines, "index").select("seq", "k", "text")
+    return out.unionByName(flagged.select("seq", F.lit(1).alias("k"), F.lit("   Neighbors:").alias("text"))) if neighbours else out
+
+
 def volume(decl: Column) -> Column:
     """The number of the printed volume a declination belongs to; 0 outside."""
     out = F.lit(0)

@@ -11,8 +11,12 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyloom.operators.order import numbered
 from skyloom.sources.fixed_width import Field, digits, leading_int, numbered_lines, parse, slice_
 
+#: The faintest magnitude that isn't a code, and the codes.
+FAINTEST, CODES = 12.1, {20.0: "nebula", 30.0: "variable", 40.0: "nova", 50.0: "cluster"}
+
 Triple = tuple[tuple[int, int], tuple[int, int], tuple[int, int] | None, float]
 
 
@@ -114,6 +118,21 @@ def stars(lines: DataFrame, name: str, value: str = "value") -> DataFrame:
     return out.filter(F.expr(table.keep))
 
 
+def magnitude_code(mag: Column) -> Column:
+    """What a printed magnitude over FAINTEST stands for: a code's name, or unknown, which no row should have; null for magnitudes."""
+    code = F.lit("unknown")
+    for value, name in CODES.items():
+        code = F.when(F.abs(mag - value) < 0.1, name).otherwise(code)
+    return F.when(mag > FAINTEST, code)
+
+
+def ascending(stars: DataFrame, south: str, zone: str, line: str, name: str = "place") -> DataFrame:
+    """``stars`` numbered from 0 by ascending zones, -1 and -0 before +0, and by their lines within one."""
+    rank = F.when(F.col(south), -1 - F.abs(zone)).otherwise(F.abs(zone))
+    keyed = stars.withColumn("_order", rank.cast("long") * (1 << 40) + F.col(line))
+    return numbered(keyed, ["_order"], name).withColumn(name, F.col(name) - 1).drop("_order")
+
+
 def read(spark: SparkSession, path: str, name: str) -> DataFrame:
     """A table's file, with the line number of each star."""
     return stars(numbered_lines(spark, path), name)
