@@ -2,6 +2,10 @@
 
 Each stage takes what the one before kept and returns documents; the last one returns their tokens. run()
 writes each stage's result to the shared folder and reads it again for the next.
+
+Cases: null, blank and short texts fail the quality rules; a null doc_id is kept like any other; of repeated rows one stays, as
+of near copies; texts of any length are read whole; an empty table gives no rows; other columns, whatever their names, go
+along unchanged up to the last stage.
 """
 
 from __future__ import annotations

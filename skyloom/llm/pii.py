@@ -355,21 +355,23 @@ def report(found: DataFrame) -> DataFrame:
 def mask(docs: DataFrame) -> DataFrame:
     """The rows and columns of ``docs`` with every span of ``text`` replaced by its kind in brackets; a null text stays null."""
 
+    i, t, added = C.free(docs, "_id", "_t", "_spans")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, spans = batch.column("text").to_pylist(), batch.column("_spans").to_pylist()
-            for i, found in enumerate(spans):
-                if found and texts[i] is not None:
-                    out, at, text = [], 0, texts[i]
+            texts, spans = batch.column("text").to_pylist(), batch.column(added).to_pylist()
+            for row, found in enumerate(spans):
+                if found and texts[row] is not None:
+                    out, at, text = [], 0, texts[row]
                     for s in sorted(found, key=lambda s: (s["lo"], -s["hi"])):
                         if s["lo"] >= at:
                             out += [text[at : s["lo"]], f"[{s['kind']}]"]
                         at = max(at, s["hi"])  # of overlapping spans all characters go
-                    texts[i] = "".join([*out, text[at:]])
-            keep = [n for n in batch.schema.names if n != "_spans"]
+                    texts[row] = "".join([*out, text[at:]])
+            keep = [n for n in batch.schema.names if n != added]
             yield pa.RecordBatch.from_arrays([pa.array(texts, pa.string()) if n == "text" else batch.column(n) for n in keep], names=keep)
 
-    found = detect(docs).filter(F.size("base") + F.size("added") > 0).select(F.col("doc_id").alias("_id"), F.col("t").alias("_t"), F.concat("base", "added").alias("_spans")).dropDuplicates(["_id", "_t"])
-    on = F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit(""))).eqNullSafe(F.col("_t")) & F.col("doc_id").cast("long").eqNullSafe(F.col("_id"))
-    joined = docs.join(found, on, "left").select(*[docs[c] for c in docs.columns], "_spans")
+    found = detect(docs).filter(F.size("base") + F.size("added") > 0).select(F.col("doc_id").alias(i), F.col("t").alias(t), F.concat("base", "added").alias(added)).dropDuplicates([i, t])
+    on = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).eqNullSafe(found[t]) & docs["doc_id"].cast("long").eqNullSafe(found[i])
+    joined = docs.join(found, on, "left").select(*[docs[c] for c in docs.columns], found[added])
     return joined.mapInArrow(run, docs.schema)

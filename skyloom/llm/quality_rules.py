@@ -4,9 +4,9 @@ Fixed rules reject what is never wanted (the base). The other thresholds follow
 mergeable quantile sketches of the document statistics are built by grouped aggregation, and a document is
 rejected where a statistic lies beyond an outer fence of its group, a far multiple of the spread between
 the quartiles behind the upper one. Groups with few documents take the fence of their language, and those
-of rare languages the one of all documents. The spread counts as SPREADS at least, so that groups whose
-quartiles are equal still have a fence beyond them; no fence is a constant. The thresholds are a small table that is joined with the
-documents' statistics (not their texts).
+of rare languages the one of all documents. The spread counts as SPREADS at least: a group whose quartiles are closer than that has its
+fence REACH times that floor behind the upper one, which for statistics that most documents have none of is the same
+fence everywhere. The thresholds are a small table that is joined with the documents' statistics (not their texts).
 
 Cases: a null or blank text has no words and fails the base rules; null lang or source form groups of their
 own; repeated rows get equal results; an empty table gives no rows; other columns are ignored.

@@ -136,11 +136,12 @@ def near_duplicates(docs: DataFrame, k: int = SHINGLE_WORDS, distance: int = DIS
 def keep_one(docs: DataFrame, **options: int) -> DataFrame:
     """The rows of ``docs`` without near duplicates: of each component the row with the least doc_id (nulls last) stays, unchanged."""
     found = near_duplicates(docs, **options)
+    i, t, n = C.free(docs, "_id", "_t", "_n")
     rows = found.groupBy("label").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "t")).alias("r"))
-    win = rows.select(F.col("r.doc_id").alias("_id"), F.col("r.t").alias("_t"))
-    counted = found.groupBy(F.col("doc_id").alias("_id"), F.col("t").alias("_t")).agg(F.count(F.lit(1)).alias("_n"))
-    win = win.alias("w").join(counted.alias("c"), F.expr("w._id <=> c._id and w._t = c._t")).select("w._id", "w._t", "_n")
-    on = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).eqNullSafe(win["_t"]) & docs["doc_id"].cast("long").eqNullSafe(win["_id"])
-    kept = C.shared_table(docs.join(win, on).select(*[docs[c] for c in docs.columns], "_t", "_n"), "simhash-kept")
-    single = kept.filter("_n = 1").drop("_t", "_n")
-    return single.unionByName(kept.filter("_n > 1").dropDuplicates(["doc_id", "_t"]).drop("_t", "_n"))
+    win = rows.select(F.col("r.doc_id").alias("w_id"), F.col("r.t").alias("w_t"))
+    counted = found.groupBy(F.col("doc_id").alias("c_id"), F.col("t").alias("c_t")).agg(F.count(F.lit(1)).alias(n))
+    win = win.join(counted, F.expr("w_id <=> c_id and w_t = c_t")).select(F.col("w_id").alias(i), F.col("w_t").alias(t), n)
+    on = F.xxhash64(F.coalesce(docs["text"].cast("string"), F.lit(""))).eqNullSafe(win[t]) & docs["doc_id"].cast("long").eqNullSafe(win[i])
+    kept = C.shared_table(docs.join(win, on).select(*[docs[c] for c in docs.columns], win[t], win[n]), "simhash-kept")
+    single = kept.filter(F.col(n) == 1).drop(t, n)
+    return single.unionByName(kept.filter(F.col(n) > 1).dropDuplicates(["doc_id", t]).drop(t, n))

@@ -4,7 +4,7 @@ import random
 import re
 from collections import Counter
 
-from skyloom.llm.quality_rules import judged, keep_good, quality_rules
+from skyloom.llm.quality_rules import MIN_GROUP, MIN_WORDS, REACH, SPREADS, judged, keep_good, quality_rules
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -57,3 +57,37 @@ def test_groups_decide(spark):
     got = {x.doc_id: x.kept for x in judged(spark.createDataFrame(rows, columns)).collect()}
     assert all(got[i] for i in range(600))
     assert [(got[1000 + 2 * k], got[1001 + 2 * k]) for k in range(len(odd))] == [(False, True)] * len(odd)
+
+
+def exact(values, q):
+    """The least value that a share q of the values doesn't exceed."""
+    return sorted(values)[max(0, -(-int(q * 1000) * len(values) // 1000) - 1)]
+
+
+def test_verdicts_by_exact_quantiles(spark):
+    """kept against fences from exact quantiles, by group where it is large enough, else by language, else over all."""
+    r = random.Random(21)
+    columns = "doc_id long, lang string, source string, t long, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_caps long"
+    rows = []
+    for g, (lang, source, n) in enumerate([("en", "a", 400), ("en", "b", 260), ("en", "c", 40), ("de", "a", 230), ("fr", "a", 20), (None, None, 15), ("de", None, 210)]):
+        for _ in range(n):
+            chars = 400 + r.randint(0, 20 * g + 20)
+            rows.append((len(rows), lang, source, 0, r.choice([20, 100, 100, 100]), chars, int(chars * r.choice([0, 0, 0.002 * g, 0.02, 0.05])), 20, r.choice([0, 0, 1, g, 9]), r.choice([0, 2, 3 * g, 40, 60]), r.randint(5, 5 + 4 * g)))
+    shares = {}
+    for i, lang, source, _, words, chars, symbols, lines, dup, repeat, caps in rows:
+        shares[i] = {"symbol_share": symbols / chars, "dup_line_share": dup / lines, "repeat_share": repeat / words, "caps_share": caps / chars, "word_length": chars / words}
+    base = {x[0]: x[4] < MIN_WORDS or 100 * x[9] > 50 * x[4] for x in rows}
+    fences = {}
+    for key in (lambda x: (x[1], x[2]), lambda x: x[1], lambda x: 0):
+        groups = {}
+        for x in rows:
+            if not base[x[0]]:
+                groups.setdefault(key(x), []).append(shares[x[0]])
+        for x in rows:
+            own = groups.get(key(x), [])
+            if x[0] not in fences and (len(own) >= MIN_GROUP or key(x) == 0 and isinstance(key(x), int)):
+                low, high = ({k: exact([s[k] for s in own], q) for k in SPREADS} for q in (0.25, 0.75))
+                fences[x[0]] = {k: high[k] + REACH * max(SPREADS[k], high[k] - low[k]) for k in SPREADS}
+    want = {i: not base[i] and all(shares[i][k] <= fences[i][k] for k in SPREADS) for i in shares}
+    got = {x.doc_id: x.kept for x in judged(spark.createDataFrame(rows, columns).repartition(4)).collect()}
+    assert got == want and 100 < sum(want.values()) < len(rows) - sum(base.values())

@@ -22,7 +22,7 @@ def test_held_out_and_sites(spark):
         truth[i] = (bad, toxic)
         if i % 3:
             labels.append((i, int(not bad), int(toxic)))
-    rows += [(2000, None, "h0", "en"), (2001, "", None, None), (None, "plain", "h9", None), (3, rows[3][1], rows[3][2], rows[3][3])]
+    rows += [(2000, None, "h0", "en"), (2001, "", None, None), (None, "plain", "h9", None), (2002, "plain words " * 80_000 + "x" * 300_000, "h1", "en"), (3, rows[3][1], rows[3][2], rows[3][3])]
     labels += [(None, 0, 1), (9999, 0, 1), (4, None, None), labels[0]]
     docs = spark.createDataFrame([(*x, "c") for x in rows], "doc_id long, text string, source string, lang string, host string").repartition(4)
     lab = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
@@ -33,7 +33,7 @@ def test_held_out_and_sites(spark):
     held = [i for i in range(1500) if i % 3 == 0]
     wrong = [i for i in held if (got[i][0].p_low_quality >= 0.5, got[i][0].p_toxic >= 0.5) != truth[i]]
     assert len(wrong) <= 0.02 * len(held), len(wrong)
-    assert got[2000][0].kept and got[2001][0].kept and got[None][0].kept
+    assert got[2002][0].kept and got[2000][0].kept and got[2001][0].kept and got[None][0].kept
     assert [x.kept for x in S.classify(docs.limit(50), lab.limit(0)).collect()] == [True] * 50
     assert S.classify(docs.limit(0), lab).collect() == []
 
