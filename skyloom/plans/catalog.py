@@ -169,8 +169,11 @@ def _split(select: str) -> list[str]:
 @query("""SELECT a.line, a.value AS name, b.value AS price FROM (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, o_orderpriority AS value FROM orders) a
   JOIN (SELECT row_number() OVER (ORDER BY o_orderkey) AS line, o_orderstatus AS value FROM orders) b USING (line)""")
 def zip_join_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = t(spark, sf_dir, "orders")
+    cuts = order.bounds(orders, "o_orderkey")
+
     def lines(column: str, name: str) -> DataFrame:
-        return order.numbered(t(spark, sf_dir, "orders").select("o_orderkey", F.col(column).alias(name)), ["o_orderkey"]).drop("o_orderkey")
+        return order.numbered(orders.select("o_orderkey", F.col(column).alias(name)), ["o_orderkey"], cuts=cuts).drop("o_orderkey")
 
     return lines("o_orderpriority", "name").join(lines("o_orderstatus", "price"), "line")
 
@@ -705,8 +708,10 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, last_value(mag IGNORE NULLS) OVER w AS carried, coalesce(max(CASE WHEN event_id % 49 = 0 THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS second_part FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = A.carry_forward(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], "mag", "carried")
-    return A.seen_before(rows, ["user_id"], ["ts", "event_id"], F.expr("event_id % 49 = 0"), "second_part").select("event_id", "carried", "second_part")
+    events = _events(spark, sf_dir)
+    cuts = order.bounds(events, "ts")
+    rows = A.carry_forward(events, ["user_id"], ["ts", "event_id"], "mag", "carried", cuts=cuts)
+    return A.seen_before(rows, ["user_id"], ["ts", "event_id"], F.expr("event_id % 49 = 0"), "second_part", cuts=cuts).select("event_id", "carried", "second_part")
 
 
 @query("SELECT user_id, event_id, prev FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) WHERE prev IS NOT NULL AND event_id - prev > 50")
