@@ -255,8 +255,8 @@ def repeated_windows(docs: DataFrame, kind: Kind, solver: Callable, label: str)
 
 
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """docs with ``spans``, the list of (lo, hi) of each row; null where there is none."""
-    lists = spans.groupBy("doc_id", "t").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    """docs with ``spans``, the different (lo, hi) of each row, which repeated rows share; null where there is none."""
+    lists = spans.groupBy("doc_id", "t").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
     d, s = docs.alias("d"), lists.alias("s")
     on = F.col("d.t").eqNullSafe(F.col("s.t")) & F.col("d.doc_id").eqNullSafe(F.col("s.doc_id"))
     return d.join(s, on, "left").select("d.doc_id", "d.text", "s.spans")
