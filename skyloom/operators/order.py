@@ -63,11 +63,19 @@ def _key(by: list[str]) -> Column:
 
 def last_known(rows: DataFrame, by: list[str], order: list[str], value: Column, out: str, inclusive: bool = True, stretches: int = STRETCHES, cuts: list | None = None) -> DataFrame:
     """``rows`` with the latest non-null ``value`` of the key up to each row (``inclusive``) or before it; null where none came."""
-    cut = _cut(rows, order, stretches, cuts).withColumns({"_k": _key(by), "_v": value})
-    window = Window.partitionBy("_k", "_s").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
-    state = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct(*order)))
-    done = _carried(cut, state, lambda c: F.last(c, ignorenulls=True), F.last("_v", ignorenulls=True).over(window), F.coalesce)
-    return done.withColumn(out, F.col("_in")).drop("_k", "_s", "_v", "_in")
+    return all_last_known(rows, by, order, {out: (value, inclusive)}, stretches, cuts)
+
+
+def all_last_known(rows: DataFrame, by: list[str], order: list[str], values: dict[str, tuple[Column, bool]], stretches: int = STRETCHES, cuts: list | None = None) -> DataFrame:
+    """last_known() of several values (column: value, inclusive) by one shuffle of the rows."""
+    cut = _cut(rows, order, stretches, cuts).withColumns({"_k": _key(by), **{f"_v{i}": v for i, (v, _) in enumerate(values.values())}})
+    sorted_ = Window.partitionBy("_k", "_s").orderBy(*order)
+    own = [F.last(f"_v{i}", ignorenulls=True).over(sorted_.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)) for i, (_, inclusive) in enumerate(values.values())]
+    left = [F.max_by(f"_v{i}", F.when(F.col(f"_v{i}").isNotNull(), F.struct(*order))).alias(f"_left{i}") for i in range(len(values))]
+    earlier = Window.partitionBy("_k").orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    states = cut.groupBy("_k", "_s").agg(*left).select("_k", "_s", *[F.last(f"_left{i}", ignorenulls=True).over(earlier).alias(f"_before{i}") for i in range(len(values))])
+    done = cut.select("*", *[w.alias(f"_own{i}") for i, w in enumerate(own)]).join(states, ["_k", "_s"])
+    return done.select(*[c for c in rows.columns if c not in values], *[F.coalesce(f"_own{i}", f"_before{i}").alias(out) for i, out in enumerate(values)])
 
 
 def least_before(rows: DataFrame, by: list[str], order: list[str], value: str, out: str, stretches: int = STRETCHES, cuts: list | None = None) -> DataFrame:

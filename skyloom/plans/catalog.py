@@ -708,10 +708,9 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"SELECT event_id, last_value(mag IGNORE NULLS) OVER w AS carried, coalesce(max(CASE WHEN event_id % 49 = 0 THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) = 1, false) AS second_part FROM ({_EV}) WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)")
 def carry_forward(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = _events(spark, sf_dir)
-    cuts = order.bounds(events, "ts")
-    rows = A.carry_forward(events, ["user_id"], ["ts", "event_id"], "mag", "carried", cuts=cuts)
-    return A.seen_before(rows, ["user_id"], ["ts", "event_id"], F.expr("event_id % 49 = 0"), "second_part", cuts=cuts).select("event_id", "carried", "second_part")
+    states = {"carried": (F.col("mag"), True), "second": (F.expr("CASE WHEN event_id % 49 = 0 THEN true END"), False)}
+    rows = order.all_last_known(_events(spark, sf_dir), ["user_id"], ["ts", "event_id"], states)
+    return rows.select("event_id", "carried", F.coalesce("second", F.lit(False)).alias("second_part"))
 
 
 @query("SELECT user_id, event_id, prev FROM (SELECT user_id, event_id, lag(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS prev FROM events) WHERE prev IS NOT NULL AND event_id - prev > 50")
