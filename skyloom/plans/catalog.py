@@ -351,7 +351,7 @@ _NB = f"SELECT a.id, a.mag, b.id AS other, {_D2} AS d2 FROM stars a JOIN stars b
 
 @query(SKY_SQL + f"SELECT id, count(*) AS n, round({sky.arcsec('min(d2)')}, 2) AS dist FROM ({_NB}) GROUP BY id")
 def neighbour_count(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return J.neighbours(stars(spark, sf_dir), _CLOSE).select("id", "n", _r("dist", 2, "dist"))
+    return J.neighbour_counts(stars(spark, sf_dir), _CLOSE).select("id", "n", _r("dist", 2, "dist"))
 
 
 @query(SKY_SQL + f", nb AS (SELECT id, count(*) AS n, min(other) AS other, min(d2) AS d2 FROM ({_NB}) GROUP BY id HAVING count(*) = 1 AND {sky.arcsec('min(d2)')} < 3000), p AS (SELECT a.id AS i, b.id AS j, x.mag AS mi, y.mag AS mj, {sky.arcsec('a.d2')} AS dist FROM nb a JOIN nb b ON a.other = b.id AND b.other = a.id AND a.id < b.id JOIN stars x ON x.id = a.id JOIN stars y ON y.id = b.id WHERE x.mag BETWEEN 3 AND 8 AND y.mag BETWEEN 3 AND 8) SELECT CASE WHEN mj < mi THEN j ELSE i END AS id1, CASE WHEN mj < mi THEN i ELSE j END AS id2, least(mi, mj) AS mag1, greatest(mi, mj) AS mag2, round(dist, 2) AS dist FROM p")
