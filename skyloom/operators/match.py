@@ -289,7 +289,7 @@ def second_look(rows: DataFrame, table: DataFrame, note: int = 1) -> DataFrame:
 def reference_limits(rows: DataFrame, table: DataFrame, limit: float, mag_limit: float | None) -> DataFrame:
     """Rows (id, place, mag, number) against the star of ``table`` (number, place, mag) that they name: place is absent, far or ok; mag is whether the magnitudes differ by more than the limit."""
     stars = table.groupBy("number").agg(F.min_by(F.struct("mag", "x", "y", "z"), "star").alias("o"))
-    both = rows.join(stars, "number", "left").withColumn("dist", F.when(F.col("o").isNotNull(), F.expr(sky.arcsec(sky.chord_squared("", "o.")))))
+    both = rows.join(stars, "number", "left").withColumn("dist", F.when(F.col("o").isNotNull(), sky.arcsec_c(F.expr(sky.chord_squared("", "o.")))))
     place = F.when(F.col("o").isNull(), "absent").when(F.col("dist") > limit, "far").otherwise("ok")
     unlike = F.lit(False) if mag_limit is None else F.coalesce(F.abs(F.col("mag") - F.col("o.mag")) > mag_limit, F.lit(False))
     return both.select("id", "number", place.alias("place"), "dist", unlike.alias("mag_differs"))

@@ -68,13 +68,20 @@ def _vec(sql: str) -> str:
 SKY_SQL = f"WITH stars AS ({_vec(_STAR)}), twins AS ({_vec(_TWIN)}) "
 
 
+def _orders(spark: SparkSession, sf_dir: str, *more: str) -> DataFrame:
+    """id, ra, dec, mag of orders as stars, and ``more``: the SQL's places to the last digit, because twins lie just at the limits of searches."""
+    dec = F.degrees(sky.asin_c(F.expr(f"2.0D * {_W} - 1.0D")))
+    return t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_RA).alias("ra"), dec.alias("dec"), F.expr(_MAG).alias("mag"), *more)
+
+
 def stars(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sky.with_vector(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_RA).alias("ra"), F.expr(_DEC).alias("dec"), F.expr(_MAG).alias("mag"), "o_custkey"))
+    return sky.placed(_orders(spark, sf_dir, "o_custkey"))
 
 
 def twins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dec = f"CASE WHEN {_DEC} > 0 THEN {_DEC} - {_OFF} / 3600.0D ELSE {_DEC} + {_OFF} / 3600.0D END"
-    return sky.with_vector(t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.expr(_RA).alias("ra"), F.expr(dec).alias("dec"), F.expr("1.0D + ((o_orderkey + o_orderkey % 5) % 110) / 10.0D").alias("mag")))
+    off = _OFF.replace("o_orderkey", "id")
+    moved = _orders(spark, sf_dir).withColumn("dec", F.expr(f"CASE WHEN dec > 0 THEN dec - {off} / 3600.0D ELSE dec + {off} / 3600.0D END"))
+    return sky.placed(moved.withColumn("mag", F.expr("1.0D + ((id + id % 5) % 110) / 10.0D")))
 
 
 def _r(e: str | F.Column, n: int, name: str) -> F.Column:
