@@ -64,7 +64,7 @@ def constellation_b1875(spark: SparkSession, sf_dir: str) -> DataFrame:
     zones = t(spark, sf_dir, "nation").selectExpr("n_nationkey", "n_name AS name", f"{lo} AS lo", "CASE WHEN n_nationkey >= 20 THEN -90.0D ELSE 66 - 36 * (n_nationkey div 5) - n_nationkey % 5 * 5.0D END AS dec_lo", "explode(array(0, 1)) AS part").filter("part = 0 OR lo + 72 > 360")
     zones = zones.selectExpr("n_nationkey * 2 + part AS row", "name", "IF(part = 0, lo, 0.0D) AS ra_lo", "IF(part = 0, least(lo + 72, 360.0D), lo + 72 - 360) AS ra_hi", "dec_lo")
     p = sky.to_fk4(stars(spark, sf_dir).select("id", "ra", "dec"), "ra", "dec", 1875.0, 1875.0)
-    ra, dec = sky.ra_dec("x", "y", "z")
+    ra, dec = sky.turned_place("x", "y", "z")
     return J.zoned(p.select("id", F.expr(ra).alias("ra"), F.expr(dec).alias("dec")), zones)
 
 
