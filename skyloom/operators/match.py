@@ -22,6 +22,8 @@ THRESHOLDS = {
 STEP, CROWD, FINEST = 4, 256, 1e-8
 #: Cubes are so many times as wide as the chord of the radius.
 WIDTH = 4
+#: Rows within the radius that the first band of magnitudes has for a place, and how the bands grow.
+SEEN, GROWTH = 4, 8
 
 
 def chord(radius: float) -> float:
@@ -67,6 +69,32 @@ def nearest(left: DataFrame, right: DataFrame, radius: float, key: list[str], or
     return out.select(*[f"l_{k}" for k in key], "d2", *[c for c in (*l.columns, *r.columns) if c not in {f"l_{k}" for k in key}], F.expr(sky.arcsec("d2")).alias("dist"))
 
 
+def brightest(left: DataFrame, right: DataFrame, radius: float, key: str, order: str) -> DataFrame:
+    """key, match, mag, d2: each left row's brightest right row within ``radius``; ties go to the nearer one, then to the least ``order``; unknown magnitudes come last.
+
+    The right rows are taken in bands of magnitude, the brightest first and each GROWTH times as many as the band before. The first holds some
+    SEEN rows within the radius of a place (by the area), so most rows find theirs there; only rows without a match go on to the next
+    band, whose rows are all fainter. No row meets all that are within its radius.
+    """
+    rows = left.select(key, "x", "y", "z")
+    stars = right.select(F.col(order).alias("match"), "mag", F.coalesce(F.col("mag").cast("double"), F.lit(math.inf)).alias("m"), "x", "y", "z")
+    expected = right.count() * chord(radius) ** 2 / 4
+    shares = [SEEN / expected * GROWTH**k for k in range(64)] if expected > SEEN else []
+    shares = [s for s in shares if s < 1]
+    cuts = sorted(set(stars.select(F.percentile_approx("m", F.array(*map(F.lit, shares)), 10000)).first()[0] or [])) if shares else []
+    found = None
+    for low, high in zip([None, *cuts], [*cuts, None]):
+        band = stars if low is None else stars.filter(F.col("m") > low)
+        pairs = within(rows, band if high is None else band.filter(F.col("m") <= high), radius)
+        best = pairs.groupBy(F.col(f"l_{key}").alias(key)).agg(F.min(F.struct("r_m", "d2", "r_match", "r_mag")).alias("b"))
+        best = best.select(key, F.col("b.r_match").alias("match"), F.col("b.r_mag").alias("mag"), F.col("b.d2").alias("d2"))
+        if high is not None:
+            best = shared_table(best, "brightest", small=True)
+            rows = rows.join(best.select(key).hint("merge"), key, "left_anti")
+        found = best if found is None else found.unionByName(best)
+    return found
+
+
 def id_nearest(left: DataFrame, right: DataFrame, keys: list[str], row: str, order: str) -> DataFrame:
     """Equi-join on an identifier; among duplicates the nearest. Adds r_ columns and dist; a miss drops the row."""
     l = left.select(*[F.col(c).alias(c if c in keys else f"l_{c}") for c in left.columns])  # noqa: E741
@@ -206,12 +234,27 @@ def pairs_once(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
     return pairs.select("a", "b", F.expr(sky.chord_squared("l_", "r_")).alias("d2")).filter(F.col("d2") < h * h)
 
 
+def _ends(stars: DataFrame, radius: float, key: str) -> DataFrame:
+    """key, d2 and o, the other star, for both stars of each pair."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("o")), F.struct(F.col("b").alias("k"), F.col("a").alias("o"))))
+    return pairs_once(stars, radius, key).select("d2", ends.alias("e")).select(F.col("e.k").alias(key), "d2", F.col("e.o").alias("o"))
+
+
 def neighbours(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
     """For each star with a neighbour: how many within the radius, the nearest (of least key on ties) and its distance."""
     out = _ends(stars, radius, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("d2", "o")).alias("b"))
     return out.select(key, "n", F.col("b.o").alias("nearest"), F.expr(sky.arcsec("b.d2")).alias("dist"))
 
 
+def neighbour_counts(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
+    """For each star with a neighbour: how many within the radius, the least distance, and the neighbour of least key.
+
+    Numbers only, so pairs are summed up in a hash table where they are found; a struct's minimum would sort them all first.
+    """
+    out = _ends(stars, radius, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("d2").alias("d2"), F.min("o").alias("least"))
+    return out.select(key, "n", "least", F.expr(sky.arcsec("d2")).alias("dist"))
+
+
 def isolated_doubles(stars: DataFrame, radius: float, closest: float, low: float = 3.0, high: float = 8.0) -> DataFrame:
     """Pairs that are each other's only neighbour within ``radius`` and closer than ``closest``, both of middling magnitude; the brighter first."""
     one = neighbour_counts(stars, radius).filter((F.col("n") == 1) & (F.col("dist") < closest)).withColumnRenamed("least", "nearest")
@@ -232,12 +275,6 @@ def nearest_with_margin(left: DataFrame, right: DataFrame, radius: float, key: s
 
 def staged(rows: DataFrame, key: str, stages: list[tuple[str, DataFrame, float, str, float | None]]) -> DataFrame:
     """key, source, match, dist: the first stage that finds a row's match names it.
-def _ends(stars: DataFrame, radius: float, key: str) -> DataFrame:
-    """key, d2 and o, the other star, for both stars of each pair."""
-    ends = F.explode(F.array(F.struct(F.col("a").alias("k"), F.col("b").alias("o")), F.struct(F.col("b").alias("k"), F.col("a").alias("o"))))
-    return pairs_once(stars, radius, key).select("d2", ends.alias("e")).select(F.col("e.k").alias(key), "d2", F.col("e.o").alias("o"))
-
-
 
     A stage is (name, table with id and place, radius, condition on rows, margin); with a margin the table's order has a say, else the
     nearest counts. Each stage joins its own table with only the rows that no stage before it named, and its matches are
@@ -246,15 +283,6 @@ def _ends(stars: DataFrame, radius: float, key: str) -> DataFrame:
     rest, found = rows, []
     for name, table, radius, condition, margin in stages:
         some = rest.filter(condition)
-def neighbour_counts(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
-    """For each star with a neighbour: how many within the radius, the least distance, and the neighbour of least key.
-
-    Numbers only, so pairs are summed up in a hash table where they are found; a struct's minimum would sort them all first.
-    """
-    out = _ends(stars, radius, key).groupBy(key).agg(F.count(F.lit(1)).alias("n"), F.min("d2").alias("d2"), F.min("o").alias("least"))
-    return out.select(key, "n", "least", F.expr(sky.arcsec("d2")).alias("dist"))
-
-
         if margin is None:
             hits = nearest(some.select(key, "x", "y", "z"), table.select("id", "x", "y", "z"), radius, [key], "id").select(F.col(f"l_{key}").alias(key), F.col("r_id").alias("match"), "dist")
         else:

@@ -368,9 +368,7 @@ def isolated_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(SKY_SQL + f"SELECT id, match_id, mag FROM (SELECT a.id, b.id AS match_id, b.mag, row_number() OVER (PARTITION BY a.id ORDER BY b.mag, {_D2}, b.id) AS k FROM stars a JOIN twins b ON {_BAND(3600.0)} AND {_D2} < {_H2(3600.0)}) WHERE k = 1")
 def brightest_in_radius(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = J.within(stars(spark, sf_dir), twins(spark, sf_dir), 3600.0)
-    best = pairs.groupBy("l_id").agg(F.min(F.struct("r_mag", "d2", "r_id")).alias("b"))
-    return best.select(F.col("l_id").alias("id"), F.col("b.r_id").alias("match_id"), F.col("b.r_mag").alias("mag"))
+    return J.brightest(stars(spark, sf_dir), twins(spark, sf_dir), 3600.0, "id", "id").select("id", F.col("match").alias("match_id"), "mag")
 
 
 # ---------------------------------------------------------------- identifier joins
