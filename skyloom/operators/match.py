@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyloom.functions import sky
 from skyloom.operators.order import fold, least_before
-from skyloom.plans.lineage import shared_table
+from skyloom.plans.lineage import release, shared_table
 
 #: Position (arcsec) and magnitude limits by comparison.
 THRESHOLDS = {
@@ -22,6 +22,8 @@ THRESHOLDS = {
 STEP, CROWD, FINEST = 4, 256, 1e-8
 #: Cubes are so many times as wide as the chord of the radius.
 WIDTH = 4
+#: Rows that nearest_anywhere() takes at a time.
+PORTION = 1_500_000
 #: Rows within the radius that the first band of magnitudes has for a place, and how the bands grow.
 SEEN, GROWTH = 4, 8
 
@@ -159,7 +161,8 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, key: str, order: str) ->
     grow for the rows that have no match yet only: a row looks at the 27 cubes around it, level by level, until the nearest known
     place there is no farther than a cube is wide, for then no other cube can hold a nearer one. From that level its
     cubes are followed down, and those that begin behind the best known place are dropped, until the places themselves.
-    Each step is an equi-join on cubes and a grouped minimum by row; no row meets a whole table.
+    Each step is an equi-join on cubes and a grouped minimum by row; no row meets a whole table. Rows go through some PORTION at a time, and
+    what a portion's steps have written is deleted behind it, so the disk holds one portion's steps and not those of all rows.
     """
     points = _placed(right).groupBy(*[F.col(c).cast("double").alias(c) for c in "xyz"]).agg(F.min(order).alias("match"))
     points = shared_table(points, "nearest-points", small=True)
@@ -188,33 +191,52 @@ def nearest_anywhere(left: DataFrame, right: DataFrame, key: str, order: str) ->
 
     to = lambda p: F.expr(" + ".join(f"({p}{c} - l{c}) * ({p}{c} - l{c})" for c in "xyz"))
     bound = lambda df, w: df.withColumn("best", F.min("d2").over(Window.partitionBy("k"))).filter(gap("c", w) <= F.col("best") * (1 + 1e-9) + 1e-24)
-    open_rows, at = rows, {}
-    for i in range(start, len(widths)):
-        w = widths[i]
-        around = open_rows
-        for c in "xyz":
-            around = around.withColumn(f"c{c}", F.explode(F.sequence(*[F.floor(F.col(f"l{c}") / w) + s for s in (-1, 1)])))
-        met = around.join(levels[i].select("cx", "cy", "cz", "p"), ["cx", "cy", "cz"]).withColumn("d2", to("p."))
-        met = bound(met.drop("p"), w)
-        done = met if i == len(widths) - 1 else met.filter(F.col("best") <= w * w)
-        at[i] = shared_table(done.select("k", "lx", "ly", "lz", "cx", "cy", "cz"), "nearest-rings", small=True)
-        left_over = open_rows.join(at[i].select("k").distinct(), "k", "left_anti")
-        if i < len(widths) - 1:
-            open_rows = shared_table(left_over, "nearest-open", small=True)
-            if open_rows.isEmpty():
-                break
-    held = at.pop(max(at))
-    level = i
-    while level:
-        level -= 1
-        w = widths[level]
-        below = levels[level].select("cx", "cy", "cz", "p", *[F.floor(F.col(f"c{c}") / STEP).alias(f"u{c}") for c in "xyz"])
-        up = held.select("k", "lx", "ly", "lz", *[F.col(f"c{c}").alias(f"u{c}") for c in "xyz"])
-        down = bound(up.join(below, ["ux", "uy", "uz"]).withColumn("d2", to("p.")).drop("p"), w).select("k", "lx", "ly", "lz", "cx", "cy", "cz")
-        held = shared_table(down.unionByName(at.pop(level)) if level in at else down, "nearest-held", small=True)
-    cubes = points.withColumns({f"c{c}": F.floor(F.col(c) / widths[0]) for c in "xyz"})
-    met = held.join(cubes, ["cx", "cy", "cz"]).withColumn("d2", to("")).groupBy("k").agg(F.min(F.struct("d2", "match")).alias("b"))
-    return met.select(F.col("k").alias(key), F.col("b.match").alias("match"), F.col("b.d2").alias("d2"), F.expr(sky.arcsec("b.d2")).alias("dist"))
+    made: list[DataFrame] = []
+
+    def keep(df: DataFrame, label: str) -> DataFrame:
+        made.append(shared_table(df, label, small=True))
+        return made[-1]
+
+    def matched(some: DataFrame) -> DataFrame:
+        open_rows, at = some, {}
+        for i in range(start, len(widths)):
+            w = widths[i]
+            around = open_rows
+            for c in "xyz":
+                around = around.withColumn(f"c{c}", F.explode(F.sequence(*[F.floor(F.col(f"l{c}") / w) + s for s in (-1, 1)])))
+            met = around.join(levels[i].select("cx", "cy", "cz", "p").hint("merge"), ["cx", "cy", "cz"]).withColumn("d2", to("p."))
+            met = bound(met.drop("p"), w)
+            done = met if i == len(widths) - 1 else met.filter(F.col("best") <= w * w)
+            at[i] = keep(done.select("k", "lx", "ly", "lz", "cx", "cy", "cz"), "nearest-rings")
+            left_over = open_rows.join(at[i].select("k").distinct().hint("merge"), "k", "left_anti")
+            if i < len(widths) - 1:
+                open_rows = keep(left_over, "nearest-open")
+                if open_rows.isEmpty():
+                    break
+        held = at.pop(max(at))
+        level = i
+        while level:
+            level -= 1
+            w = widths[level]
+            below = levels[level].select("cx", "cy", "cz", "p", *[F.floor(F.col(f"c{c}") / STEP).alias(f"u{c}") for c in "xyz"])
+            up = held.select("k", "lx", "ly", "lz", *[F.col(f"c{c}").alias(f"u{c}") for c in "xyz"])
+            down = bound(up.join(below.hint("merge"), ["ux", "uy", "uz"]).withColumn("d2", to("p.")).drop("p"), w).select("k", "lx", "ly", "lz", "cx", "cy", "cz")
+            held = keep(down.unionByName(at.pop(level)) if level in at else down, "nearest-held")
+        cubes = points.withColumns({f"c{c}": F.floor(F.col(c) / widths[0]) for c in "xyz"})
+        met = held.join(cubes.hint("merge"), ["cx", "cy", "cz"]).withColumn("d2", to("")).groupBy("k").agg(F.min(F.struct("d2", "match")).alias("b"))
+        return met
+
+    count = -(-rows.count() // PORTION)
+    rows = shared_table(rows.withColumn("portion", F.pmod(F.xxhash64("k"), F.lit(max(1, count)))), "nearest-rows", by="portion")
+    found = None
+    for i in range(max(1, count)):
+        one = shared_table(matched(rows.filter(F.col("portion") == i).drop("portion")), "nearest-found")
+        found = one if found is None else found.unionByName(one)
+        while made:
+            release(made.pop())
+    for done in (rows, points, *levels):
+        release(done)
+    return found.select(F.col("k").alias(key), F.col("b.match").alias("match"), F.col("b.d2").alias("d2"), F.expr(sky.arcsec("b.d2")).alias("dist"))
 
 
 def pairs_once(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:

@@ -89,3 +89,22 @@ def test_brightest_by_bands(spark):
         J.SEEN = seen
     assert {x.id: x.match for x in J.brightest(a, b, 3600.0, "id", "id").collect()} == want
     assert J.brightest(a, b.limit(0), 3600.0, "id", "id").count() == 0
+
+
+def test_nearest_anywhere_in_portions(spark):
+    from skyloom.plans import lineage
+
+    r = random.Random(12)
+    place = lambda n, low: [(i, r.uniform(0, 360), r.uniform(low, 90)) for i in range(n)]
+    a = sky.with_vector(spark.createDataFrame(place(120, -90), "id long, ra double, dec double"))
+    b = sky.with_vector(spark.createDataFrame(place(60, 40), "no long, ra double, dec double"))
+    right, kept = b.collect(), set(lineage._kept)
+    portion, J.PORTION = J.PORTION, 60
+    try:
+        got = J.nearest_anywhere(a, b, "id", "no").collect()
+    finally:
+        J.PORTION = portion
+    want = {p.id: min((sum((u - v) ** 2 for u, v in zip((p.x, p.y, p.z), (q.x, q.y, q.z))), q.no) for q in right)[1] for p in a.collect()}
+    assert {x.id: x.match for x in got} == want and len(got) == 120
+    # only the portions' results are left on disk
+    assert [p.rsplit("/", 1)[1].startswith("nearest-found") for p in set(lineage._kept) - kept] == [True, True]
