@@ -38,6 +38,16 @@ def fit_quadratic(points: DataFrame, x: str, y: str, w: str, by: list[str] = ())
     return s.select(*by, "n", "centre", *[F.expr(f"{det(col(k))} / nullif({det(base)}, 0)").alias(c) for k, c in enumerate("abc")])
 
 
+def ordered_fold(rows: DataFrame, key: str, order: str, fields: list[str], better: str) -> DataFrame:
+    """Fold the rows of a key in order: ``better`` says, over structs c (current) and x (next), when x takes over.
+
+    A key's rows must fit a task's memory; order.fold() streams them.
+    """
+    lists = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias("a"))
+    out = lists.withColumn("f", F.expr(f"aggregate(slice(a, 2, greatest(size(a) - 1, 0)), a[0], (c, x) -> CASE WHEN {better} THEN x ELSE c END)"))
+    return out.select(key, F.col(f"f.{order}").alias(order), *[F.col(f"f.{c}").alias(c) for c in fields])
+
+
 def carry_forward(rows: DataFrame, by: list[str], order: list[str], value: str, out: str, **cut: int) -> DataFrame:
     """The latest known value up to each row; a key's rows run in stretches."""
     return last_known(rows, by, order, F.col(value), out, **cut)
