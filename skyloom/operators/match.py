@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import math
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from skyloom.functions import sky
 from skyloom.operators.order import fold, least_before
@@ -22,8 +24,10 @@ THRESHOLDS = {
 STEP, CROWD, FINEST = 4, 256, 1e-8
 #: Cubes are so many times as wide as the chord of the radius.
 WIDTH = 4
-#: Rows that nearest_anywhere() takes at a time.
-PORTION = 1_500_000
+#: Rows that nearest_anywhere() takes at a time, and rows of a block on average.
+PORTION, BLOCK = 1_500_000, 1024
+#: Cubes at most that the top of a pyramid has.
+TOP = 64
 #: Rows within the radius that the first band of magnitudes has for a place, and how the bands grow.
 SEEN, GROWTH = 4, 8
 
@@ -165,86 +169,176 @@ def cascade(df: DataFrame, levels: list[tuple[str, Column, Column]]) -> DataFram
 def nearest_anywhere(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
     """key, match (the ``order`` of the nearest right row, the least on ties), d2, dist for every left row with a place, however far.
 
-    The right places form a pyramid of cubes, each level STEP times as wide as the one below; a cube knows one of its places. Rings
-    grow for the rows that have no match yet only: a row looks at the 27 cubes around it, level by level, until the nearest known
-    place there is no farther than a cube is wide, for then no other cube can hold a nearer one. From that level its
-    cubes are followed down, and those that begin behind the best known place are dropped, until the places themselves.
-    Each step is an equi-join on cubes and a grouped minimum by row; no row meets a whole table. Rows go through some PORTION at a time, and
-    what a portion's steps have written is deleted behind it, so the disk holds one portion's steps and not those of all rows.
+    The right places form a pyramid of cubes, each level STEP times as wide as the one below; a cube knows the box of its places and one of
+    them. The left rows form blocks of some BLOCK rows each, and a block knows the box of its rows. From the top of the pyramid blocks
+    follow cubes down to the places; a cube or place is dropped where one known place is nearer to all of the block's box. So the
+    joins see blocks, not rows, and no row meets a whole table. At last rows and the places that are left for their block stream
+    through partitions sorted by block, PORTION rows at a time, so the disk holds one portion's shuffle.
     """
-    points = _placed(right).groupBy(*[F.col(c).cast("double").alias(c) for c in "xyz"]).agg(F.min(order).alias("match"))
+    points = _known(right).groupBy(*[F.col(c).cast("double").alias(c) for c in "xyz"]).agg(F.min(order).alias("match"))
     points = shared_table(points, "nearest-points", small=True)
     n = points.count()
-    rows = _placed(left).select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(f"l{c}") for c in "xyz"])
+    rows = _known(left).select(F.col(key).alias("k"), *[F.col(c).cast("double").alias(c) for c in "xyz"])
     if not n:
         return rows.select(F.col("k").alias(key), F.lit(None).cast(points.schema["match"].dataType).alias("match"), F.lit(None).cast("double").alias("d2"), F.lit(None).cast("double").alias("dist")).limit(0)
-    width = min(1.0, math.sqrt(4 * math.pi / n)) / STEP
-    levels = [points.select(*[F.floor(F.col(c) / width).alias(f"c{c}") for c in "xyz"], *"xyz", F.lit(1).cast("long").alias("n")).groupBy("cx", "cy", "cz").agg(F.min(F.struct(*"xyz")).alias("p"), F.count(F.lit(1)).alias("n"))]
-    levels = [shared_table(levels[0], "nearest-cubes", small=True)]
-    widths = [width]
+    cube = lambda w: {f"c{c}": F.floor(F.col(c) / w) for c in "xyz"}
+    ends = [f(f"{c}{end}").alias(f"{c}{end}") for c in "xyz" for end, f in (("0", F.min), ("1", F.max))]
+    single = points.select(*[F.col(c).alias(f"{c}{end}") for c in "xyz" for end in "01"], F.struct(*"xyz").alias("p"), F.lit(1).cast("long").alias("n"), "match", *"xyz")
+    level = lambda df: df.groupBy("cx", "cy", "cz").agg(F.min("p").alias("p"), F.sum("n").alias("n"), *ends)
+    widths = [min(1.0, math.sqrt(4 * math.pi / n))]
+    levels = [shared_table(level(single.withColumns(cube(widths[0]))), "nearest-cubes", small=True)]
     while levels[0].agg(F.max("n")).first()[0] > CROWD and widths[0] > FINEST:  # crowded places get finer cubes
         widths.insert(0, widths[0] / STEP)
-        finer = points.select(*[F.floor(F.col(c) / widths[0]).alias(f"c{c}") for c in "xyz"], *"xyz").groupBy("cx", "cy", "cz").agg(F.min(F.struct(*"xyz")).alias("p"), F.count(F.lit(1)).alias("n"))
-        levels.insert(0, shared_table(finer, "nearest-cubes", small=True))
-    start = len(widths) - 1
-    while widths[-1] < 2:
-        up = levels[-1].groupBy(*[F.floor(F.col(f"c{c}") / STEP).alias(f"c{c}") for c in "xyz"]).agg(F.min("p").alias("p"), F.sum("n").alias("n"))
-        levels.append(shared_table(up, "nearest-cubes", small=True))
-        widths.append(widths[-1] * STEP)
-
-    def gap(cube: str, w: float) -> Column:
-        """The squared distance from the row's place to a cube."""
-        side = lambda c: F.greatest(F.lit(0.0), F.col(f"{cube}{c}") * w - F.col(f"l{c}"), F.col(f"l{c}") - (F.col(f"{cube}{c}") + 1) * w)
-        return sum((side(c) * side(c) for c in "xyz"), F.lit(0.0))
-
-    to = lambda p: F.expr(" + ".join(f"({p}{c} - l{c}) * ({p}{c} - l{c})" for c in "xyz"))
-    bound = lambda df, w: df.withColumn("best", F.min("d2").over(Window.partitionBy("k"))).filter(gap("c", w) <= F.col("best") * (1 + 1e-9) + 1e-24)
-    made: list[DataFrame] = []
-
-    def keep(df: DataFrame, label: str) -> DataFrame:
-        made.append(shared_table(df, label, small=True))
-        return made[-1]
-
-    def matched(some: DataFrame) -> DataFrame:
-        open_rows, at = some, {}
-        for i in range(start, len(widths)):
-            w = widths[i]
-            around = open_rows
-            for c in "xyz":
-                around = around.withColumn(f"c{c}", F.explode(F.sequence(*[F.floor(F.col(f"l{c}") / w) + s for s in (-1, 1)])))
-            met = around.join(levels[i].select("cx", "cy", "cz", "p").hint("merge"), ["cx", "cy", "cz"]).withColumn("d2", to("p."))
-            met = bound(met.drop("p"), w)
-            done = met if i == len(widths) - 1 else met.filter(F.col("best") <= w * w)
-            at[i] = keep(done.select("k", "lx", "ly", "lz", "cx", "cy", "cz"), "nearest-rings")
-            left_over = open_rows.join(at[i].select("k").distinct().hint("merge"), "k", "left_anti")
-            if i < len(widths) - 1:
-                open_rows = keep(left_over, "nearest-open")
-                if open_rows.isEmpty():
-                    break
-        held = at.pop(max(at))
-        level = i
-        while level:
-            level -= 1
-            w = widths[level]
-            below = levels[level].select("cx", "cy", "cz", "p", *[F.floor(F.col(f"c{c}") / STEP).alias(f"u{c}") for c in "xyz"])
-            up = held.select("k", "lx", "ly", "lz", *[F.col(f"c{c}").alias(f"u{c}") for c in "xyz"])
-            down = bound(up.join(below.hint("merge"), ["ux", "uy", "uz"]).withColumn("d2", to("p.")).drop("p"), w).select("k", "lx", "ly", "lz", "cx", "cy", "cz")
-            held = keep(down.unionByName(at.pop(level)) if level in at else down, "nearest-held")
-        cubes = points.withColumns({f"c{c}": F.floor(F.col(c) / widths[0]) for c in "xyz"})
-        met = held.join(cubes.hint("merge"), ["cx", "cy", "cz"]).withColumn("d2", to("")).groupBy("k").agg(F.min(F.struct("d2", "match")).alias("b"))
-        return met
-
-    count = -(-rows.count() // PORTION)
-    rows = shared_table(rows.withColumn("portion", F.pmod(F.xxhash64("k"), F.lit(max(1, count)))), "nearest-rows", by="portion")
+        levels.insert(0, shared_table(level(single.withColumns(cube(widths[0]))), "nearest-cubes", small=True))
+    while levels[-1].count() > TOP:
+        levels.append(shared_table(level(levels[-1].withColumns({f"c{c}": F.floor(F.col(f"c{c}") / STEP) for c in "xyz"})), "nearest-cubes", small=True))
+
+    placed = shared_table(rows, "nearest-rows")
+    total = placed.count()
+    count = max(1, -(-total // PORTION))
+    rows, made = _blocks(placed, min(2.0, math.sqrt(4 * math.pi * BLOCK / max(1, total))))
+    rows = shared_table(rows.withColumn("portion", F.pmod("block", F.lit(count))), "nearest-blocks", by="portion")
+    for done in (placed, *made):
+        release(done)
+    blocks = rows.select("block", *[F.col(c).alias(f"{c}{end}") for c in "xyz" for end in "01"]).groupBy("block").agg(*ends)
+    held = blocks.select("block", F.struct(*[f"{c}{end}" for c in "xyz" for end in "01"]).alias("b")).crossJoin(F.broadcast(levels[-1].drop("n")))
+    made = []
+    for i in reversed(range(len(levels))):
+        if made:
+            below = levels[i].drop("n").withColumns({f"u{c}": F.floor(F.col(f"c{c}") / STEP) for c in "xyz"})
+            held = made[-1].join(below.hint("merge"), ["ux", "uy", "uz"])
+        held = _not_behind(held).select("block", "b", "q", *[F.col(f"c{c}").alias(f"u{c}") for c in "xyz"])
+        made.append(shared_table(held, "nearest-level", small=True))
+    leaves = single.drop("n").withColumns({f"u{c}": F.floor(F.col(c) / widths[0]) for c in "xyz"})
+    held = _not_behind(made[-1].join(leaves.hint("merge"), ["ux", "uy", "uz"]))
+    held = shared_table(held.select("block", "match", *"xyz", F.pmod("block", F.lit(count)).alias("portion")), "nearest-held", by="portion")
+    for done in made:
+        release(done)
+
     found = None
-    for i in range(max(1, count)):
-        one = shared_table(matched(rows.filter(F.col("portion") == i).drop("portion")), "nearest-found")
+    columns = lambda df, kind, k, match: df.select("block", F.lit(kind).alias("kind"), k.alias("k"), match.alias("match"), *"xyz")
+    kinds = {c: F.lit(None).cast(df.schema[c].dataType) for df, c in ((rows, "k"), (held, "match"))}
+    for i in range(count):
+        own, near = (df.filter(F.col("portion") == i) for df in (rows, held))
+        both = columns(own, 0, F.col("k"), kinds["match"]).unionByName(columns(near, 1, kinds["k"], F.col("match")))
+        both = both.repartition("block").sortWithinPartitions("block", "kind", "match")
+        one = shared_table(both.mapInArrow(_nearest_of_block, StructType([rows.schema["k"], held.schema["match"], StructField("d2", DoubleType())])), "nearest-found")
         found = one if found is None else found.unionByName(one)
-        while made:
-            release(made.pop())
-    for done in (rows, points, *levels):
+    for done in (rows, held, points, *levels):
         release(done)
-    return found.select(F.col("k").alias(key), F.col("b.match").alias("match"), F.col("b.d2").alias("d2"), F.expr(sky.arcsec("b.d2")).alias("dist"))
+    return found.select(F.col("k").alias(key), "match", "d2", F.expr(sky.arcsec("d2")).alias("dist"))
+
+
+def _known(df: DataFrame) -> DataFrame:
+    return _placed(df).filter(" and ".join(f"abs(cast({c} as double)) < double('infinity')" for c in "xyz"))
+
+
+def _blocks(rows: DataFrame, width: float) -> tuple[DataFrame, list[DataFrame]]:
+    """``rows`` (k, x, y, z) with ``block``, the hash of their cube; and the shared tables behind them.
+
+    Cubes of over four times BLOCK rows give way to finer ones; rows of one place, or of a cube of the FINEST width, are dealt out by their keys.
+    """
+    done, made, limit = [], [], 4 * BLOCK
+    while True:
+        rows = rows.withColumns({f"c{c}": F.floor(F.col(c) / width) for c in "xyz"})
+        extent = F.greatest(*[F.max(c) - F.min(c) for c in "xyz"])
+        size = rows.groupBy("cx", "cy", "cz").agg(F.count(F.lit(1)).alias("n"), extent.alias("extent")).filter(F.col("n") > limit)
+        size = shared_table(size, "nearest-crowded", small=True)
+        made.append(size)
+        cube = [F.lit(width), "cx", "cy", "cz"]
+        if size.isEmpty():
+            done.append(rows.select("k", *"xyz", F.xxhash64(*cube).alias("block")))
+            break
+        marked = rows.join(size.hint("merge"), ["cx", "cy", "cz"], "left")
+        whole = F.col("n").isNull() | (F.col("extent") == 0) | F.lit(width <= FINEST)
+        part = F.pmod(F.xxhash64("k"), F.ceil(F.coalesce("n", F.lit(1)) / limit))
+        marked = marked.select("k", *"xyz", F.when(whole, F.xxhash64(*cube, part)).alias("block"))
+        made.append(shared_table(marked, "nearest-marked", small=True))
+        done.append(made[-1].filter("block is not null"))
+        rows = made[-1].filter("block is null").drop("block")
+        if rows.isEmpty():
+            break
+        width /= STEP
+    out = done[0]
+    for more in done[1:]:
+        out = out.unionByName(more)
+    return out, made
+
+
+def _not_behind(pairs: DataFrame) -> DataFrame:
+    """Blocks (block, their box b, and q, a place, once one is known) with boxes of places (x0 to z1, one place p): those that hold a place which may be the nearest to some of the block's box.
+
+    Of the places p that a block meets, q becomes the one whose greatest distance from the block's box is least. A box of places is dropped if q is nearer
+    than any place of it could be, wherever in the block's box: the least of (distance from the box)² - (distance from q)², a sum over
+    axes of which each is least at an end of the block, or where the box of places begins or ends.
+    """
+
+    if "q" in pairs.columns:
+        pairs = pairs.mapInArrow(_ahead, pairs.schema)
+    far = sum((F.pow(F.greatest(F.abs(F.col(f"p.{c}") - F.col(f"b.{c}0")), F.abs(F.col(f"p.{c}") - F.col(f"b.{c}1"))), F.lit(2.0)) for c in "xyz"), F.lit(0.0))
+    pairs = pairs.withColumn("far", far).withColumn("q", F.min_by("p", "far").over(Window.partitionBy("block"))).drop("far")
+    return pairs.mapInArrow(_ahead, pairs.schema)
+
+
+def _ahead(batches):
+    """The pairs of _not_behind() that stay."""
+    import pyarrow as pa
+
+    for batch in batches:
+        column = lambda c, at=None: (batch.column(c) if at is None else batch.column(c).field(at)).to_numpy(zero_copy_only=False)  # noqa: B023, E731
+        lead, scale = np.zeros(batch.num_rows), np.zeros(batch.num_rows)
+        for c in "xyz":
+            low, high, to, first, last = column("b", f"{c}0"), column("b", f"{c}1"), column("q", c), column(f"{c}0"), column(f"{c}1")
+            least = np.full(batch.num_rows, np.inf)
+            for v in (low, high, np.clip(first, low, high), np.clip(last, low, high)):
+                at = np.clip(v, first, last)
+                least = np.minimum(least, (to - at) * ((v - at) + (v - to)))  # (v - at)² - (v - to)²
+            lead += least
+            scale += np.maximum((low - to) ** 2, (high - to) ** 2)
+        yield batch.filter(pa.array(lead <= scale * 1e-12))
+
+
+def _nearest_of_block(batches):
+    """k, match, d2 from rows (kind 0) and then places (kind 1, by match) of one block after the other: a task holds one block's rows and one batch."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    block, rows, told = None, [], []
+
+    def end():
+        if rows:
+            told.append((pa.concat_arrays([k for k, *_ in rows]), pa.concat_arrays([m for *_, m in rows]), np.concatenate([d for *_, d, _ in rows])))
+            rows.clear()
+
+    def out():
+        if told:
+            k, match, d2 = zip(*told)
+            told.clear()
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(k), pa.concat_arrays(match), pa.array(np.concatenate(d2))], names=["k", "match", "d2"])
+
+    for batch in batches:
+        of, kind, *at = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "kind", *"xyz"))
+        keys, matches = batch.column("k"), batch.column("match")
+        cuts = [*(np.flatnonzero((np.diff(of) != 0) | (np.diff(kind) != 0)) + 1).tolist(), len(of)]
+        start = 0
+        for stop in cuts if len(of) else []:
+            if of[start] != block:
+                end()
+                block = of[start]
+            if kind[start] == 0:
+                rows.append((keys[start:stop], [c[start:stop, None] for c in at], np.full(stop - start, np.inf), pa.nulls(stop - start, matches.type)))
+            for a in range(start, stop, 1024) if kind[start] else []:
+                b = min(stop, a + 1024)
+                for i, (k, place, best, match) in enumerate(rows):
+                    d2 = sum(np.square(c[a:b] - l) for c, l in zip(at, place))
+                    least = d2.argmin(1)
+                    d2 = d2[np.arange(len(best)), least]
+                    nearer = d2 < best  # places come by match: the first of equals is the least
+                    rows[i] = k, place, np.where(nearer, d2, best), pc.if_else(pa.array(nearer), matches[a:b].take(pa.array(least)), match)
+            start = stop
+        yield from out()
+    end()
+    yield from out()
 
 
 def pairs_once(stars: DataFrame, radius: float, key: str = "id") -> DataFrame:
